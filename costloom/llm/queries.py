@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costloom.llm import langid, quality
-from costloom.llm.common import fold, table
+from costloom.llm import decontaminate, langid, quality, rules, sharding, urls, warc
+from costloom.llm.common import durable, fold, fresh_path, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,104 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, ~held_out, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_char")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, read back and assembled into captures."""
+    path = fresh_path(spark, "warc")
+    warc.write_captures(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_records(spark, path, with_payload=False))
+    page = F.col("metadata.fields")["pageId"].cast("long")
+    revisit = F.col("response.kind") == "revisit"
+    rows = captures.select(
+        page.alias("page_id"),
+        F.when(revisit, F.col("metadata.fields")["payloadBytes"].cast("long")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("response.declared_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
+        F.col("response.kind").alias("record_type"),
+        F.col("response.refers_to").alias("target"),
+        F.col("capture"),
+    )
+    referred = rows.where("record_type = 'response'").select(F.col("capture").alias("target"), F.col("page_id").alias("refers_to"))
+    return rows.join(referred, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules on all documents."""
+    measured = durable(rules.measure(table(spark, sf_dir, "documents"), ["doc_id", "lang"]), "quality-counts")
+    judged = rules.apply_rules(measured, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The rules of the URL filter query: host, path, verdict (fixed values).
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs; those that no rule fits are allowed."""
+    given = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), given, ["page_id"], default="allow")
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    found = decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight runs of a Hilbert order over source, language and size; law ``rows``."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = sharding.shard_by_hilbert(rows, "doc_id", {"source": False, "lang": False, "size": True})
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
+    "op4_warc": op4_warc,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_url_filter": op7_url_filter,
+    "op8_decontamination": op8_decontamination,
+    "op9_hilbert_sharding": op9_hilbert_sharding,
 }
 
 #: DuckDB statements of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (
+          SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+        ), d AS (
+          SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+            translate(list_aggregate([lpad(to_base(('0x' || substr(h, (1 + 5 * g)::INT, 5))::BIGINT, 32), 4, '0') FOR g IN range(8)], 'string_agg', ''),
+              '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+            max(page_id) OVER (PARTITION BY html) AS last_id
+          FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> last_id THEN last_id END AS refers_to
+        FROM d
+    """,
+    "op7_url_filter": """
+        WITH u AS (
+          SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), h AS (
+          SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+          FROM u
+        ), r(rhost, rpath, verdict) AS (
+          VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ), m AS (
+          SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+          FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+          GROUP BY page_id
+        )
+        SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)
+    """,
+}
