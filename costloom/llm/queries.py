@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costloom.llm import decontaminate, langid, quality, rules, sharding, urls, warc
+from costloom.llm import decontaminate, jaccard, langid, quality, rules, sharding, urls, warc
 from costloom.llm.common import durable, fold, fresh_path, table
 
 
@@ -45,6 +45,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(referred, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a Jaccard similarity of 0.85 over 4-word shingles."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of the quality rules on all documents."""
     measured = durable(rules.measure(table(spark, sf_dir, "documents"), ["doc_id", "lang"]), "quality-counts")
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
     "op4_warc": op4_warc,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filter": op7_url_filter,
     "op8_decontamination": op8_decontamination,
