@@ -5,21 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costloom.llm import langid
-from costloom.llm.common import fresh_path
+from costloom.llm import decontaminate, encoding, jaccard, langid, rules
+from costloom.llm.common import durable, fresh_path, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identified language go."""
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identified language (no letter in any text) go."""
     found = langid.identify(docs, F.lit(True), COLUMNS)
     return found.where(F.col("lang_pred") != "und").select(COLUMNS)
 
 
-STAGES = [("language_id", language)]
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a fixed or learnt rule rejects go."""
+    measured = durable(rules.measure(docs, COLUMNS), "stage-counts")
+    return rules.apply_rules(measured, table(spark, sf_dir, "labels")).where("kept").select(COLUMNS)
 
-#: Language identification can't be written in SQL.
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each component stays; so do rows without a doc_id."""
+    groups = jaccard.near_duplicates(docs, words=5, percent=80)
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    found = decontaminate.contaminated_spans(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
+    return found.where("n_hit = 0").select(COLUMNS)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents that are left."""
+    encoded = encoding.encode_texts(docs, ["doc_id", "lang", "source"])
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
+
+#: Language identification and encoding can't be written in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

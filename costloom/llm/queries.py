@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costloom.llm import decontaminate, jaccard, langid, quality, rules, sharding, urls, warc
+from costloom.llm import decontaminate, encoding, jaccard, langid, lm, quality, rules, sharding, urls, warc
 from costloom.llm.common import durable, fold, fresh_path, table
 
 
@@ -26,6 +26,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, ~held_out, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_char")
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattice and word-unigram log10 probabilities of all documents; rows with crc32(doc_id) mod 10 = 0 are held out."""
+    held_out = fold(F.col("doc_id"), 10) == 0
+    scored = lm.score_documents(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives, read back and assembled into captures."""
     path = fresh_path(spark, "warc")
@@ -88,15 +95,23 @@ def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of all documents, and whether decoding gives the texts back."""
+    encoded = encoding.encode_texts(table(spark, sf_dir, "documents"), ["doc_id"])
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded_crc32", "round_trip")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
+    "op3_lattice_lm": op3_lattice_lm,
     "op4_warc": op4_warc,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filter": op7_url_filter,
     "op8_decontamination": op8_decontamination,
     "op9_hilbert_sharding": op9_hilbert_sharding,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 #: DuckDB statements of the queries that SQL can express.
