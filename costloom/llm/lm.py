@@ -1,19 +1,23 @@
 """Subword lattice language model.
 
-A text is its A-Z lower-cased white-space words and one end. Each word, with a mark before it, is
+A text is its A-Z lower-cased white-space words and one end. A word, with a mark before it, is
 spelled with the pieces of an existing SentencePiece vocabulary; a character outside it is spelled
-with byte pieces. All segmentations count: a word's probability is the sum over its lattice of the
-products of piece probabilities, by forward recursion in log space. Pieces and the end form one
-distribution, so all texts together have a probability of at most 1.
-
-The public vocabulary is a merge (BPE) vocabulary, whose scores are ranks and no probabilities. So
-the pieces' probabilities are learnt: relative frequencies (plus ``smooth``) of the pieces in the
-vocabulary's own segmentations of all training words. The vocabulary itself is left as it is.
-
-A word's count and lattice score are computed once in a table of distinct words, which is joined by
-hash. Documents and the words of their block then meet by a cogroup: blocks hold about
-``block_bytes`` of text, so memory stays bounded, and a block's distinct words are far fewer than its
-tokens.
+with byte pieces. All segmentations count: the lattice probability of a word is the sum over its
+segmentations of the products of piece probabilities, by forward recursion in log space.
+
+* Pieces that open a word form one distribution; those that go on, and the stop, form another. So
+  the lattice is a distribution over words.
+* The public vocabulary is a merge (BPE) vocabulary, whose scores are ranks and no probabilities.
+  The pieces' probabilities are learnt by expectation maximisation over the distinct training words,
+  from the vocabulary's own segmentations as the start. The vocabulary itself is left as it is.
+* Each counted training word is one more arc of its lattice, from start to end: its count less an
+  absolute discount. The discounts together weigh the pieces' arcs. So
+  P(word) = (count - D) / N + (D V / N) lattice(word), and P(end) = ends / N: a distribution over
+  texts whose table of words grows with the corpus.
+
+Counts and scores are computed once in a table of distinct words, which is joined by hash. Documents
+and the words of their block then meet by a cogroup: blocks hold about ``block_bytes`` of text, so
+memory stays bounded, and a block's distinct words are far fewer than its tokens.
 """
 
 from __future__ import annotations
@@ -33,44 +37,143 @@ from costloom.llm.pieces import MARK, Vocabulary
 
 
 class Lattice:
-    """Forward recursion over a word's segmentations."""
+    """Forward and backward recursions over the segmentations of marked words.
+
+    Words should come sorted: states of the prefix shared with the word before are kept.
+    """
+
+    #: Longer words are taken in log space one by one when expectations are summed.
+    LINEAR = 40
 
-    def __init__(self, vocabulary: Vocabulary, log_prob: np.ndarray):
-        self.v = vocabulary
-        # trie of the reversed pieces; the empty string holds a piece's natural log probability
+    def __init__(self, vocabulary: Vocabulary, log_prob: np.ndarray, log_stop: float):
+        self.v, self.log_prob, self.log_stop = vocabulary, log_prob.tolist(), log_stop
+        # trie of the reversed pieces; the empty string marks a whole piece
         self.back: dict = {}
         for piece, i in vocabulary.ids.items():
             node = self.back
             for c in reversed(piece):
                 node = node.setdefault(c, {})
-            node[""] = float(log_prob[i])
-        self.of_byte = log_prob[vocabulary.bytes]
+            node[""] = i
+
+    def arcs(self, w: str, i: int) -> list[tuple[int, int]]:
+        """(start, piece) of the pieces that end before position ``i``."""
+        node, out, j = self.back, [], i
+        while j:
+            j -= 1
+            node = node.get(w[j])
+            if node is None:
+                break
+            if "" in node:
+                out.append((j, node[""]))
+        return out
+
+    def bytes_of(self, char: str) -> list[int]:
+        return self.v.bytes[list(char.encode("utf-8", "surrogatepass"))].tolist()
+
+    def step(self, forward: list, w: str, i: int) -> float:
+        """Log of the summed probability of all segmentations of the first ``i`` characters."""
+        total = None
+        for j, p in self.arcs(w, i):
+            x = forward[j] + self.log_prob[p]
+            if total is None:
+                total = x
+            elif x > total:
+                total = x + math.log1p(math.exp(total - x))
+            else:
+                total += math.log1p(math.exp(x - total))
+        if total is None:  # no piece ends here
+            total = forward[i - 1] + sum(self.log_prob[b] for b in self.bytes_of(w[i - 1]))
+        return total
+
+    def log_probabilities(self, words: list[str]) -> list[float]:
+        """Natural logs of the lattice probabilities of words."""
+        out, forward, before = [], [0.0], ""
+        for word in words:
+            w = MARK + word
+            del forward[shared_prefix(before, w) + 1 :]
+            for i in range(len(forward), len(w) + 1):
+                forward.append(self.step(forward, w, i))
+            out.append(forward[-1] + self.log_stop)
+            before = w
+        return out
+
+    def expectations(self, words: list[str]) -> np.ndarray:
+        """Expected number of each piece in the words' segmentations, each word once.
 
-    def log_probability(self, word: str) -> float:
-        """Natural log of the summed probability of all segmentations of the marked word."""
-        w = MARK + word
+        Adjoints of a shared prefix are summed before they go back through it, so each character of
+        the words' trie is visited once each way.
+        """
+        total = [0.0] * self.v.size
+        prob = np.exp(np.array(self.log_prob)).tolist()
+        forward, adjoint, arcs, before = [1.0], [0.0], [()], ""
+
+        def close(k: int) -> None:
+            for i in range(len(forward) - 1, k, -1):
+                a = adjoint[i]
+                if a:
+                    for j, p in arcs[i]:
+                        x = prob[p] * a
+                        total[p] += forward[j] * x
+                        adjoint[j] += x
+            del forward[k + 1 :], adjoint[k + 1 :], arcs[k + 1 :]
+
+        for word in words:
+            w = MARK + word
+            if len(w) > self.LINEAR:
+                self.long_expectations(w, total)
+                continue
+            close(shared_prefix(before, w))
+            for i in range(len(forward), len(w) + 1):
+                own = self.arcs(w, i)
+                if own:
+                    forward.append(sum([forward[j] * prob[p] for j, p in own]))
+                else:
+                    # a constant weight stands for the bytes; it cancels in the posterior
+                    forward.append(forward[i - 1] * 1e-6)
+                    for b in self.bytes_of(w[i - 1]):
+                        total[b] += 1
+                    own = [(i - 1, self.v.size)]
+                    if len(prob) == self.v.size:
+                        prob.append(1e-6)
+                        total.append(0.0)
+                adjoint.append(0.0)
+                arcs.append(own)
+            adjoint[-1] += 1 / forward[-1]
+            before = w
+        close(0)
+        return np.array(total[: self.v.size])
+
+    def long_expectations(self, w: str, total: list) -> None:
+        """The same for one word in log space."""
         forward = [0.0]
-        root, exp, log1p = self.back, math.exp, math.log1p
         for i in range(1, len(w) + 1):
-            node, j, total = root, i, None
-            while j:
-                j -= 1
-                node = node.get(w[j])
-                if node is None:
-                    break
-                p = node.get("")
-                if p is not None:
-                    x = forward[j] + p
-                    if total is None:
-                        total = x
-                    elif x > total:
-                        total = x + log1p(exp(total - x))
-                    else:
-                        total += log1p(exp(x - total))
-            if total is None:  # no piece ends here: the bytes of this character
-                total = forward[i - 1] + float(sum(self.of_byte[b] for b in w[i - 1].encode("utf-8", "surrogatepass")))
-            forward.append(total)
-        return forward[-1]
+            forward.append(self.step(forward, w, i))
+        posterior = [0.0] * len(w) + [1.0]
+        for i in range(len(w), 0, -1):
+            if posterior[i]:
+                own = self.arcs(w, i)
+                for j, p in own:
+                    x = posterior[i] * math.exp(forward[j] + self.log_prob[p] - forward[i])
+                    total[p] += x
+                    posterior[j] += x
+                if not own:
+                    posterior[i - 1] += posterior[i]
+                    for b in self.bytes_of(w[i - 1]):
+                        total[b] += posterior[i]
+
+
+def shared_prefix(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def decoded(words: pa.Array) -> list[str]:
+    return [w.decode("utf-8", "replace") for w in words.to_pylist()]
 
 
 def block_words(docs: DataFrame, words_held: int = 1_500_000) -> DataFrame:
@@ -103,43 +206,77 @@ def block_words(docs: DataFrame, words_held: int = 1_500_000) -> DataFrame:
     return docs.select("block", "learn", "text").mapInArrow(run, "block int, word binary, n long")
 
 
-def piece_counts(words: DataFrame, model: bytes) -> np.ndarray:
-    """How often each piece occurs in the vocabulary's segmentations of the counted words."""
+def summed(parts: DataFrame, size: int) -> np.ndarray:
+    """(piece, n) rows summed into one array; at most one row a piece reaches the driver."""
+    counted = parts.groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[counted["piece"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+def vocabulary_counts(words: DataFrame, model: bytes, size: int) -> np.ndarray:
+    """How often each piece occurs in the vocabulary's own segmentations of distinct words."""
     shared = words.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         sp = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
-        total = np.zeros(sp.get_piece_size())
+        total = np.zeros(size)
         for batch in batches:
-            texts = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            ids = sp.encode(texts, num_threads=1)
-            times = np.repeat(batch.column(1).to_numpy(), [len(x) for x in ids])
-            flat = np.fromiter((i for x in ids for i in x), np.int64, len(times))
-            total += np.bincount(flat, times, len(total))
+            ids = sp.encode(decoded(batch.column(0)), num_threads=1)
+            total += np.bincount(np.fromiter((i for x in ids for i in x), np.int64), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["piece", "n"])
 
-    counted = words.where("c > 0").select("word", "c").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
-    size = sentencepiece.SentencePieceProcessor(model_proto=model).get_piece_size()
-    out = np.zeros(size)
-    out[counted["piece"].to_numpy()] = counted["n"].to_numpy()
-    return out
+    return summed(words.select("word").mapInArrow(run, "piece int, n double"), size)
+
+
+def expected_counts(words: DataFrame, model: bytes, probabilities: tuple, size: int) -> np.ndarray:
+    """One expectation step over distinct words."""
+    shared = words.sparkSession.sparkContext.broadcast((model, *probabilities))
+
+    def run(batches):
+        model, log_prob, log_stop = shared.value
+        lattice = Lattice(Vocabulary(model), log_prob, log_stop)
+        total = np.zeros(size)
+        for batch in batches:
+            total += lattice.expectations(decoded(batch.column(0)))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["piece", "n"])
+
+    return summed(words.select("word").mapInArrow(run, "piece int, n double"), size)
+
+
+def probabilities(counts: np.ndarray, n_words: int, v: Vocabulary, smooth: float) -> tuple[np.ndarray, float]:
+    """Log probabilities of the pieces within their distribution, and of the stop."""
+    opens = np.zeros(v.size, bool)
+    opens[[i for p, i in v.ids.items() if p.startswith(MARK)]] = True
+    usable = np.zeros(v.size, bool)
+    usable[[*v.ids.values(), *v.bytes.tolist()]] = True
+    mass = np.where(usable, counts + smooth, 0.0)
+    going = mass[~opens].sum() + n_words + smooth
+    with np.errstate(divide="ignore"):
+        log_prob = np.log(mass) - np.where(opens, math.log(mass[opens].sum() or 1.0), math.log(going))
+    return np.where(usable, log_prob, -1e9), math.log((n_words + smooth) / going)
 
 
-def word_scores(words: DataFrame, model: bytes, log_prob: np.ndarray) -> DataFrame:
-    """(word, c, s): s is the log10 probability of the word over its lattice."""
-    shared = words.sparkSession.sparkContext.broadcast((model, log_prob))
+def word_scores(words: DataFrame, model: bytes, fitted: tuple, tokens: int, discount: float, rest: float) -> DataFrame:
+    """(word, c, s): s is the log10 probability of the word, its whole-word arc included."""
+    shared = words.sparkSession.sparkContext.broadcast((model, *fitted))
 
     def run(batches):
-        lattice = Lattice(Vocabulary(shared.value[0]), shared.value[1])
+        model, log_prob, log_stop = shared.value
+        lattice = Lattice(Vocabulary(model), log_prob, log_stop)
         for batch in batches:
-            s = [lattice.log_probability(w.decode("utf-8", "replace")) / math.log(10) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], ["word", "c", "s"])
+            spelled = math.log(rest) + np.array(lattice.log_probabilities(decoded(batch.column(0))))
+            whole = np.maximum(batch.column(1).to_numpy() - discount, 0.0) / max(1, tokens)
+            with np.errstate(divide="ignore"):
+                s = np.logaddexp(np.log(whole), spelled) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["word", "c", "s"])
 
     return words.select("word", "c").mapInArrow(run, "word binary, c long, s double")
 
 
-def score_documents(docs: DataFrame, learn: Column, model_path: str = MODEL, smooth: float = 0.1, block_bytes: int = 24_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column, model_path: str = MODEL, smooth: float = 0.1, rounds: int = 3, block_bytes: int = 24_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
 
     ``learn`` says which rows may be learnt from (null: not). ``base_score`` is the additive word
@@ -155,22 +292,24 @@ def score_documents(docs: DataFrame, learn: Column, model_path: str = MODEL, smo
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
     pairs = durable(block_words(rows.repartition("block")).groupBy("block", "word").agg(F.sum("n").alias("n")), "block-words")
     words = durable(pairs.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    known = words.where("c > 0").agg(F.sum("c"), F.count(F.lit(1))).first()
-    tokens = int(known[0] or 0) + ends
-    distinct = int(known[1]) + (ends > 0)
+    words = words.sortWithinPartitions("word")
+    trained = words.where("c > 0")
+    known = trained.agg(F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
+    tokens, n_words, once, twice = int(known[0] or 0) + ends, int(known[1]), int(known[2] or 0), int(known[3] or 0)
+    distinct = n_words + (ends > 0)
+    discount = once / (once + 2 * twice) if once else 0.5
 
     model = read_model(model_path)
     v = Vocabulary(model)
-    mass = np.zeros(v.size)
-    usable = np.array(sorted({*v.ids.values(), *v.bytes.tolist()}))
-    mass[usable] = piece_counts(words, model)[usable] + smooth
-    total = mass.sum() + ends + smooth
-    with np.errstate(divide="ignore"):
-        log_prob = np.log(mass) - math.log(total)
-    log_end = math.log10((ends + smooth) / total)
-    scored = word_scores(words, model, log_prob)
-    ready = pairs.select("block", "word").join(scored, "word").select("block", "word", "c", "s")
+    fitted = probabilities(vocabulary_counts(trained, model, v.size), n_words, v, smooth)
+    for _ in range(rounds):
+        fitted = probabilities(expected_counts(trained, model, fitted, v.size), n_words, v, smooth)
+    # without a training word all mass is the lattice's
+    rest = discount * n_words / tokens if n_words else 1.0
+    scored = word_scores(words, model, fitted, tokens, discount, rest)
+    log_end = math.log10(max(ends, 0.1) / max(tokens, 1))
     floor = 0.1 / (tokens + 0.1 * (distinct + 1))
+    ready = pairs.select("block", "word").join(scored, "word").select("block", "word", "c", "s")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def add(left, right):
