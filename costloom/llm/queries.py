@@ -45,11 +45,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(revisit, F.col("metadata.fields")["payloadBytes"].cast("long")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("response.declared_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
-        F.col("response.refers_to").alias("target"),
+        # a response stands for itself, so that no null key gathers all responses in one task
+        F.coalesce("response.refers_to", "capture").alias("target"),
         F.col("capture"),
     )
-    referred = rows.where("record_type = 'response'").select(F.col("capture").alias("target"), F.col("page_id").alias("refers_to"))
-    return rows.join(referred, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    referred = rows.where("record_type = 'response'").select(F.col("capture").alias("target"), F.col("page_id").alias("first"))
+    joined = rows.join(referred, "target", "left")
+    return joined.select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("first")).alias("refers_to"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
