@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from costloom.plans import cost_queries  # noqa: F401  registers its queries
+from costloom.plans.catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
