@@ -112,7 +112,7 @@ def meta_hash(*keys: Column) -> Column:
 
 
 def _units(value: Column, divisor: float, unit: str, digits: int) -> Column:
-    return F.concat(F.format_string(f"%.{digits}f", value / divisor), F.lit(unit))
+    return F.concat(F.format_string(f"%.{digits}f", F.bround(value / divisor, digits)), F.lit(unit))
 
 
 def humanize_memory(text: Column) -> Column:

@@ -30,7 +30,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], policy: dict[s
     have = [c for c in rest if c in source.columns]
     kinds = dict(target.dtypes)
     old = target.select(*keys, F.struct(*rest).alias("old"))
-    new = source.select(*keys, F.struct(*[F.col(c).cast(kinds[c]) if c in have else F.lit(None).cast(kinds[c]).alias(c) for c in rest]).alias("new"))
+    new = source.select(*keys, F.struct(*[(F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in rest]).alias("new"))
     both = old.join(new, keys, "full")
     changes = F.col("old").isNotNull() & F.col("new").isNotNull()
     if only_if is not None:

@@ -1,7 +1,8 @@
 """Cost-analytics views over the given star-schema tables.
 
 Each view is one SELECT that both Spark and DuckDB understand; ``{name}`` stands for a table or for
-another view. The registry uses the same text as the head of an oracle statement.
+another view. The registry uses the same text as the head of an oracle statement. Money is divided
+by primes, so that sums don't fall on the half of a rounded digit.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ VIEWS: dict[str, str] = {
           concat('team', CAST(s_suppkey % 5 AS STRING)), DATE '{AS_OF}' - CAST(s_suppkey % 10 AS INT)
         FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey""",
     "costs": """
-        SELECT CAST(1000000 + o_custkey AS BIGINT) AS entity_id, CAST(l_shipdate AS DATE) AS charge_date, l_extendedprice * (1 - l_discount) / 1000 AS billed_cost,
+        SELECT CAST(1000000 + o_custkey AS BIGINT) AS entity_id, CAST(l_shipdate AS DATE) AS charge_date, l_extendedprice * (1 - l_discount) / 997 AS billed_cost,
           CASE WHEN l_linestatus = 'F' THEN 'USD' ELSE 'EUR' END AS currency, CASE WHEN l_linenumber = 7 THEN NULL ELSE o_orderpriority END AS category, l_returnflag AS service, l_partkey AS sku
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "metrics": """
@@ -50,7 +51,7 @@ VIEWS: dict[str, str] = {
         FROM {part}""",
     "pricing": """
         SELECT CASE WHEN p_partkey % 2 = 0 THEN 'aws' ELSE 'azure' END AS cloud, concat('t', CAST(p_partkey AS STRING)) AS instance_type, r_name AS region, os,
-          p_size * (p_retailprice / 10000) * (1 + 0.05E0 * r_regionkey) * (CASE WHEN os = 'windows' THEN 1.4E0 ELSE 1.0E0 END) AS hourly_price
+          p_size * (p_retailprice / 9973) * (1 + 0.05E0 * r_regionkey) * (CASE WHEN os = 'windows' THEN 1.4E0 ELSE 1.0E0 END) AS hourly_price
         FROM {part} CROSS JOIN {region} CROSS JOIN (SELECT 'linux' AS os UNION ALL SELECT 'windows' AS os) o""",
     "vms": """
         SELECT CAST(1000000 + c_custkey AS BIGINT) AS id, c_name AS name, CASE WHEN n_regionkey % 2 = 0 THEN 'aws' ELSE 'azure' END AS provider, r_name AS region,
@@ -61,24 +62,24 @@ VIEWS: dict[str, str] = {
           concat('Billing ', CAST(o_custkey % 10 AS STRING)) AS BillingAccountName, CASE WHEN o_orderkey % 2 = 1 THEN concat('/subscriptions/', CAST(o_custkey % 100 AS STRING)) ELSE CAST(o_custkey % 100 AS STRING) END AS SubAccountId,
           concat('Account ', CAST(o_custkey % 100 AS STRING)) AS SubAccountName, 'r1' AS RegionId, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE concat('res', CAST(o_custkey AS STRING)) END AS ResourceId,
           concat('Resource ', CAST(o_custkey AS STRING)) AS ResourceName, 'vm' AS ResourceType, o_orderpriority AS ServiceCategory, 'compute' AS ServiceName, CAST(o_orderkey % 3 AS STRING) AS SkuPriceId,
-          CASE WHEN o_orderstatus = 'P' THEN 'Credit' WHEN o_orderkey % 89 = 0 THEN NULL ELSE 'Usage' END AS ChargeCategory, CASE WHEN o_orderkey % 97 = 0 THEN 0.0E0 ELSE o_totalprice / 1000 END AS EffectiveCost, 'USD' AS BillingCurrency,
+          CASE WHEN o_orderstatus = 'P' THEN 'Credit' WHEN o_orderkey % 89 = 0 THEN NULL ELSE 'Usage' END AS ChargeCategory, CASE WHEN o_orderkey % 97 = 0 THEN 0.0E0 ELSE o_totalprice / 997 END AS EffectiveCost, 'USD' AS BillingCurrency,
           CAST(o_orderdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 5 = 0 THEN 2 + o_orderkey % 30 ELSE 1 END AS INT) AS end_date
         FROM {orders}""",
     "budgets": """
-        SELECT CAST(100 + c_nationkey AS BIGINT) AS scope_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, sum(l_extendedprice * (1 - l_discount) / 1000) * 1.1E0 AS limit_amount
+        SELECT CAST(100 + c_nationkey AS BIGINT) AS scope_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, sum(l_extendedprice * (1 - l_discount) / 997) * 1.1E0 AS limit_amount
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
         WHERE month(l_shipdate) % 3 = 1 GROUP BY 1, 2""",
     "forecast_history": """
-        SELECT CAST(100 + c_nationkey AS BIGINT) AS scope_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS target_month, CAST(o_orderdate AS DATE) AS forecast_date, sum(o_totalprice) / 1000 AS projected_amount
+        SELECT CAST(100 + c_nationkey AS BIGINT) AS scope_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS target_month, CAST(o_orderdate AS DATE) AS forecast_date, sum(o_totalprice) / 997 AS projected_amount
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2, 3""",
     "anomalies": """
         SELECT CAST(100 + c_nationkey AS BIGINT) AS scope_id, CAST(o_orderdate AS DATE) AS anomaly_date, CASE WHEN o_orderstatus = 'F' THEN 'cost' ELSE 'budget' END AS anomaly_type,
-          max(o_totalprice) / 1000 AS actual_cost, avg(o_totalprice) / 1000 AS threshold, count(*) % 2 = 0 AS is_seen
+          max(o_totalprice) / 997 AS actual_cost, avg(o_totalprice) / 997 AS threshold, count(*) % 2 = 0 AS is_seen
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_totalprice > 200000 GROUP BY 1, 2, 3""",
     "recommendations": """
         SELECT CAST(2000000 + l_suppkey AS BIGINT) AS entity_id, CASE WHEN l_linenumber % 2 = 0 THEN 'Deployment' ELSE 'StatefulSet' END AS workload_type, concat('w', CAST(l_partkey % 50 AS STRING)) AS workload, concat('c', CAST(l_linenumber AS STRING)) AS container,
           CAST(l_shipdate AS DATE) AS scanned, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN 'None' WHEN l_linenumber = 5 THEN 'n/a' ELSE CAST(CAST(l_quantity AS INT) / 8 AS STRING) END AS cpu,
-          CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(CAST(l_extendedprice AS BIGINT) * CASE WHEN l_linenumber < 3 THEN 1 ELSE 100000 END AS STRING) END AS memory
+          CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(CAST(floor(l_extendedprice) AS BIGINT) * CASE WHEN l_linenumber < 3 THEN 1 ELSE 100000 END AS STRING) END AS memory
         FROM {lineitem}""",
 }
 
