@@ -190,8 +190,9 @@ def block_words(docs: DataFrame, words_held: int = 1_500_000) -> DataFrame:
                 if learn:
                     own.update(words)
                 else:
-                    for w in set(words).difference(own):
-                        own[w] = 0
+                    for w in words:
+                        if w not in own:
+                            own[w] = 0
                 size += len(own) - before
                 if size > words_held:
                     yield from send(held)
@@ -276,7 +277,7 @@ def word_scores(words: DataFrame, model: bytes, fitted: tuple, tokens: int, disc
     return words.select("word", "c").mapInArrow(run, "word binary, c long, s double")
 
 
-def score_documents(docs: DataFrame, learn: Column, model_path: str = MODEL, smooth: float = 0.1, rounds: int = 3, block_bytes: int = 24_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column, model_path: str = MODEL, smooth: float = 0.1, rounds: int = 2, block_bytes: int = 24_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
 
     ``learn`` says which rows may be learnt from (null: not). ``base_score`` is the additive word
@@ -313,16 +314,18 @@ def score_documents(docs: DataFrame, learn: Column, model_path: str = MODEL, smo
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def add(left, right):
-        of_word = dict(zip(right["word"].to_pylist(), zip(np.log10((right["c"].to_numpy() + 0.1) * (floor / 0.1)).tolist(), right["s"].to_numpy().tolist(), (right["c"].to_numpy() > 0).tolist())))
-        n, k, base, lattice = [], [], [], []
+        place = {w: k for k, w in enumerate(right["word"].to_pylist())}.__getitem__
+        counts = right["c"].to_numpy()
+        known, of_base, of_lattice = counts > 0, np.log10((counts + 0.1) * (floor / 0.1)), right["s"].to_numpy()
         end = math.log10((ends + 0.1) * (floor / 0.1))
-        for text in left["text"].to_pylist():
-            found = list(map(of_word.__getitem__, WORD.findall(text_bytes(text))))
-            b, s, known = zip(*found) if found else ((), (), ())
-            n.append(len(found) + 1)
-            k.append(sum(known) + (ends > 0))
-            base.append(math.fsum(b) + end)
-            lattice.append(math.fsum(s) + log_end)
+        n, k, base, lattice = [], [], [], []
+        for text in left["text"].cast(pa.binary()).to_pylist():
+            words = WORD.findall(text.lower())
+            at = np.fromiter(map(place, words), np.int64, len(words))
+            n.append(len(words) + 1)
+            k.append(int(known[at].sum()) + (ends > 0))
+            base.append(float(of_base[at].sum()) + end)
+            lattice.append(float(of_lattice[at].sum()) + log_end)
         return pa.table({"doc_id": left["doc_id"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(k, pa.int64()), "train_tokens": pa.array([tokens] * len(n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(lattice, pa.float64())})
 
     shape = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"

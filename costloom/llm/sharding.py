@@ -71,14 +71,15 @@ def shard_by_hilbert(
     ``dimensions`` maps column names to whether they are numeric. ``rows`` should be narrow: it is
     written once and shuffled once; join wide columns back by key. Null dimensions are quantised to 0,
     null keys sort first; ties and repeated rows get positions of their own, in no fixed order among
-    fully equal rows. An empty table gives an empty result. Shard sizes differ by at most one row.
+    fully equal rows. Columns named curve_index, shard or slot are replaced. An empty table gives an
+    empty result. Shard sizes differ by at most one row.
     """
 
     @F.pandas_udf("long")
     def curve(*axes: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index([a.to_numpy() for a in axes], bits))
 
-    names = list(rows.columns)
+    names = [c for c in rows.columns if c not in ("curve_index", "shard", "slot")]
     cells = [quantised(F.col(c), numeric, bits) for c, numeric in dimensions.items()]
     part = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << split_bits)).cast("int")
     placed = durable(rows.withColumn("curve_index", curve(*cells)).withColumn("__part", part), "hilbert")
