@@ -173,6 +173,8 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     """
     bits = 1 << 22
     pairs = durable(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     spot = F.pmod(F.xxhash64("id"), F.lit(bits))
     marks = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.floor(spot / 32).cast("int").alias("word"), (spot % 32).cast("int").alias("bit"))
     # at most bits / 32 rows
@@ -263,9 +265,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, hot_rows
     one = placed.select(F.col("gid").alias("a"), F.col("node").alias("m"), F.col("c").alias("cm"))
     two = placed.select(F.col("gid").alias("b"), F.col("node").alias("k"), F.col("c").alias("ck"))
     rest = rest.join(one, "a").join(two, "b").where("cm <> ck").select(F.least("m", "k").alias("a"), F.greatest("m", "k").alias("b")).distinct()
-    more = verify(rest, docs, words, percent)
-    joined = links.union(more)
-    final = connected_components(joined)
+    more = durable(verify(rest, docs, words, percent), "links")
+    final = found if more.isEmpty() else connected_components(links.union(more))
 
     of_class = members.join(final, "node", "left").select("signature", F.coalesce("component", "node").alias("component_id"))
     out = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "signature").join(of_class, "signature", "left")

@@ -116,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 #: DuckDB statements of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op4_warc": """
@@ -149,4 +151,42 @@ ORACLES: dict[str, str] = {
         )
         SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)
     """,
+    "op5_jaccard_join": f"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), s AS (
+          SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 4 THEN [array_to_string(ws[i:i+3], ' ') FOR i IN range(1, len(ws) - 2)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS sh FROM w
+        ), n AS (
+          SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+        ), pairs AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
+        ), e AS (
+          SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+        ), both_ways AS (
+          SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+        ), reach AS (
+          SELECT DISTINCT doc_id AS id, doc_id AS c FROM documents UNION SELECT b, c FROM reach JOIN both_ways ON a = id
+        )
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM reach GROUP BY 1) r ON r.id = d.doc_id
+    """,
+    "op8_decontamination": f"""
+        WITH w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+        ), i AS (
+          SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+        ), win AS (
+          SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[p:p+9], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS p FROM i WHERE len(ws) > 0)
+        ), pos AS (
+          SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM w, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n
+        ), hit AS (
+          SELECT doc_id, p, pos.n, item_id FROM pos JOIN win ON win.n = pos.n AND win.k = array_to_string(ws[p:p+pos.n-1], ' ')
+        ), covered AS (
+          SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1
+        ), items AS (
+          SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY 1
+        )
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
 }
