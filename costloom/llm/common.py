@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,17 @@ def slices(texts: list, limit: int = 4_000_000):
         yield start, len(texts)
 
 
+def text_slices(column: pa.Array, limit: int):
+    """(start, stop, slice) runs of a column of texts of about ``limit`` bytes each; only one need be unpacked at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) + 1)
+    lo = 0
+    while lo < len(column):
+        done = ends[lo - 1] if lo else 0
+        hi = min(len(column), int(np.searchsorted(ends, done + limit)) + 1)
+        yield lo, hi, column.slice(lo, hi - lo)
+        lo = hi
+
+
 class TokenHasher:
     """64-bit hashes of the tokens of many texts at once.
 

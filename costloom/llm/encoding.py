@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import slices
+from costloom.llm.common import text_slices
 from costloom.llm.pieces import MARK, TrieEncoder, Vocabulary, decode
 
 #: The public vocabulary; any SentencePiece model file will do.
@@ -32,7 +32,7 @@ def encoder_of(model: bytes, kind: str) -> TrieEncoder:
     return _ENCODERS[key]
 
 
-def encode_texts(docs: DataFrame, carry: list[str], model_path: str = MODEL, kind: str = "bpe", batch_chars: int = 8_000_000) -> DataFrame:
+def encode_texts(docs: DataFrame, carry: list[str], model_path: str = MODEL, kind: str = "bpe", batch_bytes: int = 3_000_000) -> DataFrame:
     """``carry`` columns plus ``ids`` (array of int), ``decoded_crc32`` and ``round_trip`` for every row.
 
     ``round_trip`` says that decoding the ids gives the text back (a literal ``▁`` comes back as a
@@ -48,15 +48,15 @@ def encode_texts(docs: DataFrame, carry: list[str], model_path: str = MODEL, kin
         encoder = encoder_of(shared.value, kind)
         v = encoder.v
         for batch in batches:
-            texts = batch.column(len(carry)).to_pylist()
-            for lo, hi in slices(texts, batch_chars):
-                split = [v.words.findall(v.mark(t)) for t in texts[lo:hi]]
+            for lo, hi, column in text_slices(batch.column(len(carry)), batch_bytes):
+                texts = column.to_pylist()
+                split = [v.words.findall(v.mark(t)) for t in texts]
                 of_word = encoder.encode(set().union(*split)).__getitem__
                 parts = [b"".join(map(of_word, words)) for words in split]
                 offsets = np.cumsum([0, *(len(p) // 4 for p in parts)])
                 ids = np.frombuffer(b"".join(parts), "<i4")
                 crcs, same = [], []
-                for k, text in enumerate(texts[lo:hi]):
+                for k, text in enumerate(texts):
                     back = decode(ids[offsets[k] : offsets[k + 1]].tolist(), v)
                     crcs.append(zlib.crc32(back))
                     same.append(back == (text or "").replace(MARK, " ").encode())

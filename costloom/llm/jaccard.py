@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from costloom.llm.common import BLANKS, TokenHasher, byte_classes, durable, mix64, slices
+from costloom.llm.common import BLANKS, TokenHasher, byte_classes, durable, mix64, text_slices
 from costloom.llm.components import connected_components
 
 HASHER = TokenHasher(byte_classes(BLANKS))
@@ -69,9 +69,8 @@ def shingle_sets(texts: list, words: int) -> list[np.ndarray]:
 
 def batched_sets(column: pa.Array, words: int):
     """The shingle sets of a column of texts, a slice at a time."""
-    texts = column.cast(pa.binary()).to_pylist()
-    for lo, hi in slices(texts, 1_000_000):
-        yield lo, hi, shingle_sets(texts[lo:hi], words)
+    for lo, hi, part in text_slices(column, 1_000_000):
+        yield lo, hi, shingle_sets(part.cast(pa.binary()).to_pylist(), words)
 
 
 def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
@@ -196,18 +195,14 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
 
     def compare(batches):
         for batch in batches:
-            keep, base = [], 0
-            for (lo, hi, left), (_, _, right) in zip(both(batch.column(2)), both(batch.column(3))):
+            keep = []
+            for lo in range(0, batch.num_rows, 200):
+                left, right = (shingle_sets(batch.column(c).slice(lo, 200).cast(pa.binary()).to_pylist(), words) for c in (2, 3))
                 for x, y in zip(left, right):
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    def both(column):
-        texts = column.cast(pa.binary()).to_pylist()
-        for lo in range(0, len(texts), 200):
-            yield lo, lo + 200, shingle_sets(texts[lo : lo + 200], words)
-
     return joined.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 

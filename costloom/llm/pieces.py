@@ -80,7 +80,7 @@ class Vocabulary:
 class TrieEncoder:
     """Encodes sorted batches of distinct words; remembers fits of pairs, and some words."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 300_000, most_pairs: int = 2_000_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 100_000, most_pairs: int = 500_000):
         self.v = vocabulary
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
