@@ -64,6 +64,22 @@ def durable(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, limit: int = 8_000_000) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch, so that long texts don't pile up in Python workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.match(r"\d+", spark.conf.get(name, None) or "")
+    if held and int(held[0]) > limit:
+        spark.conf.set(name, str(limit))
+
+
+def with_text(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, int]:
+    """The carried columns and the text, and the text's position; a carried text isn't sent twice."""
+    small_batches(docs.sparkSession)
+    if "text" in carry:
+        return docs.select(*carry), carry.index("text")
+    return docs.select(*carry, F.col("text").alias("__text")), len(carry)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over an array of unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -71,18 +87,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: list, limit: int = 4_000_000):
-    """(start, stop) runs of a batch whose texts hold about ``limit`` characters together."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "") + 1
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def text_slices(column: pa.Array, limit: int):
     """(start, stop, slice) runs of a column of texts of about ``limit`` bytes each; only one need be unpacked at a time."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) + 1)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import text_bytes
+from costloom.llm.common import text_bytes, with_text
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -82,6 +82,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, carry: list[str],
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)
     schema = f"{fields}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>"
     names = [*carry, "n_words", "n_hit", "items", "spans"]
+    rows_in, at = with_text(docs, carry)
     per_block = []
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
@@ -95,17 +96,18 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, carry: list[str],
             _BUILT[key] = [WindowMatcher(b, window) for b in shared.value]
         for batch in batches:
             n_words, n_hit, found, spans = [], [], [], []
-            for text in batch.column(len(carry)).to_pylist():
+            for held in batch.column(at):
+                text = held.as_py()
                 data = text_bytes(text)
                 words = WORD.findall(data)
                 ranges, items = merge([h for m in _BUILT[key] for h in m.match(words)])
                 n_words.append(len(words))
                 n_hit.append(sum(b - a + 1 for a, b in ranges))
                 found.append(sorted(map(str, items)))
-                at = [m.span() for m in WORD.finditer(data)] if ranges else []
-                spans.append([{"start": len(data[: at[a][0]].decode()), "stop": len(data[: at[b][1]].decode())} for a, b in ranges])
+                span = [m.span() for m in WORD.finditer(data)] if ranges else []
+                spans.append([{"start": len(data[: span[a][0]].decode()), "stop": len(data[: span[b][1]].decode())} for a, b in ranges])
             kept = [batch.column(i) for i in range(len(carry))]
             tail = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
             yield pa.RecordBatch.from_arrays([*kept, *tail], names)
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(scan, schema)
+    return rows_in.mapInArrow(scan, schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import text_slices
+from costloom.llm.common import small_batches, text_slices, with_text
 from costloom.llm.pieces import MARK, TrieEncoder, Vocabulary, decode
 
 #: The public vocabulary; any SentencePiece model file will do.
@@ -43,12 +43,13 @@ def encode_texts(docs: DataFrame, carry: list[str], model_path: str = MODEL, kin
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)
     names = [*carry, "ids", "decoded_crc32", "round_trip"]
+    rows, at = with_text(docs, carry)
 
     def run(batches):
         encoder = encoder_of(shared.value, kind)
         v = encoder.v
         for batch in batches:
-            for lo, hi, column in text_slices(batch.column(len(carry)), batch_bytes):
+            for lo, hi, column in text_slices(batch.column(at), batch_bytes):
                 texts = column.to_pylist()
                 split = [v.words.findall(v.mark(t)) for t in texts]
                 of_word = encoder.encode(set().union(*split)).__getitem__
@@ -63,7 +64,7 @@ def encode_texts(docs: DataFrame, carry: list[str], model_path: str = MODEL, kin
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(carry))), column, pa.array(crcs, pa.int64()), pa.array(same, pa.bool_())], names)
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, ids array<int>, decoded_crc32 long, round_trip boolean")
+    return rows.mapInArrow(run, f"{fields}, ids array<int>, decoded_crc32 long, round_trip boolean")
 
 
 def decode_ids(rows: DataFrame, carry: list[str], model_path: str = MODEL, kind: str = "bpe") -> DataFrame:
@@ -71,6 +72,7 @@ def decode_ids(rows: DataFrame, carry: list[str], model_path: str = MODEL, kind:
 
     Bytes that aren't UTF-8 become U+FFFD. Ids outside the vocabulary are an error.
     """
+    small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(read_model(model_path))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*carry).schema.fields)
 

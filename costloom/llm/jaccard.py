@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from costloom.llm.common import BLANKS, TokenHasher, byte_classes, durable, mix64, text_slices
+from costloom.llm.common import BLANKS, TokenHasher, byte_classes, durable, mix64, small_batches, text_slices
 from costloom.llm.components import connected_components
 
 HASHER = TokenHasher(byte_classes(BLANKS))
@@ -214,6 +214,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, hot_rows
     The component_id is the smallest doc_id reachable by links. An empty table gives no rows; other
     columns are ignored. No bucket, partner or candidate is capped.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     levels = shingle_levels(docs, words)
     hot_level = int(np.floor(4 * np.log2(hot_rows)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import slices
+from costloom.llm.common import text_slices, with_text
 
 SPACE, OTHER = 0, 1
 #: Long texts are parsed in pieces of this many characters; each starts a new phrase.
@@ -184,7 +184,7 @@ def identify(
     an empty table gives an empty result. Other columns are ignored unless carried.
     """
     sample = training_sample(docs, F.coalesce(learn, F.lit(False)), sample_docs, sample_chars)
-    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("__text"))
+    rows, at = with_text(docs, carry)
     fields = [f for f in docs.select(*carry).schema.fields]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), SCHEMA_TAIL])
     key = (tuple(sorted(sample.items())), alphabet)
@@ -195,9 +195,8 @@ def identify(
             _BUILT[key] = CrossParser(sample, alphabet)
         parser = _BUILT[key]
         for batch in batches:
-            texts = batch.column(len(carry)).to_pylist()
-            for lo, hi in slices(texts, 2_000_000):
-                lang, conf, bits = parser.predict(texts[lo:hi])
+            for lo, hi, column in text_slices(batch.column(at), 1_500_000):
+                lang, conf, bits = parser.predict([t or "" for t in column.to_pylist()])
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(conf), pa.array(bits)], [*carry, "lang_pred", "score", "bits_per_char"])
 

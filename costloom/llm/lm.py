@@ -31,7 +31,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import WORD, durable, text_bytes
+from costloom.llm.common import WORD, durable, small_batches, text_bytes
 from costloom.llm.encoding import MODEL, read_model
 from costloom.llm.pieces import MARK, Vocabulary
 
@@ -286,6 +286,7 @@ def score_documents(docs: DataFrame, learn: Column, model_path: str = MODEL, smo
     count and pieces are equally likely. Repeated rows all count and are scored alike; an empty table
     gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     size = rows.agg(F.sum(F.octet_length("text") + 1), F.sum(F.col("learn").cast("long"))).first()
     blocks = max(1, math.ceil((size[0] or 0) / block_bytes))

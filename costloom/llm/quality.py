@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import BLANKS, TokenHasher, byte_classes, mix64, slices
+from costloom.llm.common import BLANKS, TokenHasher, byte_classes, mix64, small_batches, text_slices, with_text
 
 #: Any byte that is neither blank nor part of a word of letters and digits is a token of its own.
 SINGLE = bytes(b for b in range(128) if b not in BLANKS and not chr(b).isalnum())
@@ -68,6 +68,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 12
     stay where they are. Null texts count as empty. Without rows all weights are 0, so that every
     text scores 0.5. Repeated texts of one label count once.
     """
+    small_batches(docs.sparkSession)
     total = labels.count()
     cut = 2.0**64 * min(1.0, max_rows / max(1, total)) - 2.0**63
     chosen = labels.where(F.xxhash64("doc_id").cast("double") <= cut)
@@ -76,9 +77,8 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 12
     def slots(batches):
         for batch in batches:
             found = []
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for lo, hi in slices(texts, 1_000_000):
-                owner, slot = features(texts[lo:hi], bits)
+            for _, _, column in text_slices(batch.column(0), 1_000_000):
+                owner, slot = features(column.cast(pa.binary()).to_pylist(), bits)
                 found += [s.astype(np.int32).tobytes() for s in np.split(slot, np.flatnonzero(np.diff(owner)) + 1)]
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1).cast(pa.int32()), pa.array(found, pa.binary())], ["h", "label", "slots"])
 
@@ -103,22 +103,22 @@ def score(docs: DataFrame, weights: np.ndarray, carry: list[str]) -> DataFrame:
     """
     bits = len(weights).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(weights)
+    rows, at = with_text(docs, carry)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields), "score double"])
 
     def run(batches):
         w = shared.value
         for batch in batches:
             out = []
-            texts = batch.column(len(carry)).cast(pa.binary()).to_pylist()
-            for lo, hi in slices(texts, 1_000_000):
-                owner, slot = features(texts[lo:hi], bits)
+            for _, _, column in text_slices(batch.column(at), 1_000_000):
+                owner, slot = features(column.cast(pa.binary()).to_pylist(), bits)
                 size = np.bincount(owner)
                 total = np.bincount(owner, np.where(slot > 0, w[slot], 0.0)) * SCALE / np.sqrt(size) + w[0]
                 out.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
             out = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(out)], [*carry, "score"])
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, carry: list[str], threshold: float = 0.7, **options) -> DataFrame:
