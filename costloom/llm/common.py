@@ -64,6 +64,17 @@ def durable(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """An object that a Python worker keeps between tasks; one at a time, as workers live through many stages."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def small_batches(spark: SparkSession, limit: int = 8_000_000) -> None:
     """Lower the session's bound on the bytes of an Arrow batch, so that long texts don't pile up in Python workers."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

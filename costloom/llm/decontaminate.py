@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import text_bytes, with_text
+from costloom.llm.common import held, text_bytes, with_text
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -65,9 +65,6 @@ def merge(hits: list[tuple[int, int, set]]) -> tuple[list[tuple[int, int]], set]
     return ranges, items
 
 
-_BUILT: dict = {}
-
-
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, carry: list[str], window: int = 10, block_words: int = 2_000_000) -> DataFrame:
     """``carry`` columns plus ``n_words``, ``n_hit``, ``items`` and ``spans`` for every row of ``docs``.
 
@@ -91,16 +88,14 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, carry: list[str],
     key = uuid.uuid4().hex
 
     def scan(batches):
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = [WindowMatcher(b, window) for b in shared.value]
+        matchers = held(key, lambda: [WindowMatcher(b, window) for b in shared.value])
         for batch in batches:
             n_words, n_hit, found, spans = [], [], [], []
-            for held in batch.column(at):
-                text = held.as_py()
+            for value in batch.column(at):
+                text = value.as_py()
                 data = text_bytes(text)
                 words = WORD.findall(data)
-                ranges, items = merge([h for m in _BUILT[key] for h in m.match(words)])
+                ranges, items = merge([h for m in matchers for h in m.match(words)])
                 n_words.append(len(words))
                 n_hit.append(sum(b - a + 1 for a, b in ranges))
                 found.append(sorted(map(str, items)))

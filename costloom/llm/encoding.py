@@ -9,12 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import small_batches, text_slices, with_text
+from costloom.llm.common import held, small_batches, text_slices, with_text
 from costloom.llm.pieces import MARK, TrieEncoder, Vocabulary, decode
 
 #: The public vocabulary; any SentencePiece model file will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_ENCODERS: dict = {}
 
 
 def read_model(path: str) -> bytes:
@@ -25,11 +24,7 @@ def read_model(path: str) -> bytes:
 
 def encoder_of(model: bytes, kind: str) -> TrieEncoder:
     """The worker's encoder of a model."""
-    key = (zlib.crc32(model), len(model), kind)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = TrieEncoder(Vocabulary(model, kind))
-    return _ENCODERS[key]
+    return held(("pieces", zlib.crc32(model), len(model), kind), lambda: TrieEncoder(Vocabulary(model, kind)))
 
 
 def encode_texts(docs: DataFrame, carry: list[str], model_path: str = MODEL, kind: str = "bpe", batch_bytes: int = 3_000_000) -> DataFrame:

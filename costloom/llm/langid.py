@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import text_slices, with_text
+from costloom.llm.common import held, text_slices, with_text
 
 SPACE, OTHER = 0, 1
 #: Long texts are parsed in pieces of this many characters; each starts a new phrase.
@@ -165,9 +165,6 @@ class CrossParser:
         return [self.langs[b] if x else "und" for b, x in zip(best, letters)], score, np.where(letters > 0, low, 0.0)
 
 
-_BUILT: dict = {}
-
-
 def identify(
     docs: DataFrame,
     learn: Column,
@@ -187,13 +184,10 @@ def identify(
     rows, at = with_text(docs, carry)
     fields = [f for f in docs.select(*carry).schema.fields]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), SCHEMA_TAIL])
-    key = (tuple(sorted(sample.items())), alphabet)
+    key = ("languages", tuple(sorted(sample.items())), alphabet)
 
     def score(batches):
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = CrossParser(sample, alphabet)
-        parser = _BUILT[key]
+        parser = held(key, lambda: CrossParser(sample, alphabet))
         for batch in batches:
             for lo, hi, column in text_slices(batch.column(at), 1_500_000):
                 lang, conf, bits = parser.predict([t or "" for t in column.to_pylist()])
