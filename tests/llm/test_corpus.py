@@ -178,6 +178,17 @@ def test_language_model_scores(spark, docs, empty):
     assert all(math.isfinite(r["score"]) for r in lm.score_documents(docs.limit(5), F.lit(False)).collect())
 
 
+def test_language_model_is_fitted_three_times(docs):
+    few = docs.where("doc_id < 20")
+
+    def total(**given):
+        rows = lm.score_documents(few, fold(F.col("doc_id"), 10) != 0, **given).agg(F.sum("score")).first()
+        return rows[0]
+
+    assert math.isclose(total(), total(rounds=3), rel_tol=1e-12)
+    assert not math.isclose(total(), total(rounds=2), rel_tol=1e-9)
+
+
 # 4
 
 
