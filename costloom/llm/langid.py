@@ -5,8 +5,8 @@ A text is cut greedily into the longest phrases that occur in a language's sampl
 the language that needs the fewest bits (phrases times the log of the sample length,
 per character) wins.
 
-Bounds: ``sample_chars`` characters of training text per language, from about
-``sample_docs`` documents picked by a hash of their text. All texts are parsed whole.
+Bounds: ``sample_chars`` characters of training text per language, drawn evenly from
+``sample_docs`` distinct texts picked by a hash of their text. All texts are parsed whole.
 """
 
 from __future__ import annotations
@@ -26,22 +26,44 @@ PIECE = 1024
 SCHEMA_TAIL = "lang_pred string, score double, bits_per_char double"
 
 
+def level(lengths: list[int], room: int) -> int:
+    """The largest length that texts can be cut to so that all together, with a space each, fit into ``room``."""
+    out = 0
+    for k, n in enumerate(sorted(lengths)):
+        out = max(0, room // (len(lengths) - k) - 1)
+        if n > out:
+            return out
+        room -= n + 1
+    return max([out, *lengths])
+
+
 def training_sample(docs: DataFrame, learn: Column, sample_docs: int, sample_chars: int) -> dict[str, str]:
-    """Text per language, at most ``sample_chars`` characters, in the order of a hash of the text."""
+    """Text per language, at most ``sample_chars`` characters, from the ``sample_docs`` distinct texts with the smallest hashes.
+
+    Each picked text gives the same number of characters, from an offset that its hash chooses; what short
+    texts leave over goes to the longer ones, up to four times an equal share.
+    """
     rows = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").count().withColumnRenamed("count", "n").collect()}
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().withColumnRenamed("count", "n").collect()}
     if not counts:
         return {}
-    # the hash range that is expected to hold sample_docs texts of each language
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_docs / n))])
+    # a hash range that holds sample_docs distinct texts of each language, by six standard deviations
+    wanted = sample_docs + 6 * math.sqrt(sample_docs) + 18
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, wanted / n))])
+    parts = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 4 * math.ceil(sample_chars / min(n, sample_docs)))])
     cut = (share[F.col("lang")] * 2.0**64) - 2.0**63
-    part = math.ceil(4 * sample_chars / sample_docs) + 200
-    picked = rows.where(F.col("h").cast("double") <= cut).dropDuplicates(["lang", "h"]).select("lang", "h", F.substring("text", 1, part).alias("text"))
+    picked = rows.where(F.col("h").cast("double") <= cut).withColumn("part", parts[F.col("lang")])
+    offset = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - F.col("part") + 1, F.lit(1))).cast("int")
+    picked = picked.withColumn("text", F.substring("text", offset + 1, F.col("part"))).dropDuplicates(["lang", "h"])
+    texts: dict[str, list[str]] = {}
+    for r in sorted(picked.select("lang", "h", "text").collect(), key=lambda r: (r["lang"], r["h"])):
+        own = texts.setdefault(r["lang"], [])
+        if len(own) < sample_docs:
+            own.append(r["text"])
     out: dict[str, str] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"])):
-        have = out.get(r["lang"], "")
-        if len(have) < sample_chars:
-            out[r["lang"]] = f"{have} {r['text']}"[:sample_chars]
+    for lang, own in texts.items():
+        part = level([len(t) for t in own], sample_chars)
+        out[lang] = " ".join(t[:part] for t in own)[:sample_chars]
     return out
 
 

@@ -113,6 +113,18 @@ def test_language_is_found_on_held_out_rows(docs, empty):
     assert {r["lang_pred"] for r in langid.identify(docs, F.lit(False), ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_sample_counts_copies_once_and_draws_on_every_text(spark):
+    copies = spark.range(20_000).selectExpr("'xx' AS lang", "concat('copied text number ', id % 3) AS text")
+    distinct = spark.range(100).selectExpr("'yy' AS lang", "concat('head ', repeat(concat('w', id, 'e '), 400)) AS text")
+    sample = langid.training_sample(copies.union(distinct), F.lit(True), 400, 16_000)
+    assert all(f"copied text number {k}" in sample["xx"] for k in range(3))
+    assert 15_800 < len(sample["yy"]) <= 16_000 and sample["yy"].count("head ") < 50
+    assert all(f"w{k}e" in sample["yy"] for k in range(100))
+    many = spark.range(3000).selectExpr("'zz' AS lang", "concat(repeat(concat('w', id, 'e '), 40)) AS text")
+    words = set(re.findall(r"w\d+e", langid.training_sample(many, F.lit(True), 400, 16_000)["zz"]))
+    assert len(words) == 400
+
+
 def test_phrases_are_those_of_brute_force():
     parser = langid.CrossParser({"a": "abracadabra abc", "b": "the cat sat on the mat"})
     for text in ["abcat sat", "zzz", "the the abra", "on mat cat"]:
