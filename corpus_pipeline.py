@@ -11,10 +11,32 @@ from costloom.llm.common import durable, fresh_path, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Texts of fewer characters teach no bound. Bits that a text may need over its language's bound, whatever its length.
+LONG, SLACK = 64, 64
+
+
+def language_bounds(found: DataFrame, factor: float = 2.0, least: float = 4.0) -> dict[str, float]:
+    """Bits per character that texts of each learnt language may need.
+
+    ``factor`` times the 95th percentile of the long rows labelled with the language and identified as it,
+    so that up to a twentieth of junk among them doesn't move the bound; ``least`` where they are few and
+    parse their own sample. Languages without such rows have no bound.
+    """
+    rows = found.where((F.col("lang") == F.col("lang_pred")) & (F.length("text") >= LONG))
+    high = rows.groupBy("lang_pred").agg(F.percentile_approx("bits_per_char", 0.95, 1000).alias("high"))
+    return {r["lang_pred"]: max(least, factor * r["high"]) for r in high.collect()}  # one row a learnt language
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identified language (no letter in any text) go."""
-    found = langid.identify(docs, F.lit(True), COLUMNS)
-    return found.where(F.col("lang_pred") != "und").select(COLUMNS)
+    """``lang`` becomes the identified language; documents without a letter, or too strange to all languages, go."""
+    found = durable(langid.identify(docs, F.lit(True), COLUMNS), "stage-languages")
+    bounds = language_bounds(found)
+    kept = F.col("lang_pred") != "und"
+    if bounds:
+        bound = F.try_element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), F.col("lang_pred"))
+        over = (F.col("bits_per_char") - bound) * F.length("text") > SLACK
+        kept = kept & ~F.coalesce(over, F.lit(False))
+    return found.where(kept).withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

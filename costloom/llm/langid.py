@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from costloom.llm.common import held, text_slices, with_text
 
-SPACE, OTHER = 0, 1
+#: Codes of spaces, letters outside the alphabet, and letters that no sample has; each of the last is a phrase of its own.
+SPACE, OTHER, UNSEEN = 0, 1, 2
 #: Long texts are parsed in pieces of this many characters; each starts a new phrase.
 PIECE = 1024
 SCHEMA_TAIL = "lang_pred string, score double, bits_per_char double"
@@ -107,21 +108,22 @@ class CrossParser:
                 if ch.isalpha():
                     seen[ch] = seen.get(ch, 0) + 1
         letters = sorted(seen, key=lambda ch: (-seen[ch], ch))[:alphabet]
-        self.width = len(letters) + 2
+        self.width = len(letters) + 3
         limit = 1 + max([0x250, *map(ord, letters)])
+        self.rare = set(seen) - set(letters)
         self.map = np.full(limit + 1, SPACE, np.int16)
         for cp in range(limit):
             if chr(cp).isalpha():
-                self.map[cp] = OTHER
+                self.map[cp] = OTHER if chr(cp) in self.rare else UNSEEN
         for k, ch in enumerate(letters):
-            self.map[ord(ch)] = k + 2
+            self.map[ord(ch)] = k + 3
         self.limit = limit
         tables, self.start, at = [], [], 0
         self.log_len = np.empty(len(self.langs))
         for k, lang in enumerate(self.langs):
             codes = self.codes(sample[lang])[0]
             # every symbol once, so that a phrase is never empty
-            t = np.array(automaton([*range(self.width), *codes.tolist()], self.width), np.int64)
+            t = np.array(automaton([UNSEEN, *(c for c in range(self.width) if c != UNSEEN), *codes.tolist()], self.width), np.int64)
             miss = t == 0
             t = np.where(miss, t[0], t) + at
             tables.append(((t * self.width) << 1 | miss).astype(np.int32))
@@ -137,7 +139,7 @@ class CrossParser:
         codes = self.map[np.minimum(cps, self.limit)]
         if wide.any():  # letters of other scripts
             at = np.flatnonzero(wide)
-            codes[at] = [OTHER if chr(c).isalpha() else SPACE for c in cps[at].tolist()]
+            codes[at] = [SPACE if not chr(c).isalpha() else OTHER if chr(c) in self.rare else UNSEEN for c in cps[at].tolist()]
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] != SPACE) | (codes[:-1] != SPACE)
         return codes[keep].astype(np.int32), keep

@@ -460,3 +460,20 @@ def test_pipeline_stages_hold_against_brute_force(spark):
     assert kept == {r["doc_id"] for r in given.collect()} - hit
     assert docs.where("NOT round_trip").count() == 0 and docs.count() == len(kept)
     assert cp.run(spark, FOLDER).count() == docs.count()
+
+
+def test_pipeline_language_counts(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    parts = {"en": ["th", "er", "on", "an", "ing"], "de": ["sch", "ung", "ein", "ä", "ich"]}
+
+    def prose(own):
+        return " ".join("".join(rng.choice(own) for _ in range(rng.randint(1, 4))) for _ in range(80))
+
+    rows = [(i, prose(parts[lang]), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    rows += [(900, prose(parts["en"]), None), (901, prose(parts["de"]), "en"), (902, "er", None)]
+    rows += [(950, "Всички хора се раждат свободни и равни по достойнство и права " * 3, None), (951, prose(["zxqj", "wvkpt", "kjxgf", "mwbvq", "ypjk"]), None), (952, "12 34", "en"), (953, prose(["ttgh", "rrsc", "nnoä", "cgth", "uuos"]), None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["lang"] for r in cp.language_id(spark, docs, FOLDER).collect()}
+    assert got == {i: lang for i, _, lang in rows[:120]} | {900: "en", 901: "de", 902: "en"}
