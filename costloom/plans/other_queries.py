@@ -397,6 +397,16 @@ def export_latest_manifest(v):
 # payloads: the given rows as JSON, flattened again
 
 
+#: Rows of a payload, about; the slices of a table grow with its rows.
+PAYLOAD_ROWS = 2000
+
+
+def sliced(df, key: str, rows: int | None = None):
+    """``df`` with a hash slice of about ``rows`` rows, which grouping into payloads takes as one more key."""
+    n = max(1, -(-df.count() // (rows or PAYLOAD_ROWS)))
+    return df.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(n)))
+
+
 def point(names: dict):
     return F.struct(*[c.alias(n) for n, c in names.items()])
 
@@ -407,7 +417,7 @@ POINT_SQL = "SELECT CAST(user_id AS STRING) AS resource_id, CAST(floor(epoch(ts)
 @query("azure_metric_points", POINT_SQL)
 def azure_metric_points(v):
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    per = v.events.groupBy("user_id").agg(F.collect_list(point({"time_stamp": stamp, "average": F.when(F.col("event_id") % 2 == 0, F.col("value")), "maximum": F.when(F.col("event_id") % 2 == 1, F.col("value"))})).alias("data"))
+    per = sliced(v.events, "event_id").groupBy("user_id", "slice").agg(F.collect_list(point({"time_stamp": stamp, "average": F.when(F.col("event_id") % 2 == 0, F.col("value")), "maximum": F.when(F.col("event_id") % 2 == 1, F.col("value"))})).alias("data"))
     inner = F.struct(F.array(F.struct(F.array(F.struct("data")).alias("timeseries"))).alias("value"))
     body = F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), F.create_map(F.lit("cpu"), F.struct(inner.alias("metrics_data"))).alias("c7n:metrics")))
     rows = P.azure_metric_points(per.select(body.alias("payload")))
@@ -417,7 +427,7 @@ def azure_metric_points(v):
 @query("aws_metric_points", POINT_SQL)
 def aws_metric_points(v):
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    per = v.events.groupBy("user_id").agg(F.collect_list(point({"Timestamp": stamp, "Sum": F.col("value")})).alias("data"))
+    per = sliced(v.events, "event_id").groupBy("user_id", "slice").agg(F.collect_list(point({"Timestamp": stamp, "Sum": F.col("value")})).alias("data"))
     body = F.to_json(F.struct(F.col("user_id").cast("string").alias("InstanceId"), F.create_map(F.lit("cpu"), F.col("data")).alias("c7n.metrics")))
     rows = P.aws_metric_points(per.select(body.alias("payload")))
     return rows.select("resource_id", F.unix_timestamp("ts").alias("ts"), F.round("value", 4).alias("value"))
@@ -425,10 +435,10 @@ def aws_metric_points(v):
 
 @query("prom_matrix_points", "SELECT concat('c', event_type, ':namespace/ns', user_id % 10) AS urn, event_type AS app, CAST(floor(epoch(ts)) AS BIGINT) AS ts, round(value, 4) AS value FROM events WHERE user_id % 10 <> 3")
 def prom_matrix_points(v):
-    e = v.events.select("event_type", (F.col("user_id") % 10).alias("k"), F.array(F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string"), F.col("value").cast("string")).alias("v"))
-    series = e.groupBy("event_type", "k").agg(F.collect_list("v").alias("values"))
+    e = sliced(v.events, "event_id").select("event_type", "slice", (F.col("user_id") % 10).alias("k"), F.array(F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string"), F.col("value").cast("string")).alias("v"))
+    series = e.groupBy("event_type", "slice", "k").agg(F.collect_list("v").alias("values"))
     names = F.map_filter(F.create_map(F.lit("namespace"), F.when(F.col("k") != 3, F.concat(F.lit("ns"), F.col("k").cast("string"))), F.lit("label_app"), F.col("event_type")), lambda k, x: x.isNotNull())
-    per = series.groupBy("event_type").agg(F.collect_list(F.struct(names.alias("metric"), "values")).alias("result"))
+    per = series.groupBy("event_type", "slice").agg(F.collect_list(F.struct(names.alias("metric"), "values")).alias("result"))
     rows = P.prom_matrix_points(per.select(F.concat(F.lit("c"), "event_type").alias("cluster"), F.to_json(F.struct(F.struct("result").alias("data"))).alias("payload")))
     return rows.select("urn", F.col("tags")["app"].alias("app"), F.unix_timestamp("ts").alias("ts"), F.round("value", 4).alias("value"))
 
@@ -438,7 +448,7 @@ def krr_scan_rows(v):
     key = F.col("s_suppkey").cast("int").cast("string")
     obj = F.struct(F.col("s_name").alias("namespace"), F.when(F.col("s_suppkey") % 7 != 0, F.concat(F.lit("w"), key)).alias("name"), F.lit("Deployment").alias("kind"), F.lit("main").alias("container"), F.struct(F.create_map(F.lit("cpu"), F.lit("250m")).alias("requests")).alias("allocations"))
     wanted = F.struct(F.create_map(F.lit("cpu"), F.struct(key.alias("value"))).alias("requests"))
-    per = v.supplier.groupBy("s_nationkey").agg(F.collect_list(F.struct(obj.alias("object"), wanted.alias("recommended"))).alias("scans"))
+    per = sliced(v.supplier, "s_suppkey").groupBy("s_nationkey", "slice").agg(F.collect_list(F.struct(obj.alias("object"), wanted.alias("recommended"))).alias("scans"))
     rows = P.krr_scan_rows(per.select(F.concat(F.lit("c"), F.col("s_nationkey").cast("string")).alias("cluster"), F.to_json(F.struct("scans")).alias("payload")))
     return rows.select("urn", "workload_type", "workload", "cpu_now", "cpu_wanted")
 
@@ -452,7 +462,7 @@ def azure_sku_hardware(v):
     caps = F.array(cap("vCPUs", F.col("p_size")), cap("MemoryGB", F.col("p_size") * 4), cap("GPUs", F.when(k % 11 == 0, 1).otherwise(0)), cap("PremiumIO", F.when(k % 3 == 0, "True").otherwise("False")))
     name = F.concat(F.lit("Standard_D"), k.cast("string"), F.when(k % 4 == 0, "ps").otherwise("s"), F.lit("_v5"))
     sku = F.struct(F.when(k % 5 == 0, "disks").otherwise("virtualMachines").alias("resourceType"), name.alias("name"), F.lit("standardDSFamily").alias("family"), caps.alias("capabilities"))
-    per = v.part.groupBy((k % 16).alias("g")).agg(F.collect_list(sku).alias("value"))
+    per = sliced(v.part, "p_partkey").groupBy((k % 16).alias("g"), "slice").agg(F.collect_list(sku).alias("value"))
     return P.azure_sku_hardware(per.select(F.to_json(F.struct("value")).alias("payload"))).select("instance_type", "vcpu", "memory_gb", "architecture", "is_gpu", "supports_premium")
 
 
@@ -464,7 +474,7 @@ def aws_type_hardware(v):
         F.struct(F.concat(F.lit("Up to "), F.col("p_size").cast("string"), F.lit(" Gigabit")).alias("NetworkPerformance")).alias("NetworkInfo"), F.struct(F.array(F.when(k % 4 == 0, "arm64").otherwise("x86_64")).alias("SupportedArchitectures")).alias("ProcessorInfo"),
         F.when(k % 11 == 0, F.struct(F.array(F.struct(F.lit("g").alias("Name"))).alias("Gpus"))).alias("GpuInfo"), (k % 3 == 0).alias("InstanceStorageSupported"),
     )
-    per = v.part.groupBy((k % 16).alias("g")).agg(F.collect_list(kind).alias("InstanceTypes"))
+    per = sliced(v.part, "p_partkey").groupBy((k % 16).alias("g"), "slice").agg(F.collect_list(kind).alias("InstanceTypes"))
     return P.aws_type_hardware(per.select(F.to_json(F.struct("InstanceTypes")).alias("payload"))).select("instance_type", "vcpu", "memory_gb", "network_mbps", "architecture", "is_gpu", "has_local_storage")
 
 
@@ -473,7 +483,7 @@ def azure_price_rows(v):
     k = F.col("p_partkey")
     meter = F.element_at(F.array(F.lit("D2 Spot"), F.lit("D2"), F.lit("D4"), F.lit("D8")), (k % 4 + 1).cast("int"))
     item = F.struct(meter.alias("meterName"), F.when(k % 2 == 0, "VM Windows").otherwise("VM").alias("productName"), F.concat(F.lit("T"), k.cast("string")).alias("armSkuName"), F.lit("r").alias("armRegionName"), F.col("p_retailprice").alias("retailPrice"))
-    per = v.part.groupBy((k % 16).alias("g")).agg(F.collect_list(item).alias("Items"))
+    per = sliced(v.part, "p_partkey").groupBy((k % 16).alias("g"), "slice").agg(F.collect_list(item).alias("Items"))
     return P.azure_price_rows(per.select(F.to_json(F.struct("Items")).alias("payload"))).select("instance_type", "os", "hourly_price")
 
 
@@ -484,7 +494,7 @@ def aws_price_rows(v):
     attributes = F.create_map(*[x for n, c in (("tenancy", F.when(k % 5 == 0, "Dedicated").otherwise("Shared")), ("capacitystatus", F.lit("Used")), ("preInstalledSw", F.lit("NA")), ("instanceType", F.concat(F.lit("T"), sku)), ("operatingSystem", F.when(k % 3 == 0, "Windows").otherwise("Linux"))) for x in (F.lit(n), c)])
     product = F.struct(sku, F.struct(F.lit("Compute Instance").alias("productFamily"), attributes.alias("attributes")))
     term = F.struct(sku, F.create_map(F.lit("o"), F.struct(F.create_map(F.lit("c"), F.struct(F.create_map(F.lit("USD"), F.col("p_retailprice").cast("string")).alias("pricePerUnit"))).alias("priceDimensions"))))
-    per = v.part.groupBy((k % 16).alias("g")).agg(F.map_from_entries(F.collect_list(product)).alias("products"), F.map_from_entries(F.collect_list(term)).alias("OnDemand"))
+    per = sliced(v.part, "p_partkey").groupBy((k % 16).alias("g"), "slice").agg(F.map_from_entries(F.collect_list(product)).alias("products"), F.map_from_entries(F.collect_list(term)).alias("OnDemand"))
     rows = P.aws_price_rows(per.select(F.concat(F.lit("g"), F.col("g").cast("string")).alias("region"), F.to_json(F.struct("products", F.struct("OnDemand").alias("terms"))).alias("payload")))
     return rows.select("instance_type", "region", "os", "hourly_price")
 
