@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,53 +111,14 @@ def text_slices(column: pa.Array, limit: int):
         lo = hi
 
 
-class TokenHasher:
-    """64-bit hashes of the tokens of many texts at once.
+def token_hashes(texts: list, pattern: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keyed hash and text number of every token of many texts (bytes or null), in order; A-Z count as a-z.
 
-    ``classes`` gives each byte 0 (between tokens), 1 (part of a token) or 2 (a token of its own).
-    A token's hash is a polynomial over random values of its bytes; A-Z count as a-z.
+    A SipHash of the token's bytes, so that no family of texts collides by its form: two tokens share
+    a hash with a chance of 2^-64.
     """
-
-    BASE = 0x9E3779B97F4A7C15 | 1
-
-    def __init__(self, classes: np.ndarray):
-        self.classes = classes
-        values = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-        values[65:91] = values[97:123]
-        self.values = values
-        self._grow(1 << 16)
-
-    def _grow(self, n: int) -> None:
-        back = pow(self.BASE, -1, 1 << 64)
-        self.power = np.multiply.accumulate(np.full(n, self.BASE, np.uint64))
-        self.back = np.multiply.accumulate(np.full(n, back, np.uint64))
-
-    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and text number of every token, in order. Null texts have none."""
-        texts = [t or b"" for t in texts]
-        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-        if len(data) > len(self.power):
-            self._grow(len(data) * 5 // 4)
-        kind = self.classes[data]
-        single, inside = kind == 2, kind == 1
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
-        starts, stops = np.flatnonzero(first | single), np.flatnonzero(last | single) + 1
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.power[: len(data)], out=sums[1:])
-        hashes = (sums[stops] - sums[starts]) * self.back[starts]
-        bounds = np.cumsum([len(t) + 1 for t in texts])
-        return mix64(hashes), np.searchsorted(bounds, starts, "right")
-
-
-def byte_classes(between: bytes, single: bytes = b"") -> np.ndarray:
-    """The class table of :class:`TokenHasher`: all other bytes are parts of tokens."""
-    classes = np.ones(256, np.uint8)
-    classes[list(between)] = 0
-    classes[list(single)] = 2
-    return classes
-
-
-#: The ASCII white space characters between words.
-BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
+    found = [pattern.findall(t.lower()) if t else [] for t in texts]
+    counts = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.empty(int(counts.sum()), object)
+    flat[:] = list(chain.from_iterable(found))
+    return mix64(hash_array(flat, categorize=False)), np.repeat(np.arange(len(found)), counts)

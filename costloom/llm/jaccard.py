@@ -30,10 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from costloom.llm.common import BLANKS, TokenHasher, byte_classes, durable, mix64, small_batches, text_slices
+from costloom.llm.common import WORD, durable, mix64, small_batches, text_slices, token_hashes
 from costloom.llm.components import connected_components
 
-HASHER = TokenHasher(byte_classes(BLANKS))
 #: Counters of the sketch, and the rows they are summed in.
 COUNTERS, CHUNKS = 1 << 20, 64
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -44,7 +43,7 @@ def shingle_sets(texts: list, words: int) -> list[np.ndarray]:
 
     Texts with fewer words are one shingle; texts without words have none.
     """
-    h, owner = HASHER(texts)
+    h, owner = token_hashes(texts, WORD)
     counts = np.bincount(owner, minlength=len(texts))
     ends = np.cumsum(counts)
     out = []
@@ -165,9 +164,11 @@ def overlaps_fit(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     return both.where(common + rest >= least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, per_slice: int = 200) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that link, by their whole sets.
 
+    The pairs of one ``a`` are dealt into slices of about ``per_slice``; a slice gets one copy of a's
+    text and is read as a stream, so a document with a million partners is many small pieces of work.
     Only texts whose doc_id falls on a marked bit of a fixed-size bitmap of wanted ids are shuffled.
     """
     bits = 1 << 22
@@ -191,28 +192,47 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").select("id", "text", spot.cast("int").alias("spot"))
     texts = rows.mapInArrow(wanted, f"id {kind}, text string")
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > per_slice)
+    slices = F.coalesce(F.ceil(F.col("m") / per_slice), F.lit(1))
+    placed = durable(pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), slices).alias("slice")), "slices")
+    heads = placed.select("a", "slice").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "slice", F.lit(None).cast(kind).alias("b"), "text")
+    partners = placed.join(texts.withColumnRenamed("id", "b"), "b").select("a", "slice", "b", "text")
+    ordered = heads.union(partners).repartition("a", "slice").sortWithinPartitions("a", "slice", F.asc_nulls_first("b"))
 
     def compare(batches):
+        at, heads = None, []
         for batch in batches:
+            a, piece, b = (batch.column(c).to_pylist() for c in range(3))
             keep = []
-            for lo in range(0, batch.num_rows, 200):
-                left, right = (shingle_sets(batch.column(c).slice(lo, 200).cast(pa.binary()).to_pylist(), words) for c in (2, 3))
-                for x, y in zip(left, right):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            for lo, _, sets in batched_sets(batch.column(3), words):
+                for k, s in enumerate(sets, lo):
+                    if at != (a[k], piece[k]):
+                        at, heads = (a[k], piece[k]), []
+                    if b[k] is None:
+                        heads.append(s)
+                    elif any(linked(s, x, percent) for x in heads):
+                        keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
-    return joined.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    return ordered.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, hot_rows: int = 20_000, hot_slices: int = 64) -> DataFrame:
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two shingle sets are similar enough."""
+    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, hot_rows: int = 20_000, hot_slices: int = 64, slice_rows: int = 2_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
     Null and empty texts have no shingles and link with nothing; a null doc_id keeps a null component
     and links with nothing. Rows that repeat a doc_id count as one document holding all their texts.
     The component_id is the smallest doc_id reachable by links. An empty table gives no rows; other
-    columns are ignored. No bucket, partner or candidate is capped.
+    columns are ignored. No bucket, partner or candidate is capped. ``hot_rows`` and ``hot_slices``
+    split frequent tokens in the first round; ``slice_rows`` bounds the blocks of the second.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -250,12 +270,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, hot_rows
     placed = durable(members.join(found.withColumnRenamed("component", "c"), "node", "left").select("gid", "node", F.coalesce("c", "node").alias("c")), "placed")
     span = placed.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     rows = durable(shared.select("token", "gid", "n", "pos").join(span, "gid"), "spans")
-    open_tokens = rows.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-    rows = rows.join(open_tokens, "token")
-    x, y = rows.alias("x"), rows.alias("y")
+    open_tokens = rows.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.ceil(F.count(F.lit(1)) / slice_rows).alias("slices"))
+    rows = rows.join(open_tokens.where("l <> h").select("token", "slices"), "token")
+    # a frequent token's rows are dealt into slices; each two slices, and each slice with itself, are one block
+    own = F.pmod(F.xxhash64("gid"), F.col("slices"))
+    x = rows.withColumn("s", own).withColumn("t", F.explode(F.sequence("s", F.col("slices") - 1))).alias("x")
+    y = rows.withColumn("t", own).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), "t"))).alias("y")
     apart = (F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))
     fits = sizes_fit(F.col("x.n"), F.col("y.n"), percent) & positions_fit(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & fits).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
+    block = (F.col("x.token") == F.col("y.token")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.t") == F.col("y.t"))
+    once = (F.col("x.gid") < F.col("y.gid")) | ((F.col("x.s") < F.col("x.t")) & (F.col("x.gid") != F.col("y.gid")))
+    rest = x.join(y, block & once & apart & fits).select(F.least("x.gid", "y.gid").alias("a"), F.greatest("x.gid", "y.gid").alias("b")).distinct()
     mixed = span.where("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     rest = overlaps_fit(rest, groups, percent).union(mixed)
     one = placed.select(F.col("gid").alias("a"), F.col("node").alias("m"), F.col("c").alias("cm"))

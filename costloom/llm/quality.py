@@ -8,6 +8,7 @@ the labelled rows (``max_rows``); every text is scored whole as a sparse dot pro
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -15,18 +16,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import BLANKS, TokenHasher, byte_classes, mix64, small_batches, text_slices, with_text
+from costloom.llm.common import mix64, small_batches, text_slices, token_hashes, with_text
 
-#: Any byte that is neither blank nor part of a word of letters and digits is a token of its own.
-SINGLE = bytes(b for b in range(128) if b not in BLANKS and not chr(b).isalnum())
+#: Words of letters, digits and non-ASCII bytes; any other byte that is not blank is a token of its own.
+TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xFF]+|[^\x20\x09-\x0D]")
 #: The length of a text's feature vector, without the intercept.
 SCALE = 4.0
-HASHER = TokenHasher(byte_classes(BLANKS, SINGLE))
 
 
 def features(texts: list, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, slot) of the distinct hashed word n-grams, sorted; slot 0 is the intercept, in every text."""
-    h, owner = HASHER(texts)
+    h, owner = token_hashes(texts, TOKEN)
     slots = h >> np.uint64(64 - bits)
     same = owner[1:] == owner[:-1]
     pairs = mix64(h[:-1] * np.uint64(3) + h[1:])[same] >> np.uint64(64 - bits)
