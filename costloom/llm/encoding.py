@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import held, small_batches, text_slices, with_text
+from costloom.llm.common import frugal, held, small_batches, text_slices, with_text
 from costloom.llm.pieces import MARK, TrieEncoder, Vocabulary, decode
 
 #: The public vocabulary; any SentencePiece model file will do.
@@ -59,7 +59,7 @@ def encode_texts(docs: DataFrame, carry: list[str], model_path: str = MODEL, kin
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(carry))), column, pa.array(crcs, pa.int64()), pa.array(same, pa.bool_())], names)
 
-    return rows.mapInArrow(run, f"{fields}, ids array<int>, decoded_crc32 long, round_trip boolean")
+    return rows.mapInArrow(frugal(run), f"{fields}, ids array<int>, decoded_crc32 long, round_trip boolean")
 
 
 def decode_ids(rows: DataFrame, carry: list[str], model_path: str = MODEL, kind: str = "bpe") -> DataFrame:
@@ -77,4 +77,4 @@ def decode_ids(rows: DataFrame, carry: list[str], model_path: str = MODEL, kind:
             texts = [None if ids is None else decode(ids, v).decode("utf-8", "replace") for ids in batch.column(len(carry)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(texts, pa.string())], [*carry, "text"])
 
-    return rows.select(*carry, F.col("ids").alias("__ids")).mapInArrow(run, f"{fields}, text string")
+    return rows.select(*carry, F.col("ids").alias("__ids")).mapInArrow(frugal(run), f"{fields}, text string")

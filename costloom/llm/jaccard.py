@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from costloom.llm.common import WORD, durable, mix64, small_batches, text_slices, token_hashes
+from costloom.llm.common import WORD, durable, frugal, mix64, small_batches, text_slices, token_hashes
 from costloom.llm.components import connected_components
 
 #: Counters of the sketch, and the rows they are summed in.
@@ -90,7 +90,7 @@ def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
         return pa.table({"chunk": data["chunk"].slice(0, 1), "task": pa.array([data["task"][0].as_py() // 64], pa.int64()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     shape = "chunk int, task long, counts binary"
-    parts = docs.select("text").mapInArrow(count, shape)
+    parts = docs.select("text").mapInArrow(frugal(count), shape)
     # a tree of sums: at most 64 rows a group in the first layer, then one row for 64 tasks
     for layer in (F.floor(F.col("task") / 64), F.lit(0)):
         parts = parts.groupBy("chunk", layer.alias("part")).applyInArrow(add, shape)
@@ -137,7 +137,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray, words: int, percent: int, hot_
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, signature binary, group_key binary, prefix array<long>, hot_at int")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, n int, signature binary, group_key binary, prefix array<long>, hot_at int")
 
 
 def least_overlap(n1: Column, n2: Column, percent: int) -> Column:
@@ -191,7 +191,7 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, per_slic
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").select("id", "text", spot.cast("int").alias("spot"))
-    texts = rows.mapInArrow(wanted, f"id {kind}, text string")
+    texts = rows.mapInArrow(frugal(wanted), f"id {kind}, text string")
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > per_slice)
     slices = F.coalesce(F.ceil(F.col("m") / per_slice), F.lit(1))
     placed = durable(pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), slices).alias("slice")), "slices")
@@ -214,7 +214,7 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, per_slic
                         keep.append(k)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
-    return ordered.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    return ordered.mapInArrow(frugal(compare), f"a {kind}, b {kind}").distinct()
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

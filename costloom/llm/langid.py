@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import held, text_slices, with_text
+from costloom.llm.common import frugal, held, text_slices, with_text
 
 #: Codes of spaces, letters outside the alphabet, and letters that no sample has; each of the last is a phrase of its own.
 SPACE, OTHER, UNSEEN = 0, 1, 2
@@ -218,4 +218,4 @@ def identify(
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(conf), pa.array(bits)], [*carry, "lang_pred", "score", "bits_per_char"])
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(frugal(score), schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import mix64, small_batches, text_slices, token_hashes, with_text
+from costloom.llm.common import frugal, mix64, small_batches, text_slices, token_hashes, with_text
 
 #: Words of letters, digits and non-ASCII bytes; any other byte that is not blank is a token of its own.
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xFF]+|[^\x20\x09-\x0D]")
@@ -82,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 12
                 found += [s.astype(np.int32).tobytes() for s in np.split(slot, np.flatnonzero(np.diff(owner)) + 1)]
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1).cast(pa.int32()), pa.array(found, pa.binary())], ["h", "label", "slots"])
 
-    sparse = picked.mapInArrow(slots, "h long, label int, slots binary").dropDuplicates(["h", "label"])
+    sparse = picked.mapInArrow(frugal(slots), "h long, label int, slots binary").dropDuplicates(["h", "label"])
 
     def fit(data):
         data = data.sort_by([("h", "ascending"), ("label", "ascending")])
@@ -118,7 +118,7 @@ def score(docs: DataFrame, weights: np.ndarray, carry: list[str]) -> DataFrame:
             out = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(out)], [*carry, "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, carry: list[str], threshold: float = 0.7, **options) -> DataFrame:
