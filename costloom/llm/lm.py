@@ -2,28 +2,30 @@
 
 A text is its A-Z lower-cased white-space words and one end. A word, with a mark before it, is
 spelled with the pieces of an existing SentencePiece vocabulary; a character outside it is spelled
-with byte pieces. All segmentations count: the lattice probability of a word is the sum over its
-segmentations of the products of piece probabilities, by forward recursion in log space.
+with byte pieces. All segmentations count: the probability of a word is the sum over its
+segmentations of the products of piece probabilities, by forward recursion in log space, and the
+log probability of a text is the sum over its words and its end.
 
 * Pieces that open a word form one distribution; those that go on, and the stop, form another. So
   the lattice is a distribution over words.
 * The public vocabulary is a merge (BPE) vocabulary, whose scores are ranks and no probabilities.
-  The pieces' probabilities are learnt by expectation maximisation over the distinct training words,
-  from the vocabulary's own segmentations as the start. The vocabulary itself is left as it is.
-* Each counted training word is one more arc of its lattice, from start to end: its count less an
-  absolute discount. The discounts together weigh the pieces' arcs. So
-  P(word) = (count - D) / N + (D V / N) lattice(word), and P(end) = ends / N: a distribution over
-  texts whose table of words grows with the corpus.
+  The pieces' probabilities are learnt by expectation maximisation over the training words and
+  their counts, from the vocabulary's own segmentations as the start. The vocabulary itself is left
+  as it is.
+* ``word_score`` is a second model beside it: each counted training word is one more arc of its
+  lattice, under absolute discounting, P(word) = (count - D) / N + (D V / N) lattice(word).
 
 Counts and scores are computed once in a table of distinct words, which is joined by hash. Documents
-and the words of their block then meet by a cogroup: blocks hold about ``block_bytes`` of text, so
-memory stays bounded, and a block's distinct words are far fewer than its tokens.
+and the words of their block then meet in one partition: blocks hold about ``block_bytes`` of text
+and there is one partition a block, so memory stays bounded at every size, and a block's distinct
+words are far fewer than its tokens.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import WORD, durable, small_batches, text_bytes
+from costloom.llm.common import WORD, durable, frugal, small_batches, text_bytes
 from costloom.llm.encoding import MODEL, read_model
 from costloom.llm.pieces import MARK, Vocabulary
 
@@ -42,8 +44,8 @@ class Lattice:
     Words should come sorted: states of the prefix shared with the word before are kept.
     """
 
-    #: Longer words are taken in log space one by one when expectations are summed.
-    LINEAR = 40
+    #: Longer words, and words of a smaller probability, are taken in log space one by one when expectations are summed.
+    LINEAR, LEAST = 40, 1e-250
 
     def __init__(self, vocabulary: Vocabulary, log_prob: np.ndarray, log_stop: float):
         self.v, self.log_prob, self.log_stop = vocabulary, log_prob.tolist(), log_stop
@@ -70,6 +72,10 @@ class Lattice:
     def bytes_of(self, char: str) -> list[int]:
         return self.v.bytes[list(char.encode("utf-8", "surrogatepass"))].tolist()
 
+    def spelled(self, char: str) -> float:
+        """Log probability of a character's byte pieces."""
+        return sum(self.log_prob[b] for b in self.bytes_of(char))
+
     def step(self, forward: list, w: str, i: int) -> float:
         """Log of the summed probability of all segmentations of the first ``i`` characters."""
         total = None
@@ -82,7 +88,7 @@ class Lattice:
             else:
                 total += math.log1p(math.exp(x - total))
         if total is None:  # no piece ends here
-            total = forward[i - 1] + sum(self.log_prob[b] for b in self.bytes_of(w[i - 1]))
+            total = forward[i - 1] + self.spelled(w[i - 1])
         return total
 
     def log_probabilities(self, words: list[str]) -> list[float]:
@@ -97,13 +103,15 @@ class Lattice:
             before = w
         return out
 
-    def expectations(self, words: list[str]) -> np.ndarray:
-        """Expected number of each piece in the words' segmentations, each word once.
+    def expectations(self, words: list[str], counts: list) -> np.ndarray:
+        """Expected number of each piece in the words' segmentations, each word ``count`` times.
 
         Adjoints of a shared prefix are summed before they go back through it, so each character of
-        the words' trie is visited once each way.
+        the words' trie is visited once each way. Words too long or too unlikely for plain numbers
+        are taken in log space.
         """
         total = [0.0] * self.v.size
+        fallback: list[str] = []
         prob = np.exp(np.array(self.log_prob)).tolist()
         forward, adjoint, arcs, before = [1.0], [0.0], [()], ""
 
@@ -117,38 +125,42 @@ class Lattice:
                         adjoint[j] += x
             del forward[k + 1 :], adjoint[k + 1 :], arcs[k + 1 :]
 
-        for word in words:
+        for word, n in zip(words, counts):
             w = MARK + word
             if len(w) > self.LINEAR:
-                self.long_expectations(w, total)
+                self.long_expectations(w, n, total)
                 continue
             close(shared_prefix(before, w))
+            before = w
             for i in range(len(forward), len(w) + 1):
                 own = self.arcs(w, i)
                 if own:
                     forward.append(sum([forward[j] * prob[p] for j, p in own]))
                 else:
-                    # a constant weight stands for the bytes; it cancels in the posterior
-                    forward.append(forward[i - 1] * 1e-6)
-                    for b in self.bytes_of(w[i - 1]):
-                        total[b] += 1
-                    own = [(i - 1, self.v.size)]
-                    if len(prob) == self.v.size:
-                        prob.append(1e-6)
-                        total.append(0.0)
+                    # no piece ends here: byte pieces, as one arc of its own
+                    forward.append(forward[i - 1] * math.exp(self.spelled(w[i - 1])))
+                    own = [(i - 1, len(prob))]
+                    prob.append(math.exp(self.spelled(w[i - 1])))
+                    total.append(0.0)
+                    fallback.append(w[i - 1])
                 adjoint.append(0.0)
                 arcs.append(own)
-            adjoint[-1] += 1 / forward[-1]
-            before = w
+            if forward[-1] > self.LEAST:
+                adjoint[-1] += n / forward[-1]
+            else:
+                self.long_expectations(w, n, total)
         close(0)
+        for char, x in zip(fallback, total[self.v.size :]):
+            for b in self.bytes_of(char):
+                total[b] += x
         return np.array(total[: self.v.size])
 
-    def long_expectations(self, w: str, total: list) -> None:
+    def long_expectations(self, w: str, n: float, total: list) -> None:
         """The same for one word in log space."""
         forward = [0.0]
         for i in range(1, len(w) + 1):
             forward.append(self.step(forward, w, i))
-        posterior = [0.0] * len(w) + [1.0]
+        posterior = [0.0] * len(w) + [float(n)]
         for i in range(len(w), 0, -1):
             if posterior[i]:
                 own = self.arcs(w, i)
@@ -177,7 +189,7 @@ def decoded(words: pa.Array) -> list[str]:
 
 
 def block_words(docs: DataFrame, words_held: int = 1_500_000) -> DataFrame:
-    """(block, word, n) with n the count of the word in the block's learning rows; once per block or more."""
+    """(block, word, n) with n the count of the word in the block's learning rows; once per block and task, or more."""
 
     def run(batches):
         held: dict[int, Counter] = {}
@@ -201,10 +213,12 @@ def block_words(docs: DataFrame, words_held: int = 1_500_000) -> DataFrame:
 
     def send(held):
         for block, own in held.items():
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int32()), pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], ["block", "word", "n"])
+            words, counts = list(own.keys()), list(own.values())
+            for lo in range(0, len(words), 100_000):
+                hi = min(len(words), lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * (hi - lo), pa.int32()), pa.array(words[lo:hi], pa.binary()), pa.array(counts[lo:hi], pa.int64())], ["block", "word", "n"])
 
-    return docs.select("block", "learn", "text").mapInArrow(run, "block int, word binary, n long")
+    return docs.select("block", "learn", "text").mapInArrow(frugal(run), "block int, word binary, n long")
 
 
 def summed(parts: DataFrame, size: int) -> np.ndarray:
@@ -216,7 +230,7 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
 
 
 def vocabulary_counts(words: DataFrame, model: bytes, size: int) -> np.ndarray:
-    """How often each piece occurs in the vocabulary's own segmentations of distinct words."""
+    """How often each piece occurs in the vocabulary's own segmentations of (word, c) rows."""
     shared = words.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -224,15 +238,16 @@ def vocabulary_counts(words: DataFrame, model: bytes, size: int) -> np.ndarray:
         total = np.zeros(size)
         for batch in batches:
             ids = sp.encode(decoded(batch.column(0)), num_threads=1)
-            total += np.bincount(np.fromiter((i for x in ids for i in x), np.int64), minlength=size)
+            times = np.repeat(batch.column(1).to_numpy(), [len(x) for x in ids])
+            total += np.bincount(np.fromiter(chain.from_iterable(ids), np.int64), times, size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["piece", "n"])
 
-    return summed(words.select("word").mapInArrow(run, "piece int, n double"), size)
+    return summed(words.select("word", "c").mapInArrow(frugal(run), "piece int, n double"), size)
 
 
 def expected_counts(words: DataFrame, model: bytes, probabilities: tuple, size: int) -> np.ndarray:
-    """One expectation step over distinct words."""
+    """One expectation step over (word, c) rows."""
     shared = words.sparkSession.sparkContext.broadcast((model, *probabilities))
 
     def run(batches):
@@ -240,94 +255,115 @@ def expected_counts(words: DataFrame, model: bytes, probabilities: tuple, size:
         lattice = Lattice(Vocabulary(model), log_prob, log_stop)
         total = np.zeros(size)
         for batch in batches:
-            total += lattice.expectations(decoded(batch.column(0)))
+            total += lattice.expectations(decoded(batch.column(0)), batch.column(1).to_pylist())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["piece", "n"])
 
-    return summed(words.select("word").mapInArrow(run, "piece int, n double"), size)
+    return summed(words.select("word", "c").mapInArrow(frugal(run), "piece int, n double"), size)
 
 
-def probabilities(counts: np.ndarray, n_words: int, v: Vocabulary, smooth: float) -> tuple[np.ndarray, float]:
+def probabilities(counts: np.ndarray, stops: int, v: Vocabulary, smooth: float) -> tuple[np.ndarray, float]:
     """Log probabilities of the pieces within their distribution, and of the stop."""
     opens = np.zeros(v.size, bool)
     opens[[i for p, i in v.ids.items() if p.startswith(MARK)]] = True
     usable = np.zeros(v.size, bool)
     usable[[*v.ids.values(), *v.bytes.tolist()]] = True
     mass = np.where(usable, counts + smooth, 0.0)
-    going = mass[~opens].sum() + n_words + smooth
+    going = mass[~opens].sum() + stops + smooth
     with np.errstate(divide="ignore"):
         log_prob = np.log(mass) - np.where(opens, math.log(mass[opens].sum() or 1.0), math.log(going))
-    return np.where(usable, log_prob, -1e9), math.log((n_words + smooth) / going)
+    return np.where(usable, log_prob, -1e9), math.log((stops + smooth) / going)
 
 
-def word_scores(words: DataFrame, model: bytes, fitted: tuple, tokens: int, discount: float, rest: float) -> DataFrame:
-    """(word, c, s): s is the log10 probability of the word, its whole-word arc included."""
+def word_scores(words: DataFrame, model: bytes, fitted: tuple, tokens: int, discount: float, rest: float, share: float) -> DataFrame:
+    """(word, c, s, w): log10 probabilities of the word by the lattice, and with its whole-word arc; ``share`` is that of words among tokens."""
     shared = words.sparkSession.sparkContext.broadcast((model, *fitted))
 
     def run(batches):
         model, log_prob, log_stop = shared.value
         lattice = Lattice(Vocabulary(model), log_prob, log_stop)
         for batch in batches:
-            spelled = math.log(rest) + np.array(lattice.log_probabilities(decoded(batch.column(0))))
+            spelled = np.array(lattice.log_probabilities(decoded(batch.column(0))))
             whole = np.maximum(batch.column(1).to_numpy() - discount, 0.0) / max(1, tokens)
             with np.errstate(divide="ignore"):
-                s = np.logaddexp(np.log(whole), spelled) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["word", "c", "s"])
+                w = np.logaddexp(np.log(whole), math.log(rest) + spelled) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((math.log(share) + spelled) / math.log(10)), pa.array(w)], ["word", "c", "s", "w"])
 
-    return words.select("word", "c").mapInArrow(run, "word binary, c long, s double")
+    return words.select("word", "c").mapInArrow(frugal(run), "word binary, c long, s double, w double")
 
 
 def score_documents(docs: DataFrame, learn: Column, model_path: str = MODEL, smooth: float = 0.1, rounds: int = 3, block_bytes: int = 24_000_000) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, word_score) for every row of ``docs`` (doc_id, text).
 
     ``learn`` says which rows may be learnt from (null: not). ``base_score`` is the additive word
-    unigram model with 0.1 as the added count, ``score`` the lattice model; both are log10
-    probabilities. Null and empty texts are one end token. With nothing to learn from, words have no
-    count and pieces are equally likely. Repeated rows all count and are scored alike; an empty table
-    gives no rows; other columns are ignored.
+    unigram model with 0.1 as the added count, ``score`` the lattice model and ``word_score`` the
+    lattice model with whole-word arcs; all are log10 probabilities. Null and empty texts are one end
+    token. With nothing to learn from, words have no count and pieces are equally likely. Repeated
+    rows all count and are scored alike; an empty table gives no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     size = rows.agg(F.sum(F.octet_length("text") + 1), F.sum(F.col("learn").cast("long"))).first()
     blocks = max(1, math.ceil((size[0] or 0) / block_bytes))
     ends = int(size[1] or 0)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
-    pairs = durable(block_words(rows.repartition("block")).groupBy("block", "word").agg(F.sum("n").alias("n")), "block-words")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    # one block a partition, so that no task gets more text or words than a block's
+    pairs = durable(block_words(rows.repartitionById(blocks, "block")), "block-words")
     words = durable(pairs.groupBy("word").agg(F.sum("n").alias("c")), "words")
     words = words.sortWithinPartitions("word")
     trained = words.where("c > 0")
     known = trained.agg(F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
-    tokens, n_words, once, twice = int(known[0] or 0) + ends, int(known[1]), int(known[2] or 0), int(known[3] or 0)
-    distinct = n_words + (ends > 0)
+    n_tokens, n_words, once, twice = int(known[0] or 0), int(known[1]), int(known[2] or 0), int(known[3] or 0)
+    tokens, distinct = n_tokens + ends, n_words + (ends > 0)
     discount = once / (once + 2 * twice) if once else 0.5
 
     model = read_model(model_path)
     v = Vocabulary(model)
-    fitted = probabilities(vocabulary_counts(trained, model, v.size), n_words, v, smooth)
+    fitted = probabilities(vocabulary_counts(trained, model, v.size), n_tokens, v, smooth)
     for _ in range(rounds):
-        fitted = probabilities(expected_counts(trained, model, fitted, v.size), n_words, v, smooth)
+        fitted = probabilities(expected_counts(trained, model, fitted, v.size), n_tokens, v, smooth)
     # without a training word all mass is the lattice's
     rest = discount * n_words / tokens if n_words else 1.0
-    scored = word_scores(words, model, fitted, tokens, discount, rest)
+    share = n_tokens / tokens if n_words else 1.0
+    scored = word_scores(words, model, fitted, tokens, discount, rest, share)
     log_end = math.log10(max(ends, 0.1) / max(tokens, 1))
     floor = 0.1 / (tokens + 0.1 * (distinct + 1))
-    ready = pairs.select("block", "word").join(scored, "word").select("block", "word", "c", "s")
+    ready = pairs.select("block", "word").join(scored, "word").select("block", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("string").alias("text"), "word", "c", "s", "w")
+    texts = rows.select("block", "doc_id", "text", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("w"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    end = math.log10((ends + 0.1) * (floor / 0.1))
 
-    def add(left, right):
-        place = {w: k for k, w in enumerate(right["word"].to_pylist())}.__getitem__
-        counts = right["c"].to_numpy()
-        known, of_base, of_lattice = counts > 0, np.log10((counts + 0.1) * (floor / 0.1)), right["s"].to_numpy()
-        end = math.log10((ends + 0.1) * (floor / 0.1))
-        n, k, base, lattice = [], [], [], []
-        for text in left["text"].cast(pa.binary()).to_pylist():
-            words = WORD.findall(text.lower())
-            at = np.fromiter(map(place, words), np.int64, len(words))
-            n.append(len(words) + 1)
-            k.append(int(known[at].sum()) + (ends > 0))
-            base.append(float(of_base[at].sum()) + end)
-            lattice.append(float(of_lattice[at].sum()) + log_end)
-        return pa.table({"doc_id": left["doc_id"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(k, pa.int64()), "train_tokens": pa.array([tokens] * len(n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(lattice, pa.float64())})
-
-    shape = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.select("block", "doc_id", "text").groupBy("block").cogroup(ready.groupBy("block")).applyInArrow(add, shape)
+    def add(batches):
+        at, table, place = None, {}, None
+        for batch in batches:
+            out = []
+            block, text, word = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for lo, hi in zip(edges, edges[1:]):
+                if at != block[lo]:
+                    at, table, held = block[lo], {}, []
+                spelled = word.slice(lo, hi - lo)
+                # a block's words come before its texts
+                split = lo + (hi - lo) - spelled.null_count
+                if split > lo:
+                    base = sum(map(len, (h[0] for h in held)))
+                    table.update(zip(word.slice(lo, split - lo).to_pylist(), range(base, base + split - lo)))
+                    held.append(tuple(batch.column(c).slice(lo, split - lo).to_numpy() for c in (4, 5, 6)))
+                if split == hi:
+                    continue
+                if len(held) > 1:
+                    held = [tuple(map(np.concatenate, zip(*held)))]
+                place = table.__getitem__
+                for k, t in enumerate(text.slice(split, hi - split).cast(pa.binary()).to_pylist(), split):
+                    found = WORD.findall(t.lower())
+                    ids = np.fromiter(map(place, found), np.int64, len(found))
+                    counts, s, w = (x[ids] for x in held[0]) if len(ids) else (np.zeros(0),) * 3
+                    out.append((k, len(ids) + 1, int((counts > 0).sum()) + (ends > 0), float(np.log10((counts + 0.1) * (floor / 0.1)).sum()) + end, float(s.sum()) + log_end, float(w.sum()) + log_end))
+            if out:
+                at_rows, n, k, base_score, lattice, mixed = zip(*out)
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at_rows, pa.int64())), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([tokens] * len(n), pa.int64()), pa.array(base_score), pa.array(lattice), pa.array(mixed)], names)
+
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "word_score"]
+    shape = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double"
+    ordered = ready.union(texts).repartitionById(blocks, "block").sortWithinPartitions("block", F.col("word").isNull())
+    return ordered.mapInArrow(frugal(add), shape)
