@@ -3,9 +3,11 @@
 Fixed rules reject texts with too few words or too many repeated words. The other cut-offs are
 learnt: for every stratum and feature the strictest threshold of a grid is taken for which an exact
 (Clopper-Pearson) upper bound on the share of good labelled documents that it would reject is at
-most that feature's part of ``alpha``. The bounds hold together with probability 1 - ``delta``: the
-error is shared out evenly over all (stratum, feature, threshold) tests (Bonferroni), and the parts
-of ``alpha`` add up over features.
+most that feature's part of ``alpha``. Stricter thresholds reject no fewer documents, so a grid is
+tested in a fixed sequence from its lenient end and stops at the first failure, which needs no
+correction inside the grid; the error ``delta`` is shared out evenly over the (stratum, feature)
+sequences (Bonferroni), and the parts of ``alpha`` add up over features. So all bounds hold together
+with probability 1 - ``delta``.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costloom.llm.common import durable
+
 BLANK = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -121,63 +125,88 @@ def feature_columns() -> dict[str, Column]:
     }
 
 
-def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """ln P(X <= k) for X binomial(n, p), by the recurrence of its terms in log space."""
-    odds = math.log(p) - math.log1p(-p)
-    first = n * math.log1p(-p)
-    start = F.struct(first.alias("term"), first.alias("sum"))
+def log_gamma(x: Column) -> Column:
+    """ln Gamma(x) for x >= 1, by Stirling's series at x + 8 (error below 1e-12)."""
+    y = x + 8.0
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
+    product = F.lit(1.0)
+    for i in range(8):
+        product = product * (x + float(i))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
 
-    def step(acc: Column, j: Column) -> Column:
-        term = acc["term"] + F.log((n - j + 1) / j) + odds
-        high, low = F.greatest(acc["sum"], term), F.least(acc["sum"], term)
-        return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("sum"))
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), F.greatest(k.cast("long"), F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(steps, start, step)["sum"]
+def log_binomial_cdf(k: Column, n: Column, p: float, terms: int = 2000) -> Column:
+    """ln P(X <= k) for X binomial(n, p) and k below n p.
 
+    Terms are summed from k downwards, each from its neighbour, in units of the first one. They shrink
+    ever faster, so what is left after ``terms`` of them is at most a geometric series, which is added:
+    the result is exact for k < ``terms`` and else no less than the exact value, at a fixed cost.
+    """
+    k, n = k.cast("double"), n.cast("double")
+    first = log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    odds = (1 - p) / p
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
-def learn_thresholds(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float, delta: float, max_strata: int) -> DataFrame:
-    """One row per stratum and feature with a threshold that passes its test, from all good labels.
+    def step(acc: Column, i: Column) -> Column:
+        j = k - i  # from j + 1 to j
+        term = F.when((j < 0) | (acc["term"] < 1e-30), 0.0).otherwise(acc["term"] * (j + 1) / (n - j) * odds)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    ``measured`` has doc_id, the stratum column and the counts; ``labels`` has doc_id and quality.
+    done = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(k, F.lit(1.0)), F.lit(float(terms))).cast("int")), start, step)
+    ratio = F.greatest(k - terms, F.lit(0.0)) / (n - k + terms + 1) * odds
+    return first + F.log(done["sum"] + done["term"] * ratio / (1 - ratio))
+
+
+def rejections(measured: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
+    """(stratum, feature, total, k, threshold, rejected): good labelled documents that each threshold of each grid rejects.
+
+    Only rows that pass the fixed rules are at risk. One aggregation to at most (grid + 1) counts a
+    stratum and feature; nothing else is gathered.
     """
-    features = feature_columns()
     good = labels.where("quality = 1").select("doc_id").dropDuplicates()
     cells = [
         F.struct(F.lit(name).alias("feature"), F.array(*[F.lit(float(t)) for t in GRIDS[name]]).alias("grid"), value.cast("double").alias("value"))
-        for name, value in features.items()
+        for name, value in feature_columns().items()
     ]
-    # how many thresholds of the grid reject the row; only rows that pass the fixed rules are at risk
     rows = measured.where(~base_failed()).join(good, "doc_id").select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.explode(F.array(*cells)).alias("c"))
+    # how many thresholds of the grid reject the row
     level = F.aggregate("c.grid", F.lit(0), lambda acc, t: acc + F.when(F.col("c.value") >= t, 1).otherwise(0))
     counts = rows.select("stratum", "c.feature", "c.grid", level.alias("level")).groupBy("stratum", "feature", "grid", "level").agg(F.count(F.lit(1)).alias("n"))
     per = counts.groupBy("stratum", "feature", "grid").agg(F.collect_list(F.struct("level", "n")).alias("levels"), F.sum("n").alias("total"))
-    sizes = {name: len(grid) for name, grid in GRIDS.items()}
-    strata = per.select("stratum").distinct().count()
-    if strata > max_strata:
-        raise ValueError(f"{stratum} has {strata} values; at most {max_strata} strata can be tested")
-    tests = max(1, strata) * sum(sizes.values())
-    share = alpha / len(GRIDS)
     tried = per.select("stratum", "feature", "total", "levels", F.posexplode("grid").alias("k", "threshold"))
     rejected = F.aggregate("levels", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["level"] > F.col("k"), x["n"]).otherwise(F.lit(0)))
-    tried = tried.select("stratum", "feature", "total", "threshold", rejected.alias("rejected"))
+    return tried.select("stratum", "feature", "total", "k", "threshold", rejected.alias("rejected"))
+
+
+def learn_thresholds(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float, delta: float) -> DataFrame:
+    """(stratum, feature, threshold) where a threshold passes, from all good labels; any number of strata.
+
+    ``measured`` has doc_id, the stratum column and the counts; ``labels`` has doc_id and quality.
+    """
+    tried = durable(rejections(measured, labels, stratum), "rejections")
+    strata = tried.select("stratum").distinct().count()
+    share, error = alpha / len(GRIDS), delta / (max(1, strata) * len(GRIDS))
     # more rejections than share * n can't pass, and need no sum
-    passed = (F.col("rejected") < share * F.col("total")) & (log_binomial_cdf(F.col("rejected"), F.col("total").cast("double"), share) <= math.log(delta / tests))
-    return tried.where(F.col("rejected") < share * F.col("total")).where(passed).groupBy("stratum", "feature").agg(F.min("threshold").alias("threshold"))
+    passed = (F.col("rejected") < share * F.col("total")) & (log_binomial_cdf(F.least(F.col("rejected"), F.floor(share * F.col("total"))), F.col("total"), share) <= math.log(error))
+    tested = tried.select("stratum", "feature", "k", "threshold", passed.alias("passed"))
+    # the sequence runs down from the largest k; what lies below its first failure isn't tested
+    stop = tested.where(~F.col("passed")).groupBy("stratum", "feature").agg(F.max("k").alias("stop"))
+    after = tested.join(stop, ["stratum", "feature"], "left").where(F.col("k") > F.coalesce("stop", F.lit(-1)))
+    return after.groupBy("stratum", "feature").agg(F.min("threshold").alias("threshold"))
 
 
-def apply_rules(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, max_strata: int = 1000) -> DataFrame:
+def apply_rules(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``.
 
     Strata without enough labels get no learnt thresholds, so only the fixed rules hold there; a null
     stratum is one of its own. With no labels at all only the fixed rules hold. Labels of unknown or
-    null doc_ids are ignored.
+    null doc_ids are ignored. Thresholds are joined by stratum, one row each.
     """
-    learnt = learn_thresholds(measured, labels, stratum, alpha, delta, max_strata).collect()  # at most max_strata rows a feature
+    values = feature_columns()
+    learnt = learn_thresholds(measured, labels, stratum, alpha, delta).groupBy("stratum").agg(*[F.max(F.when(F.col("feature") == name, F.col("threshold"))).alias(f"__t_{name}") for name in values])
+    names = measured.columns
+    judged = measured.withColumn("__stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(learnt.withColumnRenamed("stratum", "__stratum"), "__stratum", "left")
     verdict = ~base_failed()
-    mine = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    for name, value in feature_columns().items():
-        pairs = [F.lit(x) for r in learnt if r["feature"] == name for x in (r["stratum"], r["threshold"])]
-        if pairs:
-            verdict = verdict & F.coalesce(value < F.try_element_at(F.create_map(*pairs), mine), F.lit(True))
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", verdict)
+    for name, value in values.items():
+        verdict = verdict & F.coalesce(value < F.col(f"__t_{name}"), F.lit(True))
+    return judged.select(*names, base_failed().alias("base_failed"), verdict.alias("kept"))
