@@ -7,16 +7,23 @@ once; a stack holds the rules whose intervals are open. The longest fitting rule
 together, then the longer host) wins.
 
 Rules are cut into ranges of about ``rules_per_range`` by key; every range also gets the rules that
-are open at its start. URLs of a range are dealt over as many slices as they need, so that a host
-with a third of all rows is swept by many tasks. Nothing is broadcast but the range bounds.
+are open at its start. A range's URLs are counted and dealt over as many slices as they need, so that
+a host with a third of all rows is swept by many tasks, and a rule is sent to the slices of its own
+range only: with few rules a range beside many URLs a slice, rules are a small part of what is
+shuffled, at any number of either. Only the range bounds go through the driver, one key for
+``rules_per_range`` rules.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costloom.llm.common import durable, frugal
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,49 +76,88 @@ class OpenRules:
         return best
 
 
+def range_bounds(rule_rows: DataFrame, rules_per_range: int) -> list[str]:
+    """Keys that cut the rules (key, path) into ranges of about ``rules_per_range``, from a sample of 20 rules a range."""
+    n_rules = rule_rows.count()
+    ranges = -(-n_rules // rules_per_range)
+    if ranges < 2:
+        return []
+    share = min(1.0, 20.0 * ranges / n_rules)
+    some = sorted(r["key"] for r in rule_rows.where(F.xxhash64("key", "path").cast("double") <= share * 2.0**64 - 2.0**63).select("key").collect())
+    step = max(1, len(some) // ranges)
+    return sorted(set(some[step::step]))
+
+
+def spread_rules(rule_rows: DataFrame, range_of, slices: DataFrame, bounds: list[str]) -> DataFrame:
+    """``rule_rows`` once for every slice of every range that they are needed in: their own, and those whose lower bound lies in their interval."""
+    needed = rule_rows.select("*", range_of(F.col("key")).alias("range"))
+    if bounds:
+        starts = rule_rows.sparkSession.createDataFrame([(b, k + 1) for k, b in enumerate(bounds)], "bound string, range int")
+        # each bound lies in the intervals of its own prefixes only: an equi-join
+        labels = F.split(F.expr("substring(bound, 1, length(bound) - 1)"), "\\.")
+        prefixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit(".")))
+        opened = starts.select("range", F.explode(prefixes).alias("key"))
+        needed = needed.unionByName(rule_rows.join(opened, "key").select(*needed.columns)).distinct()
+    return needed.join(slices, "range").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).drop("slices")
+
+
 def filter_urls(
     pages: DataFrame,
     rules: DataFrame,
     carry: list[str],
     default: str = "allow",
-    rules_per_range: int = 100_000,
-    urls_per_slice: int = 20_000,
+    rules_per_range: int = 20_000,
+    urls_per_slice: int = 200_000,
 ) -> DataFrame:
     """``carry`` columns plus ``host``, ``path``, ``rule`` and ``verdict`` for every row of ``pages`` (url).
 
-    ``rules`` has host, path and verdict; rows with a null are left out. URLs that no rule fits,
-    null URLs and URLs without ``://`` get a null rule and the ``default`` verdict. Repeated rows are
-    judged alike and kept; empty tables give no rows, or the default everywhere.
+    ``rules`` has host, path and verdict; rows with a null are left out, repeated ones count once.
+    URLs that no rule fits, null URLs and URLs without ``://`` get a null rule and the ``default``
+    verdict. Repeated rows are judged alike and kept; empty tables give no rows, or the default
+    everywhere. Carried columns may not be called ``host``, ``path``, ``rule`` or ``verdict``. Rules of
+    one host stay in one range, however many they are.
     """
     spark = pages.sparkSession
+    if clash := {"host", "path", "rule", "verdict"} & set(carry):
+        raise ValueError(f"carried columns are named like results: {sorted(clash)}")
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(*carry, host.alias("host"), path.alias("path"))
-    rule_rows = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict")
+    # numbered where they are read, before any shuffle: rows equal in all columns are dealt out too, and a task that is run again numbers alike
+    rows = pages.select(*carry, host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("__row"))
+    rule_rows = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").distinct()
     rule_rows = rule_rows.withColumn("key", host_key(F.col("host")))
-    n_rules, n_urls = rule_rows.count(), rows.count()
-    ranges = max(1, -(-n_rules // rules_per_range))
-    # range bounds: a few keys, at most 1,000
-    bounds: list[str] = []
-    if ranges > 1:
-        share = min(1.0, 20.0 * min(ranges, 1000) / n_rules)
-        some = sorted(r["key"] for r in rule_rows.where(F.xxhash64("key", "path").cast("double") <= share * 2.0**64 - 2.0**63).select("key").collect())
-        step = max(1, len(some) // min(ranges, 1000))
-        bounds = sorted(set(some[step::step]))
-    cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else None
-
-    def range_of(key: Column) -> Column:
-        return F.size(F.filter(cuts, lambda b: b <= key)) if bounds else F.lit(0)
-
-    slices = max(-(-n_urls // urls_per_slice), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = range_bounds(rule_rows, rules_per_range)
+    if bounds:
+        rule_rows = durable(rule_rows, "url-rules")
+        shared = spark.sparkContext.broadcast(np.array(bounds, object))
+
+        @F.pandas_udf("int")
+        def place(keys: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(shared.value, keys.to_numpy(object), "right").astype(np.int32))
+
+        def range_of(key: Column) -> Column:
+            return place(key)
+    else:
+
+        def range_of(key: Column) -> Column:
+            return F.lit(0)
+
+    keyed = rows.withColumn("key", host_key(F.col("host"))).withColumn("range", range_of(F.col("key")))
+    # one row a range; large tables are swept in as many slices as there are shuffle partitions at least
+    counts = keyed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    at_once = max(1, min(urls_per_slice, -(-total // int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    slices = counts.select("range", F.ceil(F.col("n") / at_once).cast("int").alias("slices"))
+    if bounds:
+        slices = durable(slices, "url-slices")
+        dealt = keyed.join(slices, "range")
+    else:
+        dealt = keyed.withColumn("slices", F.lit(max(1, -(-total // at_once))))
+        slices = spark.range(1).select(F.lit(0).alias("range"), F.lit(max(1, -(-total // at_once))).alias("slices"))
     shapes = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*carry).schema.fields)
     held = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
-    keyed = rows.withColumn("key", host_key(F.col("host")))
-    swept = keyed.select(range_of(F.col("key")).alias("range"), F.pmod(F.xxhash64(*carry, "host", "path"), F.lit(slices)).cast("int").alias("slice"), "key", F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("verdict"), held.alias("held"))
-    # a rule is needed in its own range, and in every range whose lower bound lies in its interval
-    starts = F.filter(cuts, lambda b: b.startswith(F.col("key"))) if bounds else F.array().cast("array<string>")
-    spread = rule_rows.withColumn("range", F.explode(F.array_distinct(F.concat(F.array(range_of(F.col("key"))), F.transform(starts, range_of)))))
-    spread = spread.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    opened = spread.select("range", "slice", "key", F.lit(0).alias("kind"), "host", "path", "verdict", F.lit(None).cast(swept.schema["held"].dataType).alias("held"))
+    salt = F.pmod(F.xxhash64("__row"), F.col("slices")).cast("int")
+    swept = dealt.select("range", salt.alias("slice"), "key", F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("verdict"), held.alias("held"))
+    opened = spread_rules(rule_rows, range_of, slices, bounds).select("range", "slice", "key", F.lit(0).alias("kind"), "host", "path", "verdict", F.lit(None).cast(swept.schema["held"].dataType).alias("held"))
     order = swept.unionByName(opened).repartition("range", "slice").sortWithinPartitions("range", "slice", "key", "kind", "path")
 
     def sweep(batches):
@@ -133,4 +179,4 @@ def filter_urls(
             fields = kept.column("held").flatten()[: len(carry)]
             yield pa.RecordBatch.from_arrays([*fields, kept.column("host"), kept.column("path"), pa.array(found, pa.string()), pa.array(verdicts, pa.string())], [*carry, "host", "path", "rule", "verdict"])
 
-    return order.mapInArrow(sweep, f"{shapes}{', ' if carry else ''}host string, path string, rule string, verdict string")
+    return order.mapInArrow(frugal(sweep), f"{shapes}{', ' if carry else ''}host string, path string, rule string, verdict string")
