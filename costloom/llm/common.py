@@ -58,13 +58,13 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/costloom/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, what: str) -> DataFrame:
+def durable(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write a table into the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs a reread and not the whole job again.
     """
     path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -30,14 +30,14 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lattice and word-unigram log10 probabilities of all documents; rows with crc32(doc_id) mod 10 = 0 are held out."""
     held_out = fold(F.col("doc_id"), 10) == 0
     scored = lm.score_documents(table(spark, sf_dir, "documents"), ~held_out)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "word_score")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives, read back and assembled into captures."""
     path = fresh_path(spark, "warc")
     warc.write_captures(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_records(spark, path, with_payload=False))
+    captures = warc.assemble(warc.read_records(spark, path))
     page = F.col("metadata.fields")["pageId"].cast("long")
     revisit = F.col("response.kind") == "revisit"
     rows = captures.select(
@@ -92,8 +92,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight runs of a Hilbert order over source, language and size; law ``rows``."""
     text = F.coalesce("text", F.lit(""))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = sharding.shard_by_hilbert(rows, "doc_id", {"source": False, "lang": False, "size": True})
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    placed = sharding.shard_by_hilbert(rows, "doc_id", {"source": False, "lang": False, "size": True}, group="text_hash")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")
 
 
