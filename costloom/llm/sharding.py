@@ -105,7 +105,9 @@ def shard_by_hilbert(
     if group:
         # only groups that lie in several cells need one chosen
         least = celled.groupBy("__group").agg(F.min("__cell").alias("__least"), F.max("__cell").alias("__most")).where("__least <> __most").select("__group", "__least")
-        celled = celled.join(least, "__group", "left").withColumn("__cell", F.coalesce("__least", "__cell")).drop("__least")
+        # such a group may hold a third of all rows, so its rows are dealt over pieces
+        pieces = least.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        celled = celled.withColumn("__piece", F.floor(F.col("__salt") * 32).cast("int")).join(pieces, ["__group", "__piece"], "left").withColumn("__cell", F.coalesce("__least", "__cell")).drop("__least", "__piece")
     placed = celled.withColumn("curve_index", curve(*[F.col(f"__cell.d{k}") for k in range(len(dimensions))])).withColumn("__key", F.xxhash64(F.col(key)))
     ordered = placed.repartitionByRange("curve_index", "__group", "__key", "__salt").sortWithinPartitions("curve_index", "__group", F.col(key), "__salt")
     # a partition's number in the upper bits, the place in it in the lower 33
