@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from costloom.functions.normalize import usd_to_eur
+from costloom.functions.tables import durable
 from costloom.functions.tags import tags_key, tags_match
 from costloom.functions.timegrid import gap_filled
 from costloom.operators.hierarchy import namespaces_for_tags, scope_entities, with_key
@@ -28,7 +30,12 @@ def daily_costs(members: DataFrame, scopes: DataFrame, costs: DataFrame, start:
 
     ``members`` are the scopes' entities, see :func:`scope_entities`.
     """
-    sums = entity_daily(costs, start, end, rate).join(members, "entity_id").groupBy(*SCOPE, "date").agg(F.sum("cost").alias("cost"))
+    return scope_daily(members, scopes, entity_daily(costs, start, end, rate), start, end)
+
+
+def scope_daily(members: DataFrame, scopes: DataFrame, per_entity: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """The same from :func:`entity_daily` sums."""
+    sums = per_entity.join(members, "entity_id").groupBy(*SCOPE, "date").agg(F.sum("cost").alias("cost"))
     return gap_filled(with_key(scopes).select(*SCOPE), sums, SCOPE, start, end, "cost")
 
 
@@ -108,15 +115,22 @@ def apply_allocation_rules(base: DataFrame, scopes: DataFrame, rules: DataFrame,
 
 
 class Chargeback:
-    """Aggregated costs of scopes over one window, with the tables they need."""
+    """Aggregated costs of scopes over one window, with the tables they need.
+
+    Sums per entity and day, and namespaces' shares, are written once: several steps read them.
+    """
 
     def __init__(self, entities: DataFrame, costs: DataFrame, kube_metrics: DataFrame, rules: DataFrame, tree: DataFrame, start: dt.date, end: dt.date, rate: float = 1.0):
         self.entities, self.costs, self.kube_metrics, self.rules, self.tree = entities, costs, kube_metrics, rules, tree
         self.start, self.end, self.rate = start, end, rate
 
+    @functools.cached_property
+    def per_entity(self) -> DataFrame:
+        return durable(entity_daily(self.costs, self.start, self.end, self.rate), "entity-daily")
+
     def raw(self, scopes: DataFrame) -> DataFrame:
         """Billing costs alone."""
-        return daily_costs(scope_entities(self.tree, self.entities, scopes), scopes, self.costs, self.start, self.end, self.rate)
+        return scope_daily(scope_entities(self.tree, self.entities, scopes), scopes, self.per_entity, self.start, self.end)
 
     def ruled(self, base: DataFrame, scopes: DataFrame) -> DataFrame:
         """Costs after allocation rules."""
@@ -126,7 +140,11 @@ class Chargeback:
 
     def shares(self) -> tuple[DataFrame, DataFrame]:
         """Namespace shares of processor and memory reservations."""
-        return tuple(ns_metric_share(self.kube_metrics, self.entities, m, self.start, self.end) for m in ("cpu_requests_cores", "memory_requests_bytes"))
+        return self._shares
+
+    @functools.cached_property
+    def _shares(self) -> tuple[DataFrame, DataFrame]:
+        return tuple(durable(ns_metric_share(self.kube_metrics, self.entities, m, self.start, self.end), "shares") for m in ("cpu_requests_cores", "memory_requests_bytes"))
 
     def cluster_costs(self) -> DataFrame:
         """(cluster_id, date, cost): each cluster under its own cluster tag, with rules."""

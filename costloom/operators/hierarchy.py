@@ -5,28 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costloom.functions.tables import durable
 from costloom.functions.tags import glob_to_regex, tags_contain, tags_key
 
 
-def closure(entities: DataFrame, max_depth: int = 50, pruned: Column | None = None) -> DataFrame:
+def closure(entities: DataFrame, pruned: Column | None = None) -> DataFrame:
     """(ancestor, descendant, depth, path) of the tree, each node its own ancestor at depth 0.
 
-    One join per level of the tree, until a level is empty. ``pruned`` is a condition on a child:
-    where it doesn't hold, the child and all below it are left out under every ancestor.
+    Steps double: from all pairs less than n levels apart and those exactly n apart come all pairs
+    less than 2n apart. So a tree of depth d takes about log2(d) joins, with no limit of depth; a
+    cycle is an error. ``pruned`` is a condition on a child: where it doesn't hold, the child and all
+    below it are left out under every ancestor. The result is a written table.
     """
-    nodes = entities.select("id")
-    edges = (entities if pruned is None else entities.where(pruned)).where(F.col("parent_id").isNotNull()).select("parent_id", F.col("id").alias("child"))
-    level = nodes.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("depth"), F.array("id").alias("path"))
-    levels = [level]
-    for depth in range(1, max_depth + 1):
-        level = level.join(edges, F.col("descendant") == F.col("parent_id")).select("ancestor", F.col("child").alias("descendant"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path")).persist()
-        if level.isEmpty():
-            break
-        levels.append(level)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
-    return out
+    kept = F.lit(True) if pruned is None else F.coalesce(pruned, F.lit(False))
+    tree = durable(entities.select("id", F.when(kept, F.col("parent_id")).alias("parent_id")), "tree")
+    near = tree.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("depth"), F.array("id").alias("path"))
+    # the parents that are entities themselves
+    apart = tree.where("parent_id IS NOT NULL").join(tree.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    apart = apart.select(F.col("parent_id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(1).alias("depth"), F.array("parent_id", "id").alias("path"))
+    n = 1
+    while True:
+        found = apart.agg(F.count(F.lit(1)).alias("n"), F.max((F.size(F.array_distinct("path")) < F.size("path")).cast("int")).alias("cycle")).first()
+        if not found["n"]:
+            return near if n >= 4 else durable(near, "closure")
+        if found["cycle"]:
+            raise ValueError("the tree of entities has a cycle")
+        near, apart, n = near.union(joined(near, apart)), joined(apart, apart), 2 * n
+        if n >= 4:
+            near, apart = durable(near, "closure"), durable(apart, "closure")
+
+
+def joined(upper: DataFrame, lower: DataFrame) -> DataFrame:
+    """Pairs of ``upper`` continued by the pairs of ``lower`` that begin where they end."""
+    below = lower.select(F.col("ancestor").alias("__at"), F.col("descendant").alias("__end"), F.col("depth").alias("__depth"), F.col("path").alias("__path"))
+    path = F.concat("path", F.slice("__path", F.lit(2), F.size("__path")))
+    return upper.join(below, F.col("descendant") == F.col("__at")).select("ancestor", F.col("__end").alias("descendant"), (F.col("depth") + F.col("__depth")).alias("depth"), path.alias("path"))
 
 
 def with_key(scopes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from costloom.functions.tables import durable
 from costloom.functions.tags import glob_to_like, tags_contain, tags_key
 
 FLAGS = ["architecture", "is_gpu", "is_confidential", "has_local_storage", "supports_premium"]
@@ -53,38 +54,96 @@ def vm_idle() -> Column:
     return (F.size(present) > 0) & F.forall(present, lambda x: x)
 
 
-def candidate_warnings(prefix: str = "c_") -> Column:
-    """What a candidate (columns with the prefix) has not in common with the machine."""
-    c = {f: F.col(prefix + f) for f in FLAGS}
-    found = F.array(
-        F.when(c["architecture"] != F.col("architecture"), "architecture"),
-        F.when(F.col("is_confidential") & ~c["is_confidential"], "confidential"),
-        F.when(F.col("has_local_storage") & ~c["has_local_storage"], "local storage"),
-        F.when(F.col("supports_premium") & ~c["supports_premium"], "premium storage"),
-    )
-    return F.array_sort(F.filter(found, lambda x: x.isNotNull()))
+#: What a candidate (``c_`` columns) may not have in common with a machine.
+WARNING_NAMES = ["architecture", "confidential", "local storage", "premium storage"]
 
 
-def vm_candidates(needs: DataFrame, hardware: DataFrame, pricing: DataFrame, excluded: Column | None = None) -> DataFrame:
-    """Every priced type that meets a machine's needs, with price and warnings.
+def warning_checks() -> list[Column]:
+    """One condition for each of the names, in their order."""
+    missing = [F.col(f) & ~F.col("c_" + f) for f in ("is_confidential", "has_local_storage", "supports_premium")]
+    return [F.col("c_architecture") != F.col("architecture"), *missing]
 
-    An equi-join on cloud, region and system with the inequalities as its rest. ``excluded`` is an
-    array of glob patterns.
-    """
+
+def candidate_warnings() -> Column:
+    """The names of the warnings that hold, sorted."""
+    found = F.array(*[F.when(c, name) for c, name in zip(warning_checks(), WARNING_NAMES)])
+    return F.array_sort(F.filter(found, lambda x: x.isNotNull()))
+
+
+def offers_of(hardware: DataFrame, pricing: DataFrame, excluded: Column | None = None) -> DataFrame:
+    """Priced types with their hardware in ``c_`` columns; those that fit a glob pattern of ``excluded`` are left out."""
     offers = pricing.where("hourly_price > 0").join(hardware, ["cloud", "instance_type"])
     offers = offers.select(F.col("cloud").alias("provider"), "region", "os", F.col("instance_type").alias("candidate"), F.col("hourly_price").alias("candidate_price"), F.col("vcpu").alias("c_vcpu"), F.col("memory_gb").alias("c_memory"), "baseline_iops", "throughput", *[F.col(f).alias("c_" + f) for f in FLAGS])
-    hit = needs.join(offers, ["provider", "region", "os"]).where(
+    return offers if excluded is None else offers.where(~F.exists(excluded, lambda p: F.like(F.col("candidate"), glob_to_like(p))))
+
+
+def fits() -> Column:
+    """Whether an offer meets a machine's needs."""
+    return (
         (F.col("c_vcpu") >= F.col("need_vcpu")) & (F.col("c_memory") >= F.col("need_ram"))
         & (F.col("baseline_iops").isNull() | (F.col("baseline_iops") >= F.col("need_iops")))
         & (F.col("throughput").isNull() | (F.col("throughput") >= F.col("need_net")))
         & (F.col("c_is_gpu") == F.col("is_gpu"))
     )
-    if excluded is not None:
-        hit = hit.where(~F.exists(excluded, lambda p: F.like(F.col("candidate"), glob_to_like(p))))
+
+
+def vm_candidates(needs: DataFrame, hardware: DataFrame, pricing: DataFrame, excluded: Column | None = None) -> DataFrame:
+    """Every priced type that meets a machine's needs, with price and warnings.
+
+    An equi-join on cloud, region and system with the inequalities as its rest. ``excluded`` is an
+    array of glob patterns. The result itself has a row for every fit; :func:`vm_rightsize` doesn't
+    need it.
+    """
+    hit = needs.join(offers_of(hardware, pricing, excluded), ["provider", "region", "os"]).where(fits())
     return hit.withColumn("warnings", candidate_warnings())
 
 
-def vm_rightsize(needs: DataFrame, candidates: DataFrame, pricing: DataFrame, daily_cost: DataFrame) -> DataFrame:
+#: Offers in one block of the price ladder.
+LADDER = 64
+
+
+def cheapest(vms: DataFrame, offers: DataFrame, frontier: int = LADDER) -> DataFrame:
+    """(id, candidate, candidate_price, warnings): the cheapest fit for every set of warnings, up to the first without any.
+
+    ``vms`` has the needs and the present ``price``. Offers of a cloud, region and system stand in the
+    order of their price, in blocks of ``frontier``. Machines meet the first block only; those that
+    found no fit without warnings there, and whose price lies above the block's dearest offer, go on
+    to the next blocks, eight times as many at each step. So most machines meet a few offers, and
+    never those after their answer.
+    """
+    key = ["provider", "region", "os"]
+    place = F.row_number().over(W.partitionBy(*key).orderBy("candidate_price", "candidate"))
+    offers = durable(offers.withColumn("__pos", place).withColumn("__block", F.floor((F.col("__pos") - 1) / frontier).cast("int")), "offers")
+    blocks = offers.groupBy(*key, "__block").agg(F.min("candidate_price").alias("__low"))
+    last = offers.agg(F.max("__block")).first()[0]
+    left, found, low, wide = vms, None, 0, 1
+    mask = F.lit(0)
+    for k, c in enumerate(warning_checks()):
+        mask = mask + F.when(F.coalesce(c, F.lit(False)), 1 << k).otherwise(0)
+    while last is not None and low <= last:
+        ladder = blocks.where(F.col("__block").between(low, low + wide - 1))
+        steps = left.join(ladder, key).where("price IS NULL OR price <= 0 OR __low < price")
+        hit = steps.join(offers, [*key, "__block"]).where(fits() & F.expr("price IS NULL OR price <= 0 OR candidate_price < price"))
+        best = durable(hit.select("id", *key, mask.alias("__mask"), "__pos").groupBy("id", *key, "__mask").agg(F.min("__pos").alias("__pos")), "cheapest")
+        found = best if found is None else found.union(best)
+        low, wide = low + wide, wide * 8
+        if low > last:
+            break
+        left = left.join(best.where("__mask = 0").select("id").distinct(), "id", "left_anti")
+        left = durable(left.join(blocks.where(F.col("__block") == low).select(*key, F.col("__low").alias("__next")), key).where("price IS NULL OR price <= 0 OR __next < price").drop("__next"), "machines")
+        if left.isEmpty():
+            break
+    if found is None:
+        return vms.select("id", F.lit("").alias("candidate"), F.lit(0.0).alias("candidate_price"), F.array().cast("array<string>").alias("warnings")).limit(0)
+    first = found.groupBy("id", *key, "__mask").agg(F.min("__pos").alias("__pos"))
+    clean = first.where("__mask = 0").select("id", F.col("__pos").alias("__clean"))
+    first = first.join(clean, "id", "left").where("__clean IS NULL OR __pos <= __clean")
+    names = F.array(*[F.when(F.col("__mask").bitwiseAND(1 << k) > 0, name) for k, name in enumerate(WARNING_NAMES)])
+    named = first.join(offers.select(*key, "__pos", "candidate", "candidate_price"), [*key, "__pos"])
+    return named.select("id", "candidate", "candidate_price", F.array_sort(F.filter(names, lambda x: x.isNotNull())).alias("warnings"))
+
+
+def vm_rightsize(needs: DataFrame, hardware: DataFrame, pricing: DataFrame, daily_cost: DataFrame, excluded: Column | None = None) -> DataFrame:
     """(id, status, action, position, recommended, warnings, daily_cost, monthly_savings, savings_percent).
 
     Per machine: the cheapest candidate below the present price for every distinct set of warnings,
@@ -93,15 +152,13 @@ def vm_rightsize(needs: DataFrame, candidates: DataFrame, pricing: DataFrame, da
     type are ``unsupported``, those without anything to recommend have the action ``none``.
     """
     present = pricing.select(F.col("cloud").alias("provider"), "region", "os", "instance_type", F.col("hourly_price").alias("price"))
-    vms = needs.withColumn("idle", vm_idle()).join(present, ["provider", "region", "os", "instance_type"], "left").join(daily_cost, "id", "left")
-    vms = vms.select("id", "instance_type", "idle", "price", F.coalesce("daily_cost", F.lit(0.0)).alias("daily_cost"))
-    rows = candidates.select("id", "candidate", "candidate_price", "warnings").join(vms, "id").where("price IS NULL OR price <= 0 OR candidate_price < price")
+    known = durable(needs.withColumn("idle", vm_idle()).join(present, ["provider", "region", "os", "instance_type"], "left").join(daily_cost, "id", "left"), "machines")
+    vms = known.select("id", "instance_type", "idle", "price", F.coalesce("daily_cost", F.lit(0.0)).alias("daily_cost"))
+    asked = known.select("id", "provider", "region", "os", "price", "need_vcpu", "need_ram", "need_iops", "need_net", *FLAGS)
+    rows = cheapest(asked, offers_of(hardware, pricing, excluded)).join(vms, "id")
     key = F.array_join("warnings", "|")
-    best = W.partitionBy("id", key).orderBy("candidate_price", "candidate")
-    rows = rows.withColumn("__k", F.row_number().over(best)).where("__k = 1")
     order = W.partitionBy("id").orderBy("candidate_price", "candidate")
-    clean = F.sum((F.size("warnings") == 0).cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("__c", F.coalesce(clean, F.lit(0))).where("__c = 0").withColumn("position", F.row_number().over(order))
+    rows = rows.withColumn("position", F.row_number().over(order))
     priced = F.col("price") > 0
     ratio = (F.col("price") - F.col("candidate_price")) / F.col("price")
     better = rows.select(
@@ -134,10 +191,10 @@ def exclusion_for_entity(rules: DataFrame, entities: DataFrame) -> DataFrame:
     own = entities.select("id", "tags", F.explode("tags").alias("k", "v")).join(tagged, ["k", "v"]).where(tags_contain(F.col("tags"), F.col("rule_tags")))
     general = rules.where(F.size("tags") == 0).select(F.explode("patterns").alias("pattern"))
     some = own.select("id", F.explode("patterns").alias("pattern"))
-    everywhere = [r["pattern"] for r in general.distinct().collect()]  # configured rules without tags: a handful
+    everywhere = general.agg(F.collect_set("pattern").alias("__all"))  # one row
     per = entities.select("id").join(some.groupBy("id").agg(F.collect_set("pattern").alias("p")), "id", "left")
-    patterns = F.array_sort(F.array_union(F.coalesce("p", F.array().cast("array<string>")), F.array(*[F.lit(x) for x in everywhere]).cast("array<string>")))
-    return per.select("id", patterns.alias("patterns"))
+    patterns = F.array_sort(F.array_union(F.coalesce("p", F.array().cast("array<string>")), F.col("__all")))
+    return per.crossJoin(everywhere).select("id", patterns.alias("patterns"))
 
 
 def krr_clusters(recommendations: DataFrame, entities: DataFrame) -> DataFrame:

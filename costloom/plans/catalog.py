@@ -16,10 +16,10 @@ ORACLES: dict[str, str] = {}
 START, END = dt.date(1996, 7, 1), dt.date(1996, 8, 1)
 AS_OF, METRICS_AS_OF = dt.date(1996, 7, 31), dt.date(2024, 1, 31)
 RATE = 0.92
-#: Scopes that the registered queries ask for: root, two accounts, a cluster, with and without tags.
-SCOPES: list[tuple[int, dict[str, str]]] = [(0, {}), (1, {}), (2, {"segment": "BUILDING"}), (0, {"tier": "gold", "segment": "MACHINERY"}), (103, {"tier": "gold"}), (0, {"team": "team1"}), (3, {"team": "team2"})]
-#: The same as DuckDB rows, tags as the columns they are in the views.
-SCOPES_SQL = """(VALUES (0, '{}', NULL, NULL, NULL), (1, '{}', NULL, NULL, NULL), (2, '{"segment":"BUILDING"}', 'BUILDING', NULL, NULL), (0, '{"segment":"MACHINERY","tier":"gold"}', 'MACHINERY', 'gold', NULL), (103, '{"tier":"gold"}', NULL, 'gold', NULL), (0, '{"team":"team1"}', NULL, NULL, 'team1'), (3, '{"team":"team2"}', NULL, NULL, 'team2')) AS s(scope_id, tags_key, w_segment, w_tier, w_team)"""
+#: The registered queries ask for every entity with children under each of these tag sets.
+TAG_SETS: list[dict[str, str]] = [{}, {"segment": "BUILDING"}, {"segment": "MACHINERY", "tier": "gold"}, {"tier": "gold"}, {"team": "team1"}, {"team": "team2"}]
+#: The same in DuckDB, tags as the columns they are in the views.
+SCOPES_SQL = """(SELECT p.scope_id, t.* FROM (SELECT DISTINCT parent_id AS scope_id FROM entities WHERE parent_id IS NOT NULL) p CROSS JOIN (VALUES ('{}', NULL, NULL, NULL), ('{"segment":"BUILDING"}', 'BUILDING', NULL, NULL), ('{"segment":"MACHINERY","tier":"gold"}', 'MACHINERY', 'gold', NULL), ('{"tier":"gold"}', NULL, 'gold', NULL), ('{"team":"team1"}', NULL, NULL, 'team1'), ('{"team":"team2"}', NULL, NULL, 'team2')) AS t(tags_key, w_segment, w_tier, w_team)) AS s"""
 FITS_SQL = "(w_segment IS NULL OR segment = w_segment) AND (w_tier IS NULL OR tier = w_tier) AND (w_team IS NULL OR team = w_team)"
 #: The tree of entities below every node, as DuckDB's recursive part.
 TREE_SQL = "tree AS (SELECT id AS ancestor, id AS descendant, 0 AS depth FROM entities UNION ALL SELECT ancestor, e.id, depth + 1 FROM tree JOIN entities e ON e.parent_id = descendant)"
@@ -45,6 +45,6 @@ def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
 
 
 def scopes(v: Standins) -> DataFrame:
-    return v.spark.createDataFrame(SCOPES, "scope_id long, tags map<string,string>")
-
-
+    sets = F.array(*[F.create_map(*[F.lit(x) for pair in tags.items() for x in pair]).cast("map<string,string>") for tags in TAG_SETS])
+    parents = v.entities.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("scope_id")).distinct()
+    return parents.select("scope_id", F.explode(sets).alias("tags"))

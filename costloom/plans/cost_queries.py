@@ -19,6 +19,11 @@ def recent():
     return F.col("updated_at") >= F.lit(AS_OF - dt.timedelta(days=7))
 
 
+def parents(v):
+    """All entities with children."""
+    return v.entities.where("parent_id IS NOT NULL").select("parent_id").distinct()
+
+
 def members(v):
     return H.scope_entities(H.closure(v.entities), v.entities, scopes(v))
 
@@ -50,9 +55,9 @@ def entity_roots(v):
     return H.entity_roots(v.entities)
 
 
-@query("entity_children", f"SELECT parent_id, id, name, type, {CHILD_SQL} FROM entities e WHERE parent_id IN (0, 1, 103)")
+@query("entity_children", f"SELECT parent_id, id, name, type, {CHILD_SQL} FROM entities e WHERE parent_id IS NOT NULL")
 def entity_children(v):
-    return H.entity_children(v.entities, v.spark.createDataFrame([(0,), (1,), (103,)], "parent_id long"))
+    return H.entity_children(v.entities, parents(v))
 
 
 @query("entity_providers", "SELECT DISTINCT provider FROM entities WHERE provider IS NOT NULL")
@@ -73,9 +78,9 @@ def tag_key_top(v):
     return H.tag_key_top(v.entities)
 
 
-@query("entity_chain", f"WITH RECURSIVE {TREE_SQL}, up AS (SELECT descendant AS node, ancestor AS id, depth FROM tree WHERE ancestor <> 0 AND descendant % 7 = 0 AND descendant > 0) SELECT node, CAST(max(depth) OVER (PARTITION BY node) - depth AS INT) AS position, up.id, name, type FROM up JOIN entities e ON e.id = up.id")
+@query("entity_chain", f"WITH RECURSIVE {TREE_SQL}, up AS (SELECT descendant AS node, ancestor AS id, depth FROM tree WHERE ancestor <> 0 AND descendant > 0) SELECT node, CAST(max(depth) OVER (PARTITION BY node) - depth AS INT) AS position, up.id, name, type FROM up JOIN entities e ON e.id = up.id")
 def entity_chain(v):
-    nodes = v.entities.where("id % 7 = 0 AND id > 0").select(F.col("id").alias("node"))
+    nodes = v.entities.where("id > 0").select(F.col("id").alias("node"))
     return H.entity_chain(H.closure(v.entities), v.entities, nodes)
 
 
@@ -85,19 +90,19 @@ RECENT_TREE_SQL = f"tree AS (SELECT id AS ancestor, id AS descendant, [id] AS pa
 @query("scoped_tag_key_top", f"""
     WITH RECURSIVE {RECENT_TREE_SQL}, k AS ({KEYS_SQL}), total AS (SELECT ancestor, count(*) AS total FROM tree GROUP BY 1)
     SELECT t.ancestor AS scope_id, key, count(*) AS n, any_value(total) AS total FROM tree t JOIN k ON k.id = t.descendant JOIN total USING (ancestor)
-    WHERE t.ancestor IN (0, 1, 2, 3, 103) AND key NOT LIKE 'clus%' GROUP BY 1, 2""")
+    WHERE t.ancestor IN (SELECT parent_id FROM entities) AND key NOT LIKE 'clus%' GROUP BY 1, 2""")
 def scoped_tag_key_top(v):
     return H.scoped_tag_key_top(H.closure(v.entities, pruned=recent()), v.entities, scopes(v), ["clus*"])
 
 
-@query("scoped_children", f"SELECT parent_id, id, name, type, {CHILD_SQL} FROM entities e WHERE parent_id IN (0, 1, 103) AND ({RECENT_SQL} OR id = 0)")
+@query("scoped_children", f"SELECT parent_id, id, name, type, {CHILD_SQL} FROM entities e WHERE parent_id IS NOT NULL AND ({RECENT_SQL} OR id = 0)")
 def scoped_children(v):
-    return H.scoped_children(v.entities, v.spark.createDataFrame([(0,), (1,), (103,)], "parent_id long"), recent())
+    return H.scoped_children(v.entities, parents(v), recent())
 
 
 @query("scoped_tag_values", f"""
     WITH RECURSIVE {RECENT_TREE_SQL} SELECT ancestor AS scope_id, tier AS value, count(*) AS n FROM tree JOIN entities e ON e.id = descendant
-    WHERE tier IS NOT NULL AND ancestor IN (0, 1, 2, 3, 103) GROUP BY 1, 2""")
+    WHERE tier IS NOT NULL AND ancestor IN (SELECT parent_id FROM entities) GROUP BY 1, 2""")
 def scoped_tag_values(v):
     return H.scoped_tag_values(H.closure(v.entities, pruned=recent()), v.entities, scopes(v), "tier")
 
@@ -300,7 +305,7 @@ def allocation_rule_check(v):
     return rounded(C.rule_budget(v.customer.select(tags.alias("source_tags"), (F.col("c_custkey") % 7 / 100.0).alias("percentage"))), "total")
 
 
-@query("allocation_rule_add", "WITH r AS (SELECT c_custkey AS rule_id, c_mktsegment, sum(c_custkey % 40 + 0.0) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS total FROM customer) SELECT rule_id, total <= 100.001 AS accepted FROM r")
+@query("allocation_rule_add", "WITH h AS (SELECT c_mktsegment, sum(c_custkey % 40 + 0.0) AS have FROM customer WHERE c_custkey % 97 = 3 GROUP BY 1), r AS (SELECT c_custkey AS rule_id, c_mktsegment, sum(c_custkey % 40 + 0.0) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS total FROM customer WHERE c_custkey % 97 <> 3) SELECT rule_id, coalesce(have, 0) + total <= 100.001 AS accepted FROM r LEFT JOIN h USING (c_mktsegment)")
 def allocation_rule_add(v):
-    new = v.customer.select(F.col("c_custkey").alias("rule_id"), F.create_map(F.lit("segment"), "c_mktsegment").alias("source_tags"), (F.col("c_custkey") % 40 + 0.0).alias("percentage"))
-    return C.accept_rules(new.limit(0), new).select("rule_id", "accepted")
+    rows = v.customer.select(F.col("c_custkey").alias("rule_id"), F.create_map(F.lit("segment"), "c_mktsegment").alias("source_tags"), (F.col("c_custkey") % 40 + 0.0).alias("percentage"))
+    return C.accept_rules(rows.where("rule_id % 97 = 3"), rows.where("rule_id % 97 <> 3")).select("rule_id", "accepted")

@@ -581,7 +581,7 @@ def vm_candidate_warnings(v):
     SELECT id, status, action, CAST(position AS INT) AS position, recommended, warnings, round(projected, 4) AS projected_daily_cost, round(savings, 4) AS monthly_savings, round(percent, 4) AS savings_percent FROM rec
     UNION ALL SELECT id, CASE WHEN instance_type IS NULL THEN 'unsupported' ELSE 'success' END, 'none', NULL, NULL, NULL, NULL, NULL, NULL FROM vm WHERE id NOT IN (SELECT id FROM rec)""")
 def vm_rightsize(v):
-    return rounded(R.vm_rightsize(vm_needs(v), vm_found(v), v.pricing, vm_cost(v)), "projected_daily_cost", "monthly_savings", "savings_percent")
+    return rounded(R.vm_rightsize(vm_needs(v), v.hardware, v.pricing, vm_cost(v), F.array(F.lit("t9*"))), "projected_daily_cost", "monthly_savings", "savings_percent")
 
 
 EXCLUSIONS = [(0, {}, ["t1*"]), (1, {"segment": "BUILDING"}, ["t2*", "t3*"]), (2, {"tier": "gold"}, ["t4*"]), (103, {"segment": "BUILDING", "tier": "gold"}, ["t5*"])]

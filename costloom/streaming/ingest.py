@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from costloom.functions.tables import fresh_folder
+
 ENVELOPE = "struct<message_id:string,timestamp:timestamp,source_module:string,payload:string>"
 
 
@@ -80,10 +81,5 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "complete") -> Data
 
 
 def work_folder(spark) -> str:
-    """A new folder under the session's shared ``spark.checkpoint.dir``; a local one only if none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="costloom-")
-    return f"{named.rstrip('/')}/costloom-stream-{uuid.uuid4().hex}"
+    """A new folder under the session's shared folder."""
+    return fresh_folder(spark, "stream")
