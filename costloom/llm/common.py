@@ -58,12 +58,25 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/costloom/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that this process wrote, in order.
+WRITTEN: list[str] = []
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written tables that nothing will read again."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def durable(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write a table into the shared folder and read it back.
 
-    Cuts the lineage, so a lost executor costs a reread and not the whole job again.
+    Cuts the lineage, so a lost executor costs a reread and not the whole job again. The table stays
+    until :func:`drop_tables` is told to remove it.
     """
     path = fresh_path(df.sparkSession, what)
+    WRITTEN.append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -79,7 +92,7 @@ def held(key, make):
     return _HELD[key]
 
 
-def small_batches(spark: SparkSession, limit: int = 8_000_000) -> None:
+def small_batches(spark: SparkSession, limit: int = 2_000_000) -> None:
     """Lower the session's bound on the bytes of an Arrow batch, so that long texts don't pile up in Python workers."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     held = re.match(r"\d+", spark.conf.get(name, None) or "")

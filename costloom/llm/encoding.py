@@ -27,7 +27,7 @@ def encoder_of(model: bytes, kind: str) -> TrieEncoder:
     return held(("pieces", zlib.crc32(model), len(model), kind), lambda: TrieEncoder(Vocabulary(model, kind)))
 
 
-def encode_texts(docs: DataFrame, carry: list[str], model_path: str = MODEL, kind: str = "bpe", batch_bytes: int = 3_000_000) -> DataFrame:
+def encode_texts(docs: DataFrame, carry: list[str], model_path: str = MODEL, kind: str = "bpe", batch_bytes: int = 1_000_000) -> DataFrame:
     """``carry`` columns plus ``ids`` (array of int), ``decoded_crc32`` and ``round_trip`` for every row.
 
     ``round_trip`` says that decoding the ids gives the text back (a literal ``▁`` comes back as a
