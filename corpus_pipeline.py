@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costloom.llm import decontaminate, encoding, jaccard, langid, rules
-from costloom.llm.common import durable, fresh_path, table
+from costloom.llm.common import WRITTEN, drop_tables, durable, fresh_path, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -15,6 +17,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LONG, SLACK = 64, 64
 
 
+#: Intermediate tables of the stage before.
+_BEFORE: list[str] = []
+
+
+def stage(function):
+    """A stage: what the stage before it wrote besides its result is removed first.
+
+    So a stage's result must be written (or be in memory) before the next stage is called, as
+    :func:`run` does.
+    """
+
+    @functools.wraps(function)
+    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _BEFORE)
+        known = len(WRITTEN)
+        out = function(spark, docs, sf_dir)
+        _BEFORE[:] = WRITTEN[known:]
+        return out
+
+    return wrapped
+
+
 def language_bounds(found: DataFrame, factor: float = 2.0, least: float = 4.0) -> dict[str, float]:
     """Bits per character that texts of each learnt language may need.
 
@@ -27,9 +51,13 @@ def language_bounds(found: DataFrame, factor: float = 2.0, least: float = 4.0) -
     return {r["lang_pred"]: max(least, factor * r["high"]) for r in high.collect()}  # one row a learnt language
 
 
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``lang`` becomes the identified language; documents without a letter, or too strange to all languages, go."""
-    found = durable(langid.identify(docs, F.lit(True), COLUMNS), "stage-languages")
+    """``lang`` becomes the identified language; documents without a letter, or too strange to all languages, go.
+
+    So do null and empty texts. Repeated rows stay; rows without a ``lang`` or doc_id are identified like others.
+    """
+    found = durable(langid.identify(docs, F.lit(True), COLUMNS), "stage-languages", compression="zstd")
     bounds = language_bounds(found)
     kept = F.col("lang_pred") != "und"
     if bounds:
@@ -39,12 +67,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(kept).withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a fixed or learnt rule rejects go."""
-    measured = durable(rules.measure(docs, COLUMNS), "stage-counts")
+    """Documents that a fixed or learnt rule rejects go; a null or empty text fails the fixed rules; repeated rows are judged alike."""
+    measured = durable(rules.measure(docs, COLUMNS), "stage-counts", compression="zstd")
     return rules.apply_rules(measured, table(spark, sf_dir, "labels")).where("kept").select(COLUMNS)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component stays; so do rows without a doc_id."""
     groups = jaccard.near_duplicates(docs, words=5, percent=80)
@@ -52,14 +82,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go; null and empty texts have none and stay."""
     found = decontaminate.contaminated_spans(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
     return found.where("n_hit = 0").select(COLUMNS)
 
 
+@stage
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the documents that are left."""
+    """Token ids of the documents that are left; null and empty texts have none."""
     encoded = encoding.encode_texts(docs, ["doc_id", "lang", "source"])
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
