@@ -49,6 +49,49 @@ def test_closure_and_scopes(spark):
     assert got == [('{"t":"a"}', 3), ("{}", 2), ("{}", 3)]
 
 
+@pytest.mark.parametrize("n", [60, 200])
+def test_closure_has_no_limit_of_depth(spark, n):
+    tree = H.closure(spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)], "id long, parent_id long")).collect()
+    assert len(tree) == n * (n + 1) // 2
+    assert all(r["depth"] == r["descendant"] - r["ancestor"] and list(r["path"]) == list(range(r["ancestor"], r["descendant"] + 1)) for r in tree)
+
+
+def test_a_cycle_is_an_error(spark):
+    with pytest.raises(ValueError):
+        H.closure(spark.createDataFrame([(0, None), (1, 3), (2, 1), (3, 2)], "id long, parent_id long"))
+
+
+@pytest.mark.parametrize("frontier", [2, 64])
+def test_cheapest_fits_are_those_of_brute_force(spark, frontier):
+    import random
+
+    from costloom.operators import rightsizing as R
+
+    rng = random.Random(3)
+    flags = {f: [True, False] for f in R.FLAGS} | {"architecture": ["x86_64", "arm64"]}
+    offers = [{"provider": "p", "region": rng.choice("ab"), "os": "linux", "candidate": f"t{i:03}", "candidate_price": float(rng.randint(1, 40)), "c_vcpu": rng.randint(1, 16), "c_memory": float(rng.randint(1, 64)), "baseline_iops": rng.choice([None, 100.0, 900.0]), "throughput": rng.choice([None, 50.0]), **{"c_" + f: rng.choice(v) for f, v in flags.items()}} for i in range(150)]
+    vms = [{"id": i, "provider": "p", "region": rng.choice("abc"), "os": "linux", "price": rng.choice([None, 0.0, 5.0, 20.0, 60.0]), "need_vcpu": float(rng.randint(1, 17)), "need_ram": float(rng.randint(1, 50)), "need_iops": rng.choice([0.0, 500.0]), "need_net": rng.choice([0.0, 60.0]), **{f: rng.choice(v) for f, v in flags.items()}} for i in range(60)]
+    kinds = ", ".join(f"{f} {'string' if f == 'architecture' else 'boolean'}" for f in R.FLAGS)
+    shape_vm = f"id long, provider string, region string, os string, price double, need_vcpu double, need_ram double, need_iops double, need_net double, {kinds}"
+    shape_offer = f"provider string, region string, os string, candidate string, candidate_price double, c_vcpu int, c_memory double, baseline_iops double, throughput double, {', '.join('c_' + k for k in kinds.split(', '))}"
+    found = R.cheapest(spark.createDataFrame(vms, shape_vm), spark.createDataFrame(offers, shape_offer), frontier).collect()
+    want = set()
+    for m in vms:
+        seen = set()
+        for o in sorted((o for o in offers if o["region"] == m["region"]), key=lambda o: (o["candidate_price"], o["candidate"])):
+            if m["price"] and not o["candidate_price"] < m["price"]:
+                continue
+            if o["c_vcpu"] < m["need_vcpu"] or o["c_memory"] < m["need_ram"] or (o["baseline_iops"] or 1e9) < m["need_iops"] or (o["throughput"] or 1e9) < m["need_net"] or o["c_is_gpu"] != m["is_gpu"]:
+                continue
+            w = tuple(n for n, bad in (("architecture", o["c_architecture"] != m["architecture"]), ("confidential", m["is_confidential"] and not o["c_is_confidential"]), ("local storage", m["has_local_storage"] and not o["c_has_local_storage"]), ("premium storage", m["supports_premium"] and not o["c_supports_premium"])) if bad)
+            if w not in seen:
+                seen.add(w)
+                want.add((m["id"], o["candidate"], w))
+            if not w:
+                break
+    assert {(r["id"], r["candidate"], tuple(r["warnings"])) for r in found} == want and len(found) == len(want)
+
+
 def test_multiday_charges_are_spread(spark):
     df = spark.createDataFrame([("r", D(2026, 3, 1), D(2026, 3, 4), 30.0)], "resource_id string, start_date date, end_date date, billed_cost double")
     rows = one(X.spread_multiday(df, D(2026, 4, 1)).select("start_date", "billed_cost").orderBy("start_date"))
