@@ -650,12 +650,24 @@ def humanize_memory(v):
 HALF_SQL = "SELECT entity_id, charge_date, service, sku, max(billed_cost) AS billed_cost FROM costs GROUP BY ALL"
 
 
-@query("costs_upsert", f"WITH old AS ({HALF_SQL}) SELECT entity_id, charge_date, service, sku, round(CASE WHEN sku % 2 = 0 THEN billed_cost * 3 ELSE billed_cost END, 4) AS billed_cost FROM old")
+@query("costs_upsert", f"WITH old AS ({HALF_SQL}) SELECT entity_id, charge_date, lower(service) AS service, sku, round(CASE WHEN sku % 2 = 0 THEN billed_cost * 3 ELSE billed_cost END, 4) AS billed_cost FROM old")
 def costs_upsert(v):
     keys = ["entity_id", "charge_date", "service", "sku"]
-    old = v.costs.groupBy(*keys).agg(F.max("billed_cost").alias("billed_cost"))
-    new = old.where("sku % 2 = 0").withColumn("billed_cost", F.col("billed_cost") * 3)
-    return rounded(U.upsert(old, new, keys, U.COSTS), "billed_cost")
+    raw = v.costs.groupBy(*keys).agg(F.max("billed_cost").alias("billed_cost"))
+    new = raw.where("sku % 2 = 0").withColumn("billed_cost", F.col("billed_cost") * 3)
+    return rounded(U.upsert(U.lowered(raw, "service"), U.lowered(new, "service"), keys, U.COSTS), "billed_cost")
+
+
+@query("costs_load", f"WITH old AS ({HALF_SQL}) SELECT charge_date, lower(service) AS service, count(*) AS n, round(sum(CASE WHEN month(charge_date) % 2 = 0 THEN billed_cost * 3 ELSE billed_cost END), 3) AS billed_cost FROM old GROUP BY 1, 2")
+def costs_load(v):
+    """A table by month, of which a load rewrites every second month in place."""
+    keys = ["month", "entity_id", "charge_date", "service", "sku"]
+    raw = v.costs.withColumn("month", F.trunc("charge_date", "month")).groupBy(*keys).agg(F.max("billed_cost").alias("billed_cost"))
+    path = S.work_folder(v.spark)
+    U.upsert_partitions(path, U.lowered(raw, "service"), keys, U.COSTS, "month")
+    new = raw.where("month(month) % 2 = 0").withColumn("billed_cost", F.col("billed_cost") * 3)
+    U.upsert_partitions(path, U.lowered(new, "service"), keys, U.COSTS, "month")
+    return rounded(v.spark.read.parquet(path).groupBy("charge_date", "service").agg(F.count(F.lit(1)).alias("n"), F.sum("billed_cost").alias("billed_cost")), "billed_cost", digits=3)
 
 
 @query("metrics_insert", "SELECT entity_id, metric, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, min(value) AS value FROM metrics GROUP BY 1, 2, 3")
@@ -676,15 +688,23 @@ def kubemetrics_upsert(v):
 @query("krr_upsert", "SELECT entity_id, workload_type, workload, container, max(scanned) AS scanned FROM recommendations GROUP BY 1, 2, 3, 4")
 def krr_upsert(v):
     keys = ["entity_id", "workload_type", "workload", "container"]
-    rows = v.recommendations
+    rows = U.stamped(v.recommendations.withColumnRenamed("scanned", "envelope_time"))
     old = U.latest(rows, keys, "scanned", first=True)
-    return U.upsert(old, U.latest(rows, keys, "scanned"), keys, {"scanned": "replace", "cpu": "replace", "memory": "replace"}).select(*keys, "scanned")
+    out = U.upsert(old, U.latest(rows, keys, "scanned"), keys, {"scanned": "replace", "cpu": "replace", "memory": "replace"})
+    return out.select(*keys, F.to_date("scanned").alias("scanned"))
 
 
-@query("entity_upsert_basic", f"SELECT id, name, CASE WHEN id % 2 = 0 THEN 'changed' ELSE type END AS type, CASE WHEN id % 2 = 0 THEN DATE '{AS_OF}' ELSE updated_at END AS updated_at FROM entities")
+@query("entity_upsert_basic", f"""
+    SELECT lower(concat('Id', id)) AS external_id, CASE WHEN id % 4 = 2 THEN 9 ELSE parent_id END AS parent_id, CASE WHEN id % 5 = 0 THEN lower(concat('Id', id)) ELSE lower(name) END AS name,
+      CASE WHEN id % 2 = 0 THEN 'changed' ELSE type END AS type, CASE WHEN id % 2 = 0 THEN DATE '{AS_OF}' ELSE updated_at END AS updated_at FROM entities""")
 def entity_upsert_basic(v):
-    new = v.entities.where("id % 2 = 0").select("id", F.lit("other").alias("name"), F.lit("changed").alias("type"), F.lit(AS_OF).alias("updated_at"))
-    return U.upsert(v.entities.select("id", "name", "type", "updated_at"), new, ["id"], U.ENTITY_BASIC)
+    rows = v.entities.withColumn("external_id", F.concat(F.lit("Id"), F.col("id").cast("string")))
+    name = F.when(F.col("id") % 5 == 0, F.lit("None")).otherwise(F.col("name"))
+    kept = ["external_id", "provider", "name", "type", "parent_id", "updated_at"]
+    parent = F.when(F.col("id") % 4 == 2, 9).otherwise(0).cast("long")
+    new = rows.where("id % 2 = 0").withColumns({"name": F.lit("Other"), "type": F.lit("Changed"), "updated_at": F.lit(AS_OF), "parent_id": parent})
+    old = U.basic_entities(rows.withColumn("name", name).select(*kept))
+    return U.upsert(old, U.basic_entities(new.select(*kept)), ["external_id"], U.ENTITY_BASIC).drop("provider")
 
 
 @query("entity_upsert_cost", "SELECT id, CASE WHEN id % 2 = 0 THEN concat_ws(',', segment, 'x', team) ELSE concat_ws(',', segment, tier, team) END AS tags, CASE WHEN id % 2 = 0 THEN 'r9' ELSE region END AS region FROM entities WHERE type = 'vm'")
@@ -712,6 +732,15 @@ def entity_upsert_kube(v):
     return out.select("id", "parent_id", F.concat_ws(",", *[F.try_element_at("tags", F.lit(k)) for k in ("cluster", "label", "team")]).alias("tags"))
 
 
+@query("kube_hierarchy", """
+    SELECT lower(concat('urn:', cluster, ':', name)) AS external_id, lower(name) AS name, type, lower(concat('urn:', cluster)) AS parent_external_id FROM entities WHERE type = 'kubernetes_namespace'
+    UNION ALL SELECT DISTINCT lower(concat('urn:', cluster)), lower(cluster), 'kubernetes_cluster', NULL FROM entities WHERE type = 'kubernetes_namespace'""")
+def kube_hierarchy(v):
+    rows = v.entities.where("type = 'kubernetes_namespace'")
+    rows = rows.select(F.concat(F.lit("Urn:"), "cluster", F.lit(":"), "name").alias("resource_id"), F.col("name").alias("resource_name"), F.col("type").alias("resource_type"), "provider", "tags")
+    return U.kube_entities(rows).select("external_id", "name", "type", "parent_external_id")
+
+
 @query("azure_hierarchy", "SELECT concat('/subscriptions/', c_nationkey) AS external_id, 'subscription' AS type, NULL AS parent_external_id FROM customer UNION SELECT concat('/subscriptions/', c_nationkey, '/resourcegroups/', lower(c_mktsegment)), 'resource_group', concat('/subscriptions/', c_nationkey) FROM customer")
 def azure_hierarchy(v):
     rows = v.customer.select(F.concat(F.lit("/subscriptions/"), F.col("c_nationkey").cast("string"), F.lit("/resourceGroups/"), "c_mktsegment", F.lit("/providers/x/vm/"), "c_name").alias("resource_id"))

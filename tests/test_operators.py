@@ -199,3 +199,35 @@ def test_rollup_of_rollup_is_the_rollup(spark):
     df = spark.createDataFrame(rows, "entity_id long, metric string, ts timestamp, value double")
     direct, nested = M.rollup_first(df, "1 day"), M.rollup_next(M.rollup_first(df))
     assert sorted(one(direct)) == sorted(one(nested))
+
+
+def test_entities_as_stored(spark):
+    rows = spark.createDataFrame([("A:B:C", "AWS", None, "VM"), ("X", "aws", "None", "vm"), ("Y", "aws", "Name", "vm")], "external_id string, provider string, name string, type string")
+    assert one(U.basic_entities(rows)) == [("a:b:c", "aws", "a:b:c", "vm"), ("x", "aws", "x", "vm"), ("y", "aws", "name", "vm")]
+    assert one(rows.select(U.cluster_of(F.col("external_id")))) == [("a:b",), ("",), ("",)]
+    old = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5)], "external_id string, parent_id long")
+    new = spark.createDataFrame([("a", 0), ("b", 7), ("c", None), ("d", 0)], "external_id string, parent_id long")
+    assert dict(one(U.upsert(old, new, ["external_id"], U.ENTITY_BASIC))) == {"a": 5, "b": 7, "c": 5, "d": 0}
+
+
+def test_partitions_are_rewritten_in_place(spark, tmp_path):
+    path = str(tmp_path / "table")
+    shape = "p int, k int, v int"
+    U.upsert_partitions(path, spark.createDataFrame([(1, 1, 10), (1, 2, 20), (2, 1, 30)], shape), ["p", "k"], {"v": "replace"}, "p")
+    other = sorted((tmp_path / "table" / "p=2").glob("*.parquet"))
+    source = spark.createDataFrame([(1, 2, 21), (3, 1, 40)], shape)
+    for _ in range(2):
+        U.upsert_partitions(path, source, ["p", "k"], {"v": "replace"}, "p")
+        assert sorted(one(spark.read.parquet(path).select("p", "k", "v"))) == [(1, 1, 10), (1, 2, 21), (2, 1, 30), (3, 1, 40)]
+    assert sorted((tmp_path / "table" / "p=2").glob("*.parquet")) == other
+    with pytest.raises(ValueError):
+        U.upsert_partitions(path, source, ["k"], {"v": "replace"}, "p")
+
+
+def test_unfinished_snapshots_are_not_seen(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    assert U.publish(spark.range(3), folder) == 1 and U.publish(spark.range(5), folder) == 2
+    spark.range(9).write.parquet(f"{folder}/snapshot=3")
+    (tmp_path / "table" / "snapshot=3" / "_SUCCESS").unlink()
+    assert U.current(spark, folder).count() == 5
+    assert U.publish(spark.range(7), folder) == 3 and U.current(spark, folder).count() == 7
