@@ -137,6 +137,17 @@ def forecast_quality(history: DataFrame, keys: list[str]) -> DataFrame:
     return per.select("*", variance.alias("variance"), accuracy.alias("accuracy"))
 
 
+def with_daily_actuals(quality: DataFrame, daily: DataFrame, keys: list[str]) -> DataFrame:
+    """``quality`` (keys, target_month, others) with the month's ``daily_actuals``: (date, cost) in order, empty without costs.
+
+    ``daily`` has (keys, date, cost), one row per key and day, so an array has at most 31 items.
+    """
+    days = daily.groupBy(*keys, F.trunc("date", "month").alias("target_month")).agg(F.array_sort(F.collect_list(F.struct("date", "cost"))).alias("daily_actuals"))
+    rows = quality.join(days, [*keys, "target_month"], "left")
+    none = F.array().cast("array<struct<date:date,cost:double>>")
+    return rows.withColumn("daily_actuals", F.coalesce("daily_actuals", none))
+
+
 def mean_daily_forecast(history: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, day, mean): the mean over snapshots of ``daily_forecasts`` maps; a day that a snapshot lacks counts 0."""
     counts = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))

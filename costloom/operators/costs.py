@@ -13,6 +13,7 @@ from costloom.functions.normalize import usd_to_eur
 from costloom.functions.tables import durable
 from costloom.functions.tags import tags_key, tags_match
 from costloom.functions.timegrid import gap_filled
+from costloom.operators.budgets import anomaly_entry
 from costloom.operators.hierarchy import namespaces_for_tags, scope_entities, with_key
 
 SCOPE = ["scope_id", "tags_key"]
@@ -91,6 +92,18 @@ def ns_allocation_chart(allocation: DataFrame) -> DataFrame:
     return rows.select("cluster_id", "namespace", F.col("p.date").alias("labels"), F.col("p.cost").alias("costs"))
 
 
+def matching_rules(tagged: DataFrame, rules: DataFrame, rule_tags: str) -> DataFrame:
+    """Rows of ``tagged`` (tags, any others) with each rule whose ``rule_tags`` are contained in their tags.
+
+    A rule is met through its first tag, so this is an equi-join; a rule without tags matches nothing.
+    Other columns of both sides are kept and must differ in name.
+    """
+    one = F.element_at(F.map_entries(rule_tags), 1)
+    entries = rules.where(F.size(rule_tags) > 0).select("*", one["key"].alias("__k"), one["value"].alias("__v"))
+    pairs = tagged.select("*", F.explode("tags").alias("__k", "__v"))
+    return pairs.join(entries, ["__k", "__v"]).where(tags_match(F.col("tags"), F.col(rule_tags))).drop("__k", "__v")
+
+
 def apply_allocation_rules(base: DataFrame, scopes: DataFrame, rules: DataFrame, source_costs: DataFrame) -> DataFrame:
     """``base`` (scope_id, tags_key, date, cost) plus incoming and minus outgoing percentages of rules' source costs.
 
@@ -102,11 +115,7 @@ def apply_allocation_rules(base: DataFrame, scopes: DataFrame, rules: DataFrame,
     side = rules.select("rule_id", "source_tags", "target_tags", "percentage", tags_key(F.col("source_tags")).alias("source_key"))
 
     def touched(tags: str, sign: float) -> DataFrame:
-        one = F.element_at(F.map_entries(tags), 1)
-        entries = side.where(F.size(tags) > 0).select("*", one["key"].alias("k"), one["value"].alias("v"))
-        pairs = keyed.select("*", F.explode("tags").alias("k", "v"))
-        hit = pairs.join(entries, ["k", "v"]).where(tags_match(F.col("tags"), F.col(tags)))
-        return hit.select(*SCOPE, "source_key", (F.lit(sign) * F.col("percentage") / 100.0).alias("part"))
+        return matching_rules(keyed, side, tags).select(*SCOPE, "source_key", (F.lit(sign) * F.col("percentage") / 100.0).alias("part"))
 
     parts = touched("target_tags", 1.0).union(touched("source_tags", -1.0))
     source = source_costs.select(F.col("tags_key").alias("source_key"), "date", F.col("cost").alias("source_cost"))
@@ -198,25 +207,50 @@ def topn_other(breakdown: DataFrame, keys: list[str], category: str = "category"
     return breakdown.join(named, [*keys, category]).groupBy(*keys, "date", F.col("__to").alias(category)).agg(F.sum("cost").alias("cost"))
 
 
-def month_report(daily: DataFrame, forecasts: DataFrame, keys: list[str], cutoff: dt.date) -> DataFrame:
+def month_report(daily: DataFrame, forecasts: DataFrame, keys: list[str], cutoff: dt.date, thresholds: DataFrame | None = None, limits: DataFrame | None = None) -> DataFrame:
     """One row per key and day: actual and cumulative costs up to the cutoff, then the forecast's running sum.
 
     ``daily`` has every day of the month; ``forecasts`` has (keys, date, predicted). Predictions
-    below 0 count 0. On the cutoff day the forecast line starts from the actual sum.
+    below 0 count 0. On the cutoff day the forecast line starts from the actual sum. ``thresholds``
+    has some of the keys, date and threshold: days up to the cutoff get their anomaly entry from it.
+    ``limits`` has some of the keys and limit_amount. ``projected_total`` is the month's whole sum.
     """
     actual = F.col("date") <= F.lit(cutoff)
     rows = daily.join(forecasts.select(*keys, "date", "predicted"), [*keys, "date"], "left")
     value = F.when(actual, F.col("cost")).otherwise(F.greatest(F.coalesce("predicted", F.lit(0.0)), F.lit(0.0)))
-    running = F.sum("__v").over(W.partitionBy(*keys).orderBy("date").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("__v", value).withColumn("__sum", running)
+    month = W.partitionBy(*keys).orderBy("date")
+    running = F.sum("__v").over(month.rowsBetween(W.unboundedPreceding, 0))
+    total = F.last("__sum").over(month.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    rows = rows.withColumn("__v", value).withColumn("__sum", running).withColumn("projected_total", total)
+    rows = with_limits(rows, thresholds, [*keys, "date"], "threshold")
+    rows = with_limits(rows, limits, keys, "limit_amount")
+    entry = anomaly_entry(F.when(actual, F.col("cost")), F.col("threshold"))
     return rows.select(
         *keys, "date",
         F.when(actual, F.col("cost")).alias("actual_daily"),
         F.when(actual, F.col("__sum")).alias("actual_cumulative"),
         F.when(F.col("date") >= F.lit(cutoff), F.col("__sum")).alias("forecast_cumulative"),
+        entry["is_anomaly"].alias("is_anomaly"), entry["delta"].alias("anomaly_delta"),
+        "projected_total", F.col("limit_amount").alias("budget"),
     )
 
 
+def with_limits(rows: DataFrame, limits: DataFrame | None, keys: list[str], column: str) -> DataFrame:
+    """Rows with a column of ``limits``, matched by those of ``keys`` that it has; null without one."""
+    if limits is None:
+        return rows.withColumn(column, F.lit(None).cast("double"))
+    on = [k for k in keys if k in limits.columns]
+    return rows.join(limits.select(*on, column), on, "left")
+
+
+def month_breakdown(breakdown: DataFrame, keys: list[str], start: dt.date, end: dt.date, cutoff: dt.date, n: int = 5) -> DataFrame:
+    """(keys, category, date, cost) on every day of the month: 0 on days without costs, null after the cutoff; the dearest ``n`` categories and ``other``."""
+    top = topn_other(breakdown.where(F.col("date") <= F.lit(cutoff)), keys, n=n)
+    on = [*keys, "category"]
+    full = gap_filled(top.select(*on).distinct(), top, on, start, end, "cost")
+    return full.select(*on, "date", F.when(F.col("date") <= F.lit(cutoff), F.col("cost")).alias("cost"))
+
+
 def rule_budget(rules: DataFrame) -> DataFrame:
     """(source_key, total, valid) per identical source tag set; more than 100.001 percent isn't valid."""
     sums = rules.groupBy(tags_key(F.col("source_tags")).alias("source_key")).agg(F.sum("percentage").alias("total"))
@@ -229,3 +263,18 @@ def accept_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
     keyed = new.withColumn("source_key", tags_key(F.col("source_tags")))
     running = F.sum("percentage").over(W.partitionBy("source_key").orderBy("rule_id").rowsBetween(W.unboundedPreceding, 0))
     return keyed.join(have, "source_key", "left").withColumn("accepted", F.coalesce("have", F.lit(0.0)) + running <= 100.001).drop("have")
+
+
+def add_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
+    """Allocation rules with the accepted ones of ``new`` added."""
+    return rules.unionByName(accept_rules(rules, new).where("accepted").select(*rules.columns))
+
+
+def delete_rules(rules: DataFrame, gone: DataFrame, key: str = "rule_id") -> DataFrame:
+    """Rules (of allocation or for hidden tags) without those whose ids are in ``gone``; unknown ids change nothing."""
+    return rules.join(gone.select(key), key, "left_anti")
+
+
+def tag_filters(rules: DataFrame) -> DataFrame:
+    """(rule_id, pattern) of rules (rule_id, patterns), the newest first; a rule's first pattern counts, empty without one."""
+    return rules.select("rule_id", F.coalesce(F.get("patterns", F.lit(0)), F.lit("")).alias("pattern")).orderBy(F.desc("rule_id"))

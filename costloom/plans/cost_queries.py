@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from costloom.functions.tags import tags_key
 from costloom.operators import costs as C
 from costloom.operators import hierarchy as H
 from costloom.plans.catalog import AS_OF, END, EUR_SQL, FITS_SQL, MEMBERS_SQL, RATE, SCOPES_SQL, START, TREE_SQL, query, rounded, scopes
@@ -209,13 +210,22 @@ def ns_allocation_chart(v):
     return chart.select("cluster_id", "namespace", F.size("labels").cast("long").alias("days"), F.col("labels")[0].alias("first"), F.round(F.col("costs")[0], 4).alias("first_cost"), F.round(total, 3).alias("total"))
 
 
-@query("tags_match", f"SELECT s.scope_id, s.tags_key, r.rule_id, CASE r.rule_id WHEN 1 THEN coalesce(w_segment = 'BUILDING', false) WHEN 2 THEN coalesce(w_tier = 'bronze', false) WHEN 3 THEN coalesce(w_segment = 'BUILDING' AND w_tier = 'silver', false) ELSE false END AS matches FROM {SCOPES_SQL} CROSS JOIN (VALUES (1), (2), (3), (4)) r(rule_id)")
-def tags_match(v):
-    from costloom.functions.tags import tags_match as matches
+#: Tag sets that entities carry, as a rule table; one rule has no tags.
+RULE_TABLE_SQL = """SELECT DISTINCT segment AS r_segment, tier AS r_tier, NULL AS r_team FROM entities WHERE segment IS NOT NULL UNION SELECT segment, NULL, NULL FROM entities WHERE segment IS NOT NULL
+    UNION SELECT NULL, NULL, team FROM entities WHERE team IS NOT NULL"""
+
+
+def rule_table(v):
+    e = v.entities.where("segment IS NOT NULL OR team IS NOT NULL")
+    sets = F.array(F.map_filter("tags", lambda k, x: k.isin("segment", "tier", "team")), F.map_filter("tags", lambda k, x: k.isin("segment", "team")), F.create_map().cast("map<string,string>"))
+    return e.select(F.explode(sets).alias("source_tags")).withColumn("rule_key", tags_key(F.col("source_tags"))).dropDuplicates(["rule_key"])
 
-    rules = [F.struct(F.lit(i).alias("rule_id"), (F.create_map(*[F.lit(x) for kv in s.items() for x in kv]).cast("map<string,string>")).alias("tags")) for i, s, _, _ in RULES]
-    rows = H.with_key(scopes(v)).select("*", F.explode(F.array(*rules)).alias("r"))
-    return rows.select("scope_id", "tags_key", "r.rule_id", matches(F.col("tags"), F.col("r.tags")).alias("matches"))
+
+@query("tags_match", f"""
+    SELECT id, concat('{{', concat_ws(',', '"segment":"' || r_segment || '"', '"team":"' || r_team || '"', '"tier":"' || r_tier || '"'), '}}') AS rule_key
+    FROM entities JOIN ({RULE_TABLE_SQL}) ON (r_segment IS NULL OR segment = r_segment) AND (r_tier IS NULL OR tier = r_tier) AND (r_team IS NULL OR team = r_team)""")
+def tags_match(v):
+    return C.matching_rules(v.entities.select("id", "tags"), rule_table(v), "source_tags").select("id", "rule_key")
 
 
 #: Source costs of the rules and what they move, per scope.
@@ -288,15 +298,30 @@ REPORT_SQL = f"""
 
 
 @query("month_report", f"""
-    WITH RECURSIVE {TREE_SQL}, {MEMBERS_SQL}, {SPINE_SQL}, {DAILY_SQL}, {REPORT_SQL}
+    WITH RECURSIVE {TREE_SQL}, {MEMBERS_SQL}, {SPINE_SQL}, {DAILY_SQL}, {REPORT_SQL},
+    a AS (SELECT scope_id, anomaly_date AS date, arg_min(threshold, CASE WHEN anomaly_type = 'cost' THEN 0 ELSE 1 END) AS threshold FROM anomalies WHERE anomaly_date <= DATE '{CUTOFF}' GROUP BY 1, 2),
+    b AS (SELECT scope_id, arg_max(limit_amount, month) AS budget FROM budgets WHERE month <= DATE '{START}' GROUP BY 1)
     SELECT scope_id, tags_key, date, CASE WHEN date <= DATE '{CUTOFF}' THEN round(cost, 4) END AS actual_daily, CASE WHEN date <= DATE '{CUTOFF}' THEN round(total, 4) END AS actual_cumulative,
-      CASE WHEN date >= DATE '{CUTOFF}' THEN round(total, 4) END AS forecast_cumulative FROM sums""")
+      CASE WHEN date >= DATE '{CUTOFF}' THEN round(total, 4) END AS forecast_cumulative, coalesce(cost > threshold AND cost > 4, false) AS is_anomaly, round(coalesce(greatest(0, cost - threshold), 0), 4) AS anomaly_delta,
+      round(max(total) OVER (PARTITION BY scope_id, tags_key), 4) AS projected_total, round(budget, 4) AS budget FROM sums LEFT JOIN a USING (scope_id, date) LEFT JOIN b USING (scope_id)""")
 def month_report(v):
-    from costloom.operators.budgets import forecast_sma
+    from costloom.operators import budgets as B
 
     daily = C.daily_costs(members(v), scopes(v), v.costs, START, END, RATE)
-    ahead = forecast_sma(daily.where(F.col("date") <= F.lit(CUTOFF)), C.SCOPE, (END - CUTOFF).days - 1)
-    return rounded(C.month_report(daily, ahead, C.SCOPE, CUTOFF), "actual_daily", "actual_cumulative", "forecast_cumulative")
+    ahead = B.forecast_sma(daily.where(F.col("date") <= F.lit(CUTOFF)), C.SCOPE, (END - CUTOFF).days - 1)
+    found = B.anomalies_for_month(v.anomalies, ["scope_id"], START, END).withColumnRenamed("anomaly_date", "date")
+    limits = B.budget_asof(v.budgets, v.budgets.select("scope_id").distinct().withColumn("month", F.lit(START)), ["scope_id"])
+    return rounded(C.month_report(daily, ahead, C.SCOPE, CUTOFF, found, limits), "actual_daily", "actual_cumulative", "forecast_cumulative", "anomaly_delta", "projected_total", "budget")
+
+
+@query("month_breakdown", f"""
+    WITH RECURSIVE {TREE_SQL}, {MEMBERS_SQL}, {SPINE_SQL}, {CATEGORY_SQL}, past AS (SELECT * FROM cats WHERE date <= DATE '{CUTOFF}'),
+    totals AS (SELECT scope_id, tags_key, category, row_number() OVER (PARTITION BY scope_id, tags_key ORDER BY sum(cost) DESC, category) AS k FROM past GROUP BY 1, 2, 3),
+    named AS (SELECT scope_id, tags_key, date, CASE WHEN k <= 5 THEN category ELSE 'other' END AS category, cost FROM past JOIN totals USING (scope_id, tags_key, category))
+    SELECT k.scope_id, k.tags_key, k.category, d.date, CASE WHEN d.date <= DATE '{CUTOFF}' THEN round(coalesce(sum(cost), 0), 4) END AS cost
+    FROM (SELECT DISTINCT scope_id, tags_key, category FROM named) k CROSS JOIN days d LEFT JOIN named n ON n.scope_id = k.scope_id AND n.tags_key = k.tags_key AND n.category = k.category AND n.date = d.date GROUP BY 1, 2, 3, 4""")
+def month_breakdown(v):
+    return rounded(C.month_breakdown(C.daily_costs_by_category(members(v), v.costs, START, END, RATE), C.SCOPE, START, END, CUTOFF), "cost")
 
 
 @query("allocation_rule_check", "SELECT CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN concat('{\"segment\":\"', c_mktsegment, '\"}') ELSE '{}' END AS source_key, round(sum(c_custkey % 7 / 100.0), 4) AS total, sum(c_custkey % 7 / 100.0) <= 100.001 AS valid FROM customer GROUP BY 1")
@@ -309,3 +334,14 @@ def allocation_rule_check(v):
 def allocation_rule_add(v):
     rows = v.customer.select(F.col("c_custkey").alias("rule_id"), F.create_map(F.lit("segment"), "c_mktsegment").alias("source_tags"), (F.col("c_custkey") % 40 + 0.0).alias("percentage"))
     return C.accept_rules(rows.where("rule_id % 97 = 3"), rows.where("rule_id % 97 <> 3")).select("rule_id", "accepted")
+
+
+@query("allocation_rule_edit", """
+    WITH rules AS (SELECT c_custkey AS rule_id, c_mktsegment, c_custkey % 40 + 0.0 AS percentage FROM customer), have AS (SELECT * FROM rules WHERE rule_id % 97 = 3 AND rule_id NOT IN (SELECT o_custkey FROM orders)),
+    h AS (SELECT c_mktsegment, sum(percentage) AS total FROM have GROUP BY 1), r AS (SELECT *, sum(percentage) OVER (PARTITION BY c_mktsegment ORDER BY rule_id) AS running FROM rules WHERE rule_id % 97 <> 3)
+    SELECT rule_id, percentage FROM have UNION ALL SELECT rule_id, percentage FROM r LEFT JOIN h USING (c_mktsegment) WHERE coalesce(h.total, 0) + running <= 100.001""")
+def allocation_rule_edit(v):
+    """Rules of customers with orders are deleted; then all other rules are offered."""
+    rows = v.customer.select(F.col("c_custkey").alias("rule_id"), F.create_map(F.lit("segment"), "c_mktsegment").alias("source_tags"), (F.col("c_custkey") % 40 + 0.0).alias("percentage"))
+    have = C.delete_rules(rows.where("rule_id % 97 = 3"), v.orders.select(F.col("o_custkey").alias("rule_id")))
+    return C.add_rules(have, rows.where("rule_id % 97 <> 3")).select("rule_id", "percentage")

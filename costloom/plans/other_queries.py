@@ -15,7 +15,7 @@ from costloom.operators import hierarchy as H
 from costloom.operators import metrics as M
 from costloom.operators import rightsizing as R
 from costloom.operators import upsert as U
-from costloom.plans.catalog import AS_OF, END, METRICS_AS_OF, RATE, START, query, rounded
+from costloom.plans.catalog import AS_OF, END, EUR_SQL, METRICS_AS_OF, RATE, START, query, rounded
 from costloom.sources import focus as X
 from costloom.sources import payloads as P
 from costloom.streaming import ingest as S
@@ -138,9 +138,18 @@ def forecast_latest(v):
 QUALITY_SQL = "SELECT scope_id, target_month, avg(projected_amount) AS p, arg_max(projected_amount, forecast_date) AS a, count(*) AS snapshots FROM forecast_history GROUP BY 1, 2"
 
 
-@query("forecast_quality", f"SELECT scope_id, target_month, round(p, 4) AS projected, round(a, 4) AS actual, snapshots, round(a - p, 4) AS variance, round(100.0 - least(100.0, abs(a - p) / p * 100.0), 4) AS accuracy FROM ({QUALITY_SQL})")
+@query("forecast_quality", f"""
+    WITH daily AS (SELECT e.parent_id AS scope_id, CAST(date_trunc('month', charge_date) AS DATE) AS target_month, charge_date, sum(billed_cost) AS cost FROM (SELECT entity_id, charge_date, {EUR_SQL.replace(str(RATE), "1.0")} AS billed_cost FROM costs) JOIN entities e ON e.id = entity_id GROUP BY 1, 2, 3),
+    spent AS (SELECT scope_id, target_month, count(*) AS actual_days, min(charge_date) AS first_day, sum(cost) AS spent FROM daily GROUP BY 1, 2)
+    SELECT scope_id, target_month, round(p, 4) AS projected, round(a, 4) AS actual, snapshots, round(a - p, 4) AS variance, round(100.0 - least(100.0, abs(a - p) / p * 100.0), 4) AS accuracy, coalesce(actual_days, 0) AS actual_days, first_day, round(coalesce(spent, 0), 3) AS spent
+    FROM ({QUALITY_SQL}) LEFT JOIN spent USING (scope_id, target_month)""")
 def forecast_quality(v):
-    return rounded(B.forecast_quality(v.forecast_history, SCOPE), "projected", "actual", "variance", "accuracy")
+    parents = v.entities.select(F.col("id").alias("entity_id"), F.col("parent_id").alias("scope_id"))
+    daily = C.entity_daily(v.costs, dt.date(1970, 1, 1), dt.date(2100, 1, 1), 1.0).join(parents, "entity_id").groupBy("scope_id", "date").agg(F.sum("cost").alias("cost"))
+    rows = B.with_daily_actuals(B.forecast_quality(v.forecast_history, SCOPE), daily, SCOPE)
+    spent = F.aggregate("daily_actuals", F.lit(0.0), lambda a, x: a + x["cost"])
+    rows = rows.select("*", F.size("daily_actuals").cast("long").alias("actual_days"), F.get("daily_actuals", F.lit(0))["date"].alias("first_day"), spent.alias("spent")).drop("daily_actuals")
+    return rounded(rounded(rows, "projected", "actual", "variance", "accuracy"), "spent", digits=3)
 
 
 @query("forecast_daily_mean", "SELECT scope_id, target_month, day(forecast_date) % 5 AS day, round(sum(projected_amount) / any_value(n), 4) AS mean FROM forecast_history JOIN (SELECT scope_id, target_month, count(*) AS n FROM forecast_history GROUP BY 1, 2) USING (scope_id, target_month) GROUP BY 1, 2, 3")
@@ -620,6 +629,15 @@ def tag_filter_rules(v):
     return v.entities.where("segment IS NOT NULL").select("id", hidden.alias("hidden"))
 
 
+@query("tag_filter_edit", "SELECT c_custkey AS rule_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat(lower(c_mktsegment), ':*') END AS pattern FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) OR c_custkey % 3 = 0 ORDER BY 1 DESC")
+def tag_filter_edit(v):
+    """Rules of customers with orders are deleted; then every third rule is added again."""
+    patterns = F.when(F.col("c_custkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lower("c_mktsegment"), F.lit(":*")), F.lit("unused")))
+    rules = v.customer.select(F.col("c_custkey").alias("rule_id"), patterns.alias("patterns"))
+    left = C.delete_rules(rules, v.orders.select(F.col("o_custkey").alias("rule_id")))
+    return C.tag_filters(U.upsert(left, rules.where("rule_id % 3 = 0"), ["rule_id"], {}))
+
+
 KRR_SQL = "SELECT e.parent_id AS cluster_id, max(scanned) AS latest FROM recommendations r JOIN entities e ON e.id = r.entity_id GROUP BY 1"
 
 

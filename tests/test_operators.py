@@ -231,3 +231,32 @@ def test_unfinished_snapshots_are_not_seen(spark, tmp_path):
     (tmp_path / "table" / "snapshot=3" / "_SUCCESS").unlink()
     assert U.current(spark, folder).count() == 5
     assert U.publish(spark.range(7), folder) == 3 and U.current(spark, folder).count() == 7
+
+
+def test_report_has_anomalies_budget_and_total(spark):
+    daily = spark.createDataFrame([(1, D(2024, 1, d), 10.0 if d < 3 else 0.0) for d in (1, 2, 3, 4)] + [(2, D(2024, 1, 1), 1.0)], "scope_id long, date date, cost double")
+    ahead = spark.createDataFrame([(1, D(2024, 1, 3), 5.0), (1, D(2024, 1, 4), -5.0)], "scope_id long, date date, predicted double")
+    thresholds = spark.createDataFrame([(1, D(2024, 1, 2), 4.0), (1, D(2024, 1, 3), 0.0)], "scope_id long, date date, threshold double")
+    limits = spark.createDataFrame([(1, 50.0)], "scope_id long, limit_amount double")
+    rows = C.month_report(daily, ahead, ["scope_id"], D(2024, 1, 2), thresholds, limits).orderBy("scope_id", "date").collect()
+    assert [(r["is_anomaly"], r["anomaly_delta"], r["projected_total"], r["budget"]) for r in rows] == [(False, 0.0, 25.0, 50.0), (True, 6.0, 25.0, 50.0), (False, 0.0, 25.0, 50.0), (False, 0.0, 25.0, 50.0), (False, 0.0, 1.0, None)]
+
+
+def test_month_breakdown_fills_days(spark):
+    df = spark.createDataFrame([(1, D(2024, 1, 1), "a", 5.0), (1, D(2024, 1, 2), "b", 1.0), (1, D(2024, 1, 2), "c", 2.0), (1, D(2024, 1, 4), "d", 99.0)], "scope_id long, date date, category string, cost double")
+    got = C.month_breakdown(df, ["scope_id"], D(2024, 1, 1), D(2024, 1, 4), D(2024, 1, 2), n=1)
+    assert sorted(one(got.select("category", "date", "cost")), key=str) == sorted([("a", D(2024, 1, 1), 5.0), ("a", D(2024, 1, 2), 0.0), ("a", D(2024, 1, 3), None), ("other", D(2024, 1, 1), 0.0), ("other", D(2024, 1, 2), 3.0), ("other", D(2024, 1, 3), None)], key=str)
+
+
+def test_rule_tables_change(spark):
+    shape = f"rule_id int, source_tags {TAGS}, percentage double"
+    rules = spark.createDataFrame([(1, {"a": "x"}, 60.0), (2, {"a": "y"}, 10.0)], shape)
+    new = spark.createDataFrame([(3, {"a": "x"}, 50.0), (4, {"a": "y"}, 90.0)], shape)
+    assert sorted(r["rule_id"] for r in C.add_rules(rules, new).collect()) == [1, 2, 4]
+    gone = spark.createDataFrame([(1,), (1,), (9,)], "rule_id int")
+    left = C.delete_rules(rules, gone)
+    assert sorted(r["rule_id"] for r in C.add_rules(left, new).collect()) == [2, 3, 4]
+    tagged = spark.createDataFrame([(1, {"a": "x", "b": "z"}), (2, {}), (3, None)], f"id int, tags {TAGS}")
+    assert one(C.matching_rules(tagged, rules, "source_tags").select("id", "rule_id")) == [(1, 1)]
+    hidden = spark.createDataFrame([(1, ["p*", "q"]), (2, []), (3, None)], "rule_id int, patterns array<string>")
+    assert one(C.tag_filters(hidden)) == [(3, ""), (2, ""), (1, "p*")]
