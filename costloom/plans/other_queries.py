@@ -676,7 +676,7 @@ def costs_upsert(v):
     return rounded(U.upsert(U.lowered(raw, "service"), U.lowered(new, "service"), keys, U.COSTS), "billed_cost")
 
 
-@query("costs_load", f"WITH old AS ({HALF_SQL}) SELECT charge_date, lower(service) AS service, count(*) AS n, round(sum(CASE WHEN month(charge_date) % 2 = 0 THEN billed_cost * 3 ELSE billed_cost END), 3) AS billed_cost FROM old GROUP BY 1, 2")
+@query("costs_load", f"WITH old AS ({HALF_SQL}) SELECT charge_date, lower(service) AS service, count(*) AS n, round(sum(CASE WHEN month(charge_date) % 2 = 0 THEN billed_cost * 3 ELSE billed_cost END), 4) AS billed_cost FROM old GROUP BY 1, 2")
 def costs_load(v):
     """A table by month, of which a load rewrites every second month in place."""
     keys = ["month", "entity_id", "charge_date", "service", "sku"]
@@ -685,7 +685,7 @@ def costs_load(v):
     U.upsert_partitions(path, U.lowered(raw, "service"), keys, U.COSTS, "month")
     new = raw.where("month(month) % 2 = 0").withColumn("billed_cost", F.col("billed_cost") * 3)
     U.upsert_partitions(path, U.lowered(new, "service"), keys, U.COSTS, "month")
-    return rounded(v.spark.read.parquet(path).groupBy("charge_date", "service").agg(F.count(F.lit(1)).alias("n"), F.sum("billed_cost").alias("billed_cost")), "billed_cost", digits=3)
+    return rounded(v.spark.read.parquet(path).groupBy("charge_date", "service").agg(F.count(F.lit(1)).alias("n"), F.sum("billed_cost").alias("billed_cost")), "billed_cost")
 
 
 @query("metrics_insert", "SELECT entity_id, metric, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, min(value) AS value FROM metrics GROUP BY 1, 2, 3")
