@@ -80,25 +80,66 @@ class Vocabulary:
 class TrieEncoder:
     """Encodes sorted batches of distinct words; remembers fits of pairs, and some words."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 100_000, most_pairs: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 100_000, most_pairs: int = 500_000, most_steps: int = 200_000):
         self.v = vocabulary
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
-        self.most_words, self.most_pairs = most_words, most_pairs
+        self.learnt: dict[tuple, int] = {}
+        self.most_words, self.most_pairs, self.most_steps = most_words, most_pairs, most_steps
         if vocabulary.kind == "bpe":
             self.pieces = {p: i for p, i in vocabulary.ids.items() if len(p) == 1 or vocabulary.merge(p) == [p]}
         else:
             self.pieces = vocabulary.ids
-        #: trie of the reversed pieces; the empty string marks a whole piece
-        self.back: dict = {}
-        for piece, i in self.pieces.items():
-            node = self.back
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = i
+        self.automaton()
         self.packed = [i.to_bytes(4, "little") for i in range(vocabulary.size)]
         self.text = {i: p for p, i in vocabulary.ids.items()}
 
+    def automaton(self) -> None:
+        """The pieces' automaton: after each character its state knows all pieces that end there, longest first.
+
+        ``steps`` are a state's known transitions, ``fail`` its longest proper suffix that is a state.
+        """
+        self.steps: list[dict] = [{}]
+        own = [-1]
+        for piece, i in self.pieces.items():
+            state = 0
+            for c in piece:
+                to = self.steps[state].get(c)
+                if to is None:
+                    to = self.steps[state][c] = len(own)
+                    self.steps.append({})
+                    own.append(-1)
+                state = to
+            own[state] = i
+        self.fail, self.ends, depth = [0] * len(own), [()] * len(own), [0] * len(own)
+        self.steps_left = self.most_steps
+        queue = [0]
+        for state in queue:
+            for c, to in self.steps[state].items():
+                depth[to] = depth[state] + 1
+                # suffixes are shorter, so their states are done
+                self.fail[to] = self.suffix_step(state, c) if state else 0
+                longer = ((depth[to], own[to]),) if own[to] >= 0 else ()
+                self.ends[to] = longer + self.ends[self.fail[to]]
+                queue.append(to)
+
+    def suffix_step(self, state: int, c: str) -> int:
+        """Where a character leads from the longest suffix of a state that it can follow."""
+        while state:
+            state = self.fail[state]
+            to = self.steps[state].get(c)
+            if to is not None:
+                return to
+        return 0
+
+    def advance(self, state: int, c: str) -> int:
+        """A transition outside the trie of pieces; remembered while there is room."""
+        to = self.suffix_step(state, c)
+        if self.steps_left > 0 and c in self.v.lengths:
+            self.steps_left -= 1
+            self.learnt[state, c] = to
+        return to
+
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the text of two pieces gives these two pieces again."""
         key = left << 32 | right
@@ -122,8 +163,8 @@ class TrieEncoder:
                 out[w] = ids
         todo.sort()
         walk = self.walk_bpe if self.v.kind == "bpe" else self.walk_unigram
-        # per prefix length: its last piece (-1: a character outside the vocabulary), all its ids, its score
-        before, last, ids, scores = "", [-1], [b""], [0.0]
+        # per prefix length: its last piece (-1: a character outside the vocabulary), all its ids, its score or automaton state
+        before, last, ids, more = "", [-1], [b""], [0]
         for w in todo:
             shared = 0
             for x, y in zip(before, w):
@@ -131,37 +172,39 @@ class TrieEncoder:
                     break
                 shared += 1
             del last[shared + 1 :], ids[shared + 1 :]
-            walk(w, shared, last, ids, scores)
+            walk(w, shared, last, ids, more)
             out[w] = ids[-1]
             before = w
         if len(self.known) < self.most_words:
             self.known.update((w, out[w]) for w in todo[: self.most_words - len(self.known)] if len(w) < 16)
         return out
 
-    def walk_bpe(self, w: str, shared: int, last: list, ids: list, scores: list) -> None:
+    def walk_bpe(self, w: str, shared: int, last: list, ids: list, states: list) -> None:
         """Extend the forward states from ``shared`` characters to the whole word."""
-        pairs, fits, root, packed = self.pairs, self.fits, self.back, self.packed
-        for i in range(shared + 1, len(w) + 1):
-            # pieces that end here, shortest first, by walking backwards
-            node, found, j = root, [], i
-            while j:
-                j -= 1
-                node = node.get(w[j])
-                if node is None:
-                    break
-                p = node.get("")
-                if p is not None:
-                    found.append((j, p))
-            for j, p in reversed(found):
-                left = last[j]
+        fit_of, fits, packed, steps, ends, learnt = self.pairs.get, self.fits, self.packed, self.steps, self.ends, self.learnt.get
+        del states[shared + 1 :]
+        state = states[-1]
+        for i, c in enumerate(w[shared:], shared + 1):
+            to = steps[state].get(c)
+            if to is None:
+                to = learnt((state, c))
+                if to is None:
+                    to = self.advance(state, c)
+            state = to
+            states.append(state)
+            for n, p in ends[state]:
+                left = last[i - n]
                 # nothing before it, or a character that never merges
-                if left < 0 or pairs.get(left << 32 | p) or fits(left, p):
-                    last.append(p)
-                    ids.append(ids[j] + packed[p])
-                    break
+                if left >= 0:
+                    fit = fit_of(left << 32 | p)
+                    if not (fits(left, p) if fit is None else fit):
+                        continue
+                last.append(p)
+                ids.append(ids[i - n] + packed[p])
+                break
             else:
                 last.append(-1)
-                ids.append(ids[i - 1] + self.v.fallback(w[i - 1]))
+                ids.append(ids[i - 1] + self.v.fallback(c))
 
     def walk_unigram(self, w: str, shared: int, last: list, ids: list, scores: list) -> None:
         """The same with the best sum of scores as the state."""
