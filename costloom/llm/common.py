@@ -30,6 +30,19 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def valid_text(text: Column) -> Column:
+    """The text as all operators read it: each sequence of bytes that isn't valid UTF-8 is one U+FFFD or more, as Java has it."""
+    return F.make_valid_utf8(text)
+
+
+def refuse(carry: list[str], own: list[str]) -> None:
+    """Carried columns may not bear a result's name, nor one name twice."""
+    names = [c.lower() for c in carry]
+    clash = sorted({c for c in names if c in {o.lower() for o in own} or names.count(c) > 1})
+    if clash:
+        raise ValueError(f"carried columns clash: {', '.join(clash)}")
+
+
 def text_bytes(text) -> bytes:
     """The UTF-8 bytes of a text with A-Z lower-cased; null counts as empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass").lower()
@@ -101,8 +114,9 @@ def small_batches(spark: SparkSession, limit: int = 2_000_000) -> None:
 
 
 def with_text(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, int]:
-    """The carried columns and the text, and the text's position; a carried text isn't sent twice."""
+    """The carried columns and the text, and the text's position; a carried text isn't sent twice. The text is valid UTF-8 (:func:`valid_text`)."""
     small_batches(docs.sparkSession)
+    docs = docs.withColumn("text", valid_text(F.col("text")))
     if "text" in carry:
         return docs.select(*carry), carry.index("text")
     return docs.select(*carry, F.col("text").alias("__text")), len(carry)

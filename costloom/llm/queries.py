@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costloom.llm import decontaminate, encoding, jaccard, langid, lm, quality, rules, sharding, urls, warc
+from costloom.llm import decontaminate, encoding, fim, idfiles, jaccard, langid, lm, quality, ranked, rules, sharding, urls, warc
 from costloom.llm.common import durable, fold, fresh_path, table
 
 
@@ -103,6 +103,27 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded_crc32", "round_trip")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in fill-in-middle form, and the texts rebuilt from the outputs."""
+    carry = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"]
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"), ["doc_id"])
+    return fim.restore(made, carry).select(*carry, "restored_sha256")
+
+
+def op12_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written to range-coded files and read back."""
+    path = fresh_path(spark, "ids")
+    docs = table(spark, sf_dir, "documents")
+    idfiles.write_ids(docs, path)
+    back = idfiles.read_ids(spark, path)
+    return back.select(F.col("key").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
@@ -114,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_hilbert_sharding": op9_hilbert_sharding,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_range_coded_ids": op12_range_coded_ids,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -189,4 +213,40 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op11_fill_in_middle": r"""
+        WITH t AS (
+          SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts FROM documents
+        ), h AS (
+          SELECT *, len(ts)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t
+        ), c AS (
+          SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h
+        ), p AS (
+          SELECT *, array_to_string(ts[1:a], '') AS prefix, array_to_string(ts[a + 1:b], '') AS middle, array_to_string(ts[b + 1:n], '') AS suffix FROM c
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM p
+    """,
+    "op13_ranked_search": f"""
+        WITH d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents
+        ), i AS (
+          SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+        ), q AS (
+          SELECT item_id, t, count(*) AS times FROM i GROUP BY 1, 2
+        ), s AS (
+          SELECT count(*) AS nn, sum(len(ts))::BIGINT AS l FROM d WHERE len(ts) > 0
+        ), p AS (
+          SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) GROUP BY 1, 2, 3
+        ), w AS (
+          SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s WHERE t IN (SELECT t FROM q) GROUP BY t, nn
+        ), r AS (
+          SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // l))))::BIGINT AS score
+          FROM q JOIN w USING (t) JOIN p USING (t), s GROUP BY 1, 2
+        ), o AS (
+          SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20
+    """,
 }
