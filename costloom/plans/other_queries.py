@@ -13,6 +13,7 @@ from costloom.operators import budgets as B
 from costloom.operators import costs as C
 from costloom.operators import hierarchy as H
 from costloom.operators import metrics as M
+from costloom.operators import refresh as Y
 from costloom.operators import rightsizing as R
 from costloom.operators import upsert as U
 from costloom.plans.catalog import AS_OF, END, EUR_SQL, METRICS_AS_OF, RATE, START, query, rounded
@@ -806,23 +807,34 @@ def pricing_dedupe(v):
 LINE_SQL = "SELECT event_id, CASE WHEN event_id % 100 = 0 THEN 'broken' WHEN event_type = 'error' THEN 'other' ELSE event_type END AS route FROM events"
 
 
-def envelopes(v, folder: str):
-    """Event rows as JSON envelopes in text files; one in a hundred is broken."""
+def envelopes(v, folder: str, load: int) -> None:
+    """Add event rows as JSON envelopes in text files; one in a hundred is broken. The second load brings two thirds of the events again, with other values."""
+    rows = v.events if load == 1 else v.events.where("event_id % 3 <> 0").withColumn("value", F.col("value") + 1000)
+    rows = rows.where("event_id % 3 <> 1") if load == 1 else rows
     body = F.to_json(F.struct(F.col("event_id").cast("string").alias("message_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("source_module"), F.to_json(F.struct("event_id", "user_id", "value")).alias("payload")))
-    v.events.select(F.when(F.col("event_id") % 100 == 0, "{broken").otherwise(body).alias("value")).write.text(f"{folder}/in")
-    return v.spark.readStream.text(f"{folder}/in")
+    rows.select(F.when(F.col("event_id") % 100 == 0, "{broken").otherwise(body).alias("value")).write.mode("append").text(f"{folder}/in")
 
 
-@query("ingest_stream", f"SELECT route, count(*) AS n FROM (SELECT CASE WHEN route IN ('other', 'broken') THEN 'rejected' ELSE route END AS route FROM ({LINE_SQL})) GROUP BY 1")
-def ingest_stream(v):
-    folder = S.work_folder(v.spark)
+STORED_SQL = f"SELECT CASE WHEN route IN ('other', 'broken') THEN 'rejected' ELSE route END AS route, event_id, CASE WHEN route IN ('other', 'broken') THEN 0 WHEN event_id % 3 = 1 THEN value + 1000 ELSE value END AS value FROM ({LINE_SQL}) JOIN events USING (event_id)"
 
-    def sink(name: str):
-        return lambda rows, batch: rows.withColumn("route", F.lit(name)).select("route").write.mode("overwrite").parquet(f"{folder}/out/batch={batch}/sink={name}")
 
-    names = ["click", "view", "purchase", "signup"]
-    S.ingest_stream(envelopes(v, folder), {n: sink(n) for n in names}, sink("rejected"), f"{folder}/checkpoint").awaitTermination()
-    return v.spark.read.parquet(f"{folder}/out").groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+@query("ingest_stream", f"SELECT route, count(*) + CASE WHEN route = 'rejected' THEN any_value(again) ELSE 0 END AS n, round(sum(value), 3) AS total FROM ({STORED_SQL}), (SELECT count(*) AS again FROM ({LINE_SQL}) WHERE event_id % 3 = 2 AND route IN ('other', 'broken')) GROUP BY 1")
+def ingest_stream(v):
+    """Two loads of envelopes into a stored table that keeps first values, and their batches replayed under the table's ledger."""
+    folder = S.work_folder(v.spark)
+    rejected = S.folder_sink(f"{folder}/rejected")
+    shape = "struct<event_id:long,user_id:long,value:double>"
+    ledger = S.Ledger(v.spark, f"{folder}/ledger")
+    table = ledger.once(S.table_sink(f"{folder}/points", shape, ["event_id", "value"], ["event_id"], {}, F.to_date("timestamp"), S.folder_sink(f"{folder}/unfit")))
+    sinks = dict.fromkeys(["click", "view", "purchase", "signup"], table)
+    for load in (1, 2):
+        envelopes(v, folder, load)
+        S.ingest_stream(v.spark.readStream.text(f"{folder}/in"), sinks, rejected, f"{folder}/checkpoint").awaitTermination()
+    # the same input from the start: its first batch has an id that the ledger holds
+    S.ingest_stream(v.spark.readStream.text(f"{folder}/in"), sinks, S.folder_sink(f"{folder}/replayed"), f"{folder}/again").awaitTermination()
+    stored = v.spark.read.parquet(f"{folder}/points").select(F.col("source_module").alias("route"), "value")
+    refused = v.spark.read.parquet(f"{folder}/rejected").select(F.lit("rejected").alias("route"), F.lit(0.0).alias("value"))
+    return stored.union(refused).groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
 @query("reject_invalid", "SELECT event_id % 3 = 0 AS rejected, count(*) AS n FROM events GROUP BY 1")
@@ -832,21 +844,53 @@ def reject_invalid(v):
     return good.select(F.lit(False).alias("rejected")).union(bad.select(F.lit(True).alias("rejected"))).groupBy("rejected").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rollup_stream", shown_sql(HOURLY_SQL, "entity_id", "metric"))
+#: Two loads of metrics: the entities of the second one come late.
+LATE = "entity_id % 10 = 3"
+CLOSED_SQL = f"(SELECT max(ts) - INTERVAL 2 DAY AS first_mark FROM metrics WHERE NOT {LATE}), (SELECT max(ts) - INTERVAL 2 DAY AS last_mark FROM metrics)"
+
+
+@query("rollup_stream", shown_sql(f"SELECT entity_id, metric, date_trunc('hour', ts) AS bucket, {STATS_SQL} FROM metrics, {CLOSED_SQL} WHERE (NOT {LATE} OR date_trunc('hour', ts) + INTERVAL 1 HOUR > first_mark) AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= last_mark GROUP BY 1, 2, 3", "entity_id", "metric"))
 def rollup_stream(v):
+    """Closed buckets of a stream in append mode, over two loads; what the second has for buckets that the first one closed is left out."""
     folder = S.work_folder(v.spark)
-    v.metrics.write.parquet(f"{folder}/in")
-    stream = v.spark.readStream.schema(v.metrics.schema).parquet(f"{folder}/in")
-    return shown(S.run_to_table(S.stream_rollup(stream), folder))
+    out = None
+    for load in (f"NOT {LATE}", LATE):
+        v.metrics.where(load).write.mode("append").parquet(f"{folder}/in")
+        out = S.run_append(S.stream_rollup(v.spark.readStream.schema(v.metrics.schema).parquet(f"{folder}/in")), folder)
+    return shown(out)
+
 
+REFRESH_DAYS = 14
 
-@query("first_write_stream", "SELECT count(DISTINCT event_id) AS n FROM events")
+
+@query("rollup_refresh", shown_sql(f"SELECT entity_id, metric, date_trunc('hour', ts) AS bucket, {STATS_SQL} FROM metrics WHERE NOT (minute(ts) % 7 = 0) OR (date_trunc('hour', ts) >= TIMESTAMP '{METRICS_AS_OF}' - INTERVAL {REFRESH_DAYS} DAY AND date_trunc('hour', ts) <= TIMESTAMP '{METRICS_AS_OF}' - INTERVAL 2 HOUR) GROUP BY 1, 2, 3", "entity_id", "metric"))
+def rollup_refresh(v):
+    """A stored rollup after a refresh of the buckets that late points touched within the refresh window."""
+    folder = S.work_folder(v.spark)
+    late = "minute(ts) % 7 = 0"
+    v.metrics.withColumn("day", F.to_date("ts")).hint("rebalance", F.col("day")).write.partitionBy("day").parquet(f"{folder}/points")
+    points = v.spark.read.parquet(f"{folder}/points")
+    Y.save_rollup(points.where(f"NOT ({late})").drop("day"), f"{folder}/hourly")
+    now = dt.datetime.combine(METRICS_AS_OF, dt.time())
+    touched = Y.inside_window(Y.touched_buckets(points.where(late).drop("day")), now, dt.timedelta(days=REFRESH_DAYS), dt.timedelta(hours=1))
+    Y.refresh_rollup(points, f"{folder}/hourly", touched)
+    return shown(v.spark.read.parquet(f"{folder}/hourly").select("bucket", "entity_id", "metric", *Y.STATISTICS))
+
+
+@query("first_write_stream", f"""
+    WITH marks AS (SELECT * FROM {CLOSED_SQL}),
+    one AS (SELECT entity_id, metric, ts, min(value) AS value FROM metrics WHERE NOT {LATE} GROUP BY 1, 2, 3),
+    two AS (SELECT entity_id, metric, ts, min(value) + 1000 AS value FROM metrics, marks WHERE {LATE} AND ts > date_trunc('milliseconds', first_mark) GROUP BY 1, 2, 3)
+    SELECT entity_id, metric, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(value, 4) AS value FROM (SELECT * FROM one UNION ALL SELECT * FROM two)""")
 def first_write_stream(v):
+    """First values of every point over two loads; the second has other values for the first one's points, and points of late entities."""
     folder = S.work_folder(v.spark)
-    twice = v.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    twice.union(twice).write.parquet(f"{folder}/in")
-    stream = v.spark.readStream.schema(twice.schema).parquet(f"{folder}/in")
-    return S.run_to_table(S.first_write_wins(stream, ["event_id"]), folder, "append").agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for rows in (v.metrics.where(f"NOT ({LATE})"), v.metrics.withColumn("value", F.col("value") + 1000)):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = v.spark.readStream.schema(v.metrics.schema).parquet(f"{folder}/in")
+        out = S.run_append(S.first_values(stream, ["entity_id", "metric"], "value"), folder)
+    return rounded(out.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), "value")
 
 
 @query("chargeback_dashboard", f"""
