@@ -19,9 +19,10 @@ from costloom.operators.hierarchy import namespaces_for_tags, scope_entities, wi
 SCOPE = ["scope_id", "tags_key"]
 
 
-def entity_daily(costs: DataFrame, start: dt.date, end: dt.date, rate: float, *extra: str) -> DataFrame:
-    """EUR costs per entity and day of [start, end), summed before anything is joined."""
-    inside = costs.where((F.col("charge_date") >= F.lit(start)) & (F.col("charge_date") < F.lit(end)))
+def entity_daily(costs: DataFrame, start: dt.date | None, end: dt.date | None, rate: float, *extra: str) -> DataFrame:
+    """EUR costs per entity and day of [start, end), summed before anything is joined; None leaves a side open."""
+    inside = costs if start is None else costs.where(F.col("charge_date") >= F.lit(start))
+    inside = inside if end is None else inside.where(F.col("charge_date") < F.lit(end))
     eur = usd_to_eur(F.col("billed_cost"), F.col("currency"), rate)
     return inside.groupBy("entity_id", F.col("charge_date").alias("date"), *extra).agg(F.sum(eur).alias("cost"))
 

@@ -32,6 +32,19 @@ def budget_asof(v):
     return rounded(B.budget_asof(v.budgets, wanted, SCOPE), "limit_amount")
 
 
+@query("usd_to_eur_rates", """
+    WITH rates AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'USD' ELSE 'GBP' END AS currency, CAST(o_orderdate AS DATE) AS date, round(max(o_totalprice) / 400000, 4) AS rate FROM orders WHERE o_orderkey % 50 = 0 AND o_orderdate >= DATE '1993-03-01' GROUP BY 1, 2),
+    d AS (SELECT currency, charge_date, arg_max(rate, date) AS rate FROM (SELECT DISTINCT currency, charge_date FROM costs WHERE currency <> 'EUR') JOIN rates USING (currency) WHERE date <= charge_date GROUP BY 1, 2)
+    SELECT charge_date, currency, count(*) AS n, count(CASE WHEN currency = 'EUR' THEN 1.0 ELSE rate END) AS converted, round(sum(billed_cost * CASE WHEN currency = 'EUR' THEN 1.0 ELSE rate END), 3) AS cost_eur FROM costs LEFT JOIN d USING (currency, charge_date) GROUP BY 1, 2""")
+def usd_to_eur_rates(v):
+    """Costs of a day and currency by the newest exchange rate at or before the day."""
+    currency = F.when(F.col("o_orderstatus") == "F", "USD").otherwise("GBP")
+    rates = v.orders.where("o_orderkey % 50 = 0 AND o_orderdate >= DATE '1993-03-01'").groupBy(currency.alias("currency"), F.col("o_orderdate").cast("date").alias("date")).agg(F.round(F.max("o_totalprice") / 400000, 4).alias("rate"))
+    costs = v.costs.groupBy("charge_date", "currency").agg(F.count(F.lit(1)).alias("n"), F.sum("billed_cost").alias("billed_cost"))
+    rows = B.in_euro(costs, rates)
+    return rows.select("charge_date", "currency", "n", F.when(F.col("rate").isNotNull(), F.col("n")).otherwise(F.lit(0)).cast("long").alias("converted"), F.round("cost_eur", 3).alias("cost_eur"))
+
+
 @query("budget_active_scopes", f"SELECT DISTINCT scope_id FROM budgets WHERE month <= DATE '{START}'")
 def budget_active_scopes(v):
     return B.budget_active_scopes(v.budgets, START, SCOPE)
@@ -74,20 +87,78 @@ def forecast_sma(v):
     return rounded(B.forecast_sma(B.series_prepare(cluster_daily(v), SCOPE, CUTOFF), SCOPE, (END - CUTOFF).days - 1), "predicted")
 
 
-@query("forecast_ets")
+#: The prepared series with their numbering from 0.
+SERIES_SQL = f"""{CLUSTER_DAILY_SQL},
+    begun AS (SELECT scope_id, min(date) AS first FROM cluster_daily WHERE cost > 0 GROUP BY 1),
+    ser AS (SELECT scope_id, date, cost AS y, row_number() OVER (PARTITION BY scope_id ORDER BY date) - 1 AS t, count(*) OVER (PARTITION BY scope_id) AS days FROM cluster_daily JOIN begun USING (scope_id) WHERE date >= first AND date <= DATE '{CUTOFF}')"""
+#: Additive smoothing with a weekly season for twelve settings, as a recursion over days.
+ETS_SQL = f"""{SERIES_SQL},
+    grid AS (SELECT row_number() OVER (ORDER BY a, b, g) AS k, a, b, g FROM (SELECT unnest([0.1, 0.3, 0.6])::DOUBLE AS a), (SELECT unnest([0.0, 0.1])::DOUBLE AS b), (SELECT unnest([0.05, 0.3])::DOUBLE AS g)),
+    start AS (SELECT scope_id, avg(y) AS level, list(y ORDER BY t) AS ys FROM ser WHERE t < 7 AND days >= 14 GROUP BY 1),
+    st AS (
+      SELECT scope_id, k, CAST(-1 AS BIGINT) AS t, level, CAST(0 AS DOUBLE) AS trend, [ys[i] - level FOR i IN range(1, 8)] AS cycle, CAST(0 AS DOUBLE) AS sse, CAST(NULL AS DOUBLE) AS fit FROM start, grid
+      UNION ALL
+      SELECT scope_id, k, t, level + trend + a * e, trend + a * b * e, [CASE WHEN i = t % 7 + 1 THEN s + g * e ELSE cycle[i] END FOR i IN range(1, 8)], sse + e * e, fit
+      FROM (SELECT *, y - fit AS e FROM (SELECT st.scope_id, st.k, ser.t, level, trend, cycle, sse, y, a, b, g, cycle[ser.t % 7 + 1] AS s, level + trend + cycle[ser.t % 7 + 1] AS fit
+        FROM st JOIN ser ON ser.scope_id = st.scope_id AND ser.t = st.t + 1 JOIN grid ON grid.k = st.k))
+    ),
+    best AS (SELECT scope_id, arg_min(k, (sse, k)) AS k, max(t) AS last_t FROM st JOIN (SELECT scope_id, max(t) AS last_t FROM st GROUP BY 1) USING (scope_id) WHERE t = last_t GROUP BY 1),
+    final AS (SELECT st.*, sqrt(sse / greatest(1, t + 1 - 3)) AS dev FROM st JOIN best ON best.scope_id = st.scope_id AND best.k = st.k AND best.last_t = st.t),
+    ahead AS (SELECT scope_id, DATE '{CUTOFF}' + CAST(h + 1 AS INT) AS date, level + (h + 1) * trend + cycle[(t + 1 + h) % 7 + 1] AS yhat, dev FROM final, (SELECT unnest(range({(END - CUTOFF).days - 1})) AS h)),
+    fitted AS (
+      SELECT s.scope_id, ser.date, 'fit' AS kind, ser.y, s.fit AS yhat, s.fit + 1.96 * dev AS hi FROM st s JOIN best ON best.scope_id = s.scope_id AND best.k = s.k JOIN ser ON ser.scope_id = s.scope_id AND ser.t = s.t JOIN final f ON f.scope_id = s.scope_id
+      UNION ALL SELECT scope_id, date, 'forecast', NULL, yhat, yhat + 1.96 * dev FROM ahead)"""
+#: Autoregression on days 1, 2 and 7 before, by determinants, for six orders; then a recursion over the days ahead.
+AR_SQL = f"""{SERIES_SQL},
+    x AS (SELECT * FROM (SELECT scope_id, date, y, lag(y, 1) OVER w AS l1, lag(y, 2) OVER w AS l2, lag(y, 7) OVER w AS l7 FROM ser WHERE days >= 14 WINDOW w AS (PARTITION BY scope_id ORDER BY t)) WHERE l7 IS NOT NULL),
+    sums AS (SELECT scope_id, count(*)::DOUBLE AS n, avg(y) AS my, avg(l1) AS m1, avg(l2) AS m2, avg(l7) AS m7, var_pop(y) AS vy, covar_pop(l1, y) AS b1, covar_pop(l2, y) AS b2, covar_pop(l7, y) AS b7,
+      var_pop(l1) AS c11, var_pop(l2) AS c22, var_pop(l7) AS c77, covar_pop(l1, l2) AS c12, covar_pop(l1, l7) AS c17, covar_pop(l2, l7) AS c27 FROM x GROUP BY 1),
+    ord AS (SELECT k, k % 3 AS p, k // 3 AS w, CASE WHEN k % 3 > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS i1, CASE WHEN k % 3 > 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS i2, (k // 3)::DOUBLE AS i7 FROM (SELECT unnest(range(6)) AS k)),
+    sys AS (SELECT scope_id, k, p, w, n, my, m1, m2, m7, vy, i1 * b1 AS r1, i2 * b2 AS r2, i7 * b7 AS r7, i1 * c11 + 1 - i1 AS a, i2 * c22 + 1 - i2 AS e, i7 * c77 + 1 - i7 AS h, i1 * i2 * c12 AS b, i1 * i7 * c17 AS c, i2 * i7 * c27 AS f,
+      (i1 = 0 OR c11 > 1e-12 * (m1 * m1 + vy)) AND (i2 = 0 OR c22 > 1e-12 * (m2 * m2 + vy)) AND (i7 = 0 OR c77 > 1e-12 * (m7 * m7 + vy)) AS varied FROM sums, ord),
+    det AS (SELECT *, a * e - b * b AS d2, a * (e * h - f * f) - b * (b * h - f * c) + c * (b * f - e * c) AS d3 FROM sys WHERE varied),
+    sol AS (SELECT *, (r1 * (e * h - f * f) - b * (r2 * h - f * r7) + c * (r2 * f - e * r7)) / d3 AS f1, (a * (r2 * h - f * r7) - r1 * (b * h - f * c) + c * (b * r7 - r2 * c)) / d3 AS f2, (a * (e * r7 - r2 * f) - b * (b * r7 - r2 * c) + r1 * (b * f - e * c)) / d3 AS f7
+      FROM det WHERE d2 / a > 1e-9 * e AND d3 / d2 > 1e-9 * h),
+    crit AS (SELECT *, my - f1 * m1 - f2 * m2 - f7 * m7 AS const, greatest(n * (vy - f1 * r1 - f2 * r2 - f7 * r7), n * 1e-12 * (vy + my * my), 1e-300) AS sse FROM sol WHERE p + w = 0 OR n - (p + w + 2) - 1 > 0),
+    best AS (SELECT scope_id, unnest(arg_min({{'const': const, 'f1': f1, 'f2': f2, 'f7': f7, 'p': p, 'w': w, 'dev': sqrt(sse / greatest(n - p - w - 1, 1))}},
+      (CASE WHEN n - (p + w + 2) - 1 > 0 THEN n * ln(sse / n) + 2 * (p + w + 2) + 2 * (p + w + 2) * (p + w + 3) / (n - p - w - 3) ELSE 1e300 END, k))) FROM crit GROUP BY 1),
+    steps AS (
+      SELECT scope_id, CAST(0 AS BIGINT) AS h, list(y ORDER BY t) AS ys FROM ser WHERE t >= days - 7 AND days >= 14 GROUP BY 1
+      UNION ALL SELECT scope_id, h + 1, list_append(ys, const + f1 * ys[-1] + f2 * ys[-2] + f7 * ys[-7]) FROM steps JOIN best USING (scope_id) WHERE h < {(END - CUTOFF).days - 1}),
+    fitted AS (
+      SELECT scope_id, date, 'fit' AS kind, y, const + f1 * l1 + f2 * l2 + f7 * l7 AS yhat, const + f1 * l1 + f2 * l2 + f7 * l7 + 1.96 * dev AS hi FROM x JOIN best USING (scope_id)
+      UNION ALL SELECT scope_id, DATE '{CUTOFF}' + CAST(h AS INT), 'forecast', NULL, ys[-1], ys[-1] + 1.96 * dev FROM steps JOIN best USING (scope_id) WHERE h > 0)"""
+FITTED_SQL = "SELECT scope_id, date, kind, round(y, 4) AS y, round(yhat, 4) AS yhat, round(hi, 4) AS hi FROM fitted"
+
+
+def fitted_rows(v, model: str):
+    return B.forecast(B.series_prepare(cluster_daily(v), SCOPE, CUTOFF), SCOPE, END, model=model)
+
+
+@query("forecast_ets", f"WITH RECURSIVE {ETS_SQL} {FITTED_SQL}")
 def forecast_ets(v):
-    return B.forecast(B.series_prepare(cluster_daily(v), SCOPE, CUTOFF), SCOPE, END)
+    return rounded(fitted_rows(v, "ets"), "y", "yhat", "hi")
 
 
-@query("forecast_arima_fbad")
+@query("forecast_arima_fbad", f"WITH RECURSIVE {AR_SQL} SELECT scope_id, date, round(greatest(yhat, 0), 4) AS predicted FROM fitted WHERE kind = 'forecast'")
 def forecast_arima_fbad(v):
-    rows = B.forecast(B.series_prepare(cluster_daily(v), SCOPE, CUTOFF), SCOPE, END, least=14)
-    return rows.where("kind = 'forecast'").select("scope_id", "date", F.greatest("yhat", F.lit(0.0)).alias("predicted"))
+    rows = fitted_rows(v, "ar").where("kind = 'forecast'")
+    return rounded(rows.select("scope_id", "date", F.greatest("yhat", F.lit(0.0)).alias("predicted")), "predicted")
+
+
+@query("forecast_models", f"WITH RECURSIVE {AR_SQL} SELECT scope_id, CAST(p AS INT) AS p, w = 1 AS week, round(const, 4) AS c, round(f1, 6) AS f1, round(f2, 6) AS f2, round(f7, 6) AS f7, round(dev, 4) AS dev FROM best")
+def forecast_models(v):
+    """The order and coefficients that the autoregressive model picks for every scope."""
+    series = B.series_prepare(cluster_daily(v), SCOPE, CUTOFF)
+    return rounded(rounded(B.fit_autoregression(B.lagged(series, SCOPE, 14), SCOPE), "c", "dev"), "f1", "f2", "f7", digits=6)
 
 
-@query("anomaly_detect")
+ANOMALY_SQL = "SELECT scope_id, date AS anomaly_date, 'cost' AS anomaly_type, round(y, 4) AS actual_cost, round(greatest(yhat, 0), 4) AS predicted_cost, round(hi, 4) AS threshold, round(y - greatest(yhat, 0), 4) AS delta FROM fitted WHERE y > hi AND y - greatest(yhat, 0) > 5"
+
+
+@query("anomaly_detect", f"WITH RECURSIVE {ETS_SQL} {ANOMALY_SQL}")
 def anomaly_detect(v):
-    return B.anomaly_detect(forecast_ets(v), SCOPE)
+    return rounded(B.anomaly_detect(fitted_rows(v, "ets"), SCOPE), "actual_cost", "predicted_cost", "threshold", "delta")
 
 
 def month_days(v):
@@ -111,18 +182,24 @@ def budget_breach(v):
     return rounded(B.budget_breach(month_days(v), limits, SCOPE).drop("delta"), "actual_cost", "threshold")
 
 
-@query("fbad_job")
+@query("fbad_job", f"""
+    WITH RECURSIVE {AR_SQL}, lim AS (SELECT scope_id, arg_max(limit_amount, month) AS threshold FROM budgets WHERE month <= DATE '{START}' GROUP BY 1),
+    days2 AS (SELECT scope_id, date, y AS value, false AS ahead FROM ser WHERE date >= DATE '{START}' UNION ALL SELECT scope_id, date, greatest(yhat, 0), true FROM fitted WHERE kind = 'forecast'),
+    r AS (SELECT *, sum(value) OVER (PARTITION BY scope_id ORDER BY date) AS total FROM days2 JOIN lim USING (scope_id)),
+    g AS (SELECT scope_id, max(threshold) AS threshold, max(total) AS projected, max(CASE WHEN ahead THEN date END) AS last_day, min(CASE WHEN ahead THEN date END) AS first_ahead, min(CASE WHEN total > threshold THEN date END) AS first_over FROM r GROUP BY 1)
+    SELECT scope_id, anomaly_date, anomaly_type, actual_cost, threshold, delta FROM ({ANOMALY_SQL}) WHERE scope_id IN (SELECT scope_id FROM lim)
+    UNION ALL SELECT DISTINCT scope_id, unnest(CASE WHEN first_over >= first_ahead THEN [last_day, first_over] ELSE [last_day] END), 'budget', round(projected, 4), round(threshold, 4), round(projected - threshold, 4) FROM g WHERE projected > threshold AND last_day IS NOT NULL""")
 def fbad_job(v):
     """The nightly pass: forecasts of all budgeted scopes, cost anomalies and budget breaches."""
     active = B.budget_active_scopes(v.budgets, START, SCOPE)
     series = B.series_prepare(cluster_daily(v).join(active, SCOPE, "left_semi"), SCOPE, CUTOFF)
-    rows = B.forecast(series, SCOPE, END)
+    rows = B.forecast(series, SCOPE, END, model="ar")
     past = series.where(F.col("date") >= F.lit(START)).select("scope_id", "date", F.col("cost").alias("value"), F.lit(False).alias("is_forecast"))
     ahead = rows.where("kind = 'forecast'").select("scope_id", "date", F.greatest("yhat", F.lit(0.0)).alias("value"), F.lit(True).alias("is_forecast"))
     limits = B.budget_asof(v.budgets, active.withColumn("month", F.lit(START)), SCOPE).drop("month")
     breaches = B.budget_breach(past.union(ahead), limits, SCOPE)
     found = B.anomaly_detect(rows, SCOPE).drop("predicted_cost")
-    return found.unionByName(breaches)
+    return rounded(found.unionByName(breaches), "actual_cost", "threshold", "delta")
 
 
 @query("forecast_save", "WITH n AS (SELECT scope_id, target_month, forecast_date, projected_amount * 2 AS p FROM forecast_history WHERE day(forecast_date) % 2 = 0) SELECT f.scope_id, f.target_month, f.forecast_date, round(coalesce(n.p, f.projected_amount), 4) AS projected_amount FROM forecast_history f LEFT JOIN n ON n.scope_id = f.scope_id AND n.target_month = f.target_month AND n.forecast_date = f.forecast_date")
@@ -146,7 +223,10 @@ QUALITY_SQL = "SELECT scope_id, target_month, avg(projected_amount) AS p, arg_ma
     FROM ({QUALITY_SQL}) LEFT JOIN spent USING (scope_id, target_month)""")
 def forecast_quality(v):
     parents = v.entities.select(F.col("id").alias("entity_id"), F.col("parent_id").alias("scope_id"))
-    daily = C.entity_daily(v.costs, dt.date(1970, 1, 1), dt.date(2100, 1, 1), 1.0).join(parents, "entity_id").groupBy("scope_id", "date").agg(F.sum("cost").alias("cost"))
+    months = v.forecast_history.select("scope_id", "target_month").distinct()
+    daily = C.entity_daily(v.costs, None, None, 1.0).join(parents, "entity_id").groupBy("scope_id", "date").agg(F.sum("cost").alias("cost"))
+    # of months without a forecast no actuals are asked for
+    daily = daily.withColumn("target_month", F.trunc("date", "month")).join(months, ["scope_id", "target_month"], "left_semi").drop("target_month")
     rows = B.with_daily_actuals(B.forecast_quality(v.forecast_history, SCOPE), daily, SCOPE)
     spent = F.aggregate("daily_actuals", F.lit(0.0), lambda a, x: a + x["cost"])
     rows = rows.select("*", F.size("daily_actuals").cast("long").alias("actual_days"), F.get("daily_actuals", F.lit(0))["date"].alias("first_day"), spent.alias("spent")).drop("daily_actuals")
