@@ -63,10 +63,10 @@ class Model:
         """Bounds of the outcomes (6 x lanes), and how many alternatives each outcome leaves (5 x lanes)."""
         h = ((self.last * 2654435761 + self.before * 2246822519) >> 15) & (self.slots - 1)
         self.i1, self.i2 = self.at1 + self.last, self.at2 + h
-        self.e1, self.e2 = self.order1[self.i1].astype(np.int64), self.order2[self.i2].astype(np.int64)
+        self.e1, self.e2 = self.order1.take(self.i1).astype(np.int64), self.order2.take(self.i2).astype(np.int64)
         self.s1, self.s2 = self.e1 >> 2, self.e2 >> 2
         self.row = self.at_w + ((self.e2 & 3) << 2 | self.e1 & 3)
-        w = self.weights[self.row]
+        w = self.weights.take(self.row, axis=0)
         bounds = np.zeros((6, len(self.lane)), np.int64)
         np.add(w[:, 0], w[:, 1] * (self.s1 == self.s2), out=bounds[1])
         np.add(w[:, 0], w[:, 1], out=bounds[2])
@@ -151,17 +151,18 @@ def encode(ids: np.ndarray, length: int, size: int) -> list[bytes]:
             units = np.concatenate([units, np.zeros_like(units)], axis=1)
         bounds, left = m.predict()
         s = symbol[t, :n].astype(np.int64)
-        place = m.place[m.at1 + s].astype(np.int64)
+        place = m.place.take(m.at1 + s).astype(np.int64)
         outcome = np.where(s == m.s2, SECOND, np.where(s == m.s1, FIRST, np.where(first[t, :n], NEW, np.where(place > 0, AGAIN, SEEN))))
         which = np.zeros((5, n), np.int64)
         which[AGAIN], which[SEEN], which[NEW] = place - 1, s - 1, padded[t, :n]
         index = outcome * n + m.lane
-        lo, hi = bounds.reshape(-1)[index], bounds.reshape(-1)[index + n]
+        flat = bounds.reshape(-1)
+        lo, hi = flat.take(index), flat.take(index + n)
         r = span // bounds[5].view(np.uint64)
         low = low + r * lo.view(np.uint64)
         span = r * (hi - lo).view(np.uint64)
-        span = span // left.reshape(-1)[index].view(np.uint64)
-        low = low + span * which.reshape(-1)[index].view(np.uint64)
+        span = span // left.reshape(-1).take(index).view(np.uint64)
+        low = low + span * which.reshape(-1).take(index).view(np.uint64)
         m.learn(s, outcome)
         while True:
             apart = ((low ^ (low + span)) >> TOP) != 0
@@ -215,17 +216,18 @@ def decode(blocks: list[bytes], n_ids: int, length: int, size: int) -> np.ndarra
         for k in (2, 3, 4):
             outcome += v >= bounds[k]
         index = outcome * n + m.lane
-        lo, hi = bounds.reshape(-1)[index], bounds.reshape(-1)[index + n]
+        flat = bounds.reshape(-1)
+        lo, hi = flat.take(index), flat.take(index + n)
         low = low + r * lo.view(np.uint64)
         span = r * (hi - lo).view(np.uint64)
-        span = span // left.reshape(-1)[index].view(np.uint64)
+        span = span // left.reshape(-1).take(index).view(np.uint64)
         v = (code - low) // span
         low = low + span * v
         v = v.view(np.int64)
         which = np.empty((5, n), np.int64)
         which[SECOND], which[FIRST], which[SEEN], which[NEW] = m.s2, m.s1, v + 1, m.n_seen + 1
-        which[AGAIN] = m.repeated[m.at1 + np.minimum(v, m.room - 1)]
-        s = which.reshape(-1)[index]
+        which[AGAIN] = m.repeated.take(m.at1 + np.minimum(v, m.room - 1))
+        s = which.reshape(-1).take(index)
         symbol[t, :n] = s
         fresh = np.flatnonzero(outcome == NEW)
         if len(fresh):

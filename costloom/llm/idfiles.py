@@ -16,8 +16,11 @@ Files come from range partitions that are sorted by the key, so the files' numbe
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -34,29 +37,82 @@ MAGIC = b"CLTI"
 HEAD = struct.Struct("<4scIIQQIIII")
 
 
+#: How the public tokenizer prepares texts (fixed values of its file): normal form C, white space as one space, lower case; then words by a pattern.
+PREPARES = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words of visible ASCII characters and Latin-1 letters: in normal form C as they are, and split by the pattern's part for them.
+SIMPLE = re.compile(r"[!-~\xC0-\xD6\xD8-\xF6\xF8-\xFF]+")
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^a-z0-9\xDF-\xF6\xF8-\xFF]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: visible Latin-1 characters for themselves, the others from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in visible else chr(next(others)) for b in range(256)}
+
+
 class Encoder:
     """Ids of texts by a tokenizer of the tokenizers library.
 
     White space only separates words for this kind of tokenizer, so a text's ids are those of its
-    white-space words, which repeat; ids of up to ``most`` words are remembered. The other words of a
-    batch are encoded by the library in one call, parted by a word that is a single control character.
+    white-space words, which repeat; ids of up to about ``most`` words and parts of words are remembered. Simple words are split here
+    and merged by the library's model; all others of a batch are encoded by the library in one call,
+    parted by a word that is a single control character. A tokenizer that prepares texts otherwise than the public one
+    gets all words that way.
     """
 
     PART = "\x01"
 
-    def __init__(self, model: str, most: int = 400_000):
+    def __init__(self, model: str, most: int = 600_000):
         self.library = Tokenizer.from_str(model)
         self.size = self.library.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.most = most
         self.part = self.library.encode(self.PART, add_special_tokens=False).ids
         between = self.library.encode(f"a {self.PART}\n\t{self.PART} a", add_special_tokens=False).ids
         alone = self.library.encode("a", add_special_tokens=False).ids
         if len(self.part) != 1 or between != [*alone, *self.part, *self.part, *alone]:
             raise ValueError("white space has to separate words in this tokenizer")
+        self.model = self.library.model
+        self.letters = byte_letters()
+        self.special = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+        self.simple = SIMPLE if self.prepares(json.loads(model)) == PREPARES else re.compile("(?!)")
+
+    @staticmethod
+    def prepares(file: dict) -> tuple:
+        """What :data:`PREPARES` says of a tokenizer's file, as far as the file has the same shape."""
+        before, split = file.get("normalizer") or {}, (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        rest = [(x.get("type"), x.get("use_regex"), x.get("add_prefix_space")) for x in split[1:]]
+        if rest != [("ByteLevel", False, False)] or file["model"].get("type") != "BPE" or not split[0].get("invert") or split[0].get("behavior") != "Removed":
+            return ()
+        return [x.get("type") for x in before.get("normalizers", [])], (split[0].get("pattern") or {}).get("Regex")
+
+    def merged(self, word: str) -> bytes:
+        """Ids of a simple word."""
+        out = []
+        for part in SPLIT.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                spelled = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+                ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def learn(self, words: list[bytes]) -> None:
         """Remember the ids of words."""
+        rest = []
+        for w in words:
+            text = w.decode()
+            if self.simple.fullmatch(text) and not any(t in text.lower() for t in self.special):
+                self.known[w] = self.merged(text)
+            else:
+                rest.append(w)
+        if rest:
+            self.ask(rest)
+
+    def ask(self, words: list[bytes]) -> None:
+        """Ids of words by the library alone."""
         texts = [w.decode() for w in words]
         plain = [k for k, t in enumerate(texts) if self.PART not in t]
         found = np.array(self.library.encode_batch_fast([f" {self.PART} ".join(texts[k] for k in plain)], add_special_tokens=False)[0].ids, "<i4")
@@ -74,8 +130,10 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts (UTF-8) as little-endian 32-bit numbers."""
         split = [t.split() for t in texts]
-        if len(self.known) > self.most:
+        if len(self.known) > self.most // 2:
             self.known.clear()
+        if len(self.parts) > self.most // 2:
+            self.parts.clear()
         new = list(set().union(*split).difference(self.known))
         if new:
             self.learn(new)
@@ -144,7 +202,7 @@ def block_length(n: int, most: int, least: int, lanes: int) -> int:
     return max(min(least, most), min(most, -(-n // lanes)))
 
 
-def write_ids(docs: DataFrame, path: str, key: str = "doc_id", tokenizer: str | None = None, end: int = 1, block: int = 4096, group_ids: int = 6_000_000, file_bytes: int = 24_000_000) -> None:
+def write_ids(docs: DataFrame, path: str, key: str = "doc_id", tokenizer: str | None = None, end: int = 1, block: int = 4096, group_ids: int = 4_000_000, file_bytes: int = 24_000_000) -> None:
     """Write the ids of all texts of ``docs`` (key, text) under ``path``, in ascending order of the key.
 
     Every text is encoded whole and followed by the id ``end``; null and empty texts are that id alone.
