@@ -5,8 +5,8 @@ from __future__ import annotations
 import ctypes
 import functools
 import re
-import tempfile
-import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import chain
 
 import numpy as np
@@ -16,6 +16,8 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costloom.functions.tables import fresh_folder
+
 #: Words are runs of anything but the ASCII white space characters.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -53,26 +55,23 @@ def ascii_words(text) -> list[bytes]:
     return WORD.findall(text_bytes(text))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) a local folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="costloom-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
+def fresh_path(spark: SparkSession, what: str) -> str:
+    """A new path for one written table under the session's shared folder."""
+    return fresh_folder(spark, what)
 
 
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new path for one written table under the shared folder."""
-    return f"{shared_dir(spark)}/costloom/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
-#: Paths of the tables that this process wrote, in order.
-WRITTEN: list[str] = []
+@contextmanager
+def written():
+    """The list of the paths that :func:`durable` writes to inside the block, in this thread."""
+    paths: list[str] = []
+    token = _WRITTEN.set(paths)
+    try:
+        yield paths
+    finally:
+        _WRITTEN.reset(token)
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
@@ -89,7 +88,9 @@ def durable(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     until :func:`drop_tables` is told to remove it.
     """
     path = fresh_path(df.sparkSession, what)
-    WRITTEN.append(path)
+    paths = _WRITTEN.get()
+    if paths is not None:
+        paths.append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import durable, frugal, held, text_bytes, with_text
+from costloom.llm.common import durable, frugal, held, refuse, text_bytes, valid_text, with_text
 
 PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = re.compile(PATTERN.encode())
@@ -71,7 +71,7 @@ def merge(hits: list[tuple[int, int, set]]) -> tuple[list[tuple[int, int]], set]
 
 def item_pieces(benchmark: DataFrame, window: int, piece_windows: int = 20_000) -> DataFrame:
     """(item_id, words) with at most ``piece_windows`` windows a row; each window of an item is in one of its rows."""
-    lowered = F.translate("text", UPPER, LOWER)
+    lowered = F.translate(valid_text(F.col("text")), UPPER, LOWER)
     words = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.regexp_extract_all(lowered, F.lit(PATTERN), 0).alias("words")).where(F.size("words") > 0)
     last = F.greatest(F.size("words") - window, F.lit(0))
     starts = words.withColumn("start", F.explode(F.sequence(F.lit(0), last, F.lit(piece_windows))))
@@ -84,9 +84,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, carry: list[str],
     ``items`` are the item_ids with an occurring window, sorted as text; ``spans`` are the covered
     stretches as (start, stop) code points of the original text. Null and empty texts have no words;
     null item_ids and items without words never match; equal windows of several items count for all
-    of them. Repeated rows are treated alike, empty tables give no rows or no hits. Carried columns
-    may not be called ``n_words``, ``n_hit``, ``items`` or ``spans``.
+    of them. Repeated rows are treated alike, empty tables give no rows or no hits. Bytes that aren't UTF-8 are
+    read as U+FFFD. Carried columns may not be called ``n_words``, ``n_hit``, ``items`` or ``spans`` (ValueError).
     """
+    refuse(carry, ["n_words", "n_hit", "items", "spans"])
     pieces = item_pieces(benchmark, window)
     total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_words))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from costloom.llm.common import WORD, durable, frugal, mix64, small_batches, text_slices, token_hashes
+from costloom.llm.common import durable, frugal, mix64, small_batches, text_slices, token_hashes, valid_text, WORD
 from costloom.llm.components import connected_components
 
 #: Counters of the sketch, and the rows they are summed in.
@@ -231,11 +231,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, hot_rows
     Null and empty texts have no shingles and link with nothing; a null doc_id keeps a null component
     and links with nothing. Rows that repeat a doc_id count as one document holding all their texts.
     The component_id is the smallest doc_id reachable by links. An empty table gives no rows; other
-    columns are ignored. No bucket, partner or candidate is capped. ``hot_rows`` and ``hot_slices``
+    columns are ignored. Bytes that aren't UTF-8 are read as U+FFFD. No bucket, partner or candidate is capped. ``hot_rows`` and ``hot_slices``
     split frequent tokens in the first round; ``slice_rows`` bounds the blocks of the second.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", valid_text(F.col("text")).alias("text"))
     levels = shingle_levels(docs, words)
     hot_level = int(np.floor(4 * np.log2(hot_rows)))
     sets = durable(prefixes(docs, levels, words, percent, hot_level), "prefixes")

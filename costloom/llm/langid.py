@@ -6,9 +6,9 @@ the language that needs the fewest bits (phrases times the log of the sample len
 per character) wins.
 
 Bounds, all parameters: ``sample_chars`` characters of training text per language, drawn evenly from
-``sample_docs`` distinct texts picked by a hash of their text; the ``max_langs`` languages with the
-most distinct texts are learnt; the ``alphabet`` most frequent letters of the samples have symbols of
-their own, the samples' other letters share one. All texts are parsed whole.
+``sample_docs`` distinct texts picked by a hash of their text. All languages are learnt, and every letter
+of the samples counts, unless ``max_langs`` says otherwise: the ``alphabet`` most frequent letters have a symbol each, the
+others a pair of symbols, so that the automata's tables stay narrow for large scripts too. All texts are parsed whole.
 
 Texts are parsed in pieces side by side. A phrase runs on from piece to piece: the start of each
 piece is parsed again from the state in which its predecessor ended, until both parses meet.
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import frugal, held, text_slices, with_text
+from costloom.llm.common import frugal, held, refuse, text_slices, valid_text, with_text
 
-#: Codes of spaces, letters outside the alphabet, and letters that no sample has; each of the last is a phrase of its own.
-SPACE, OTHER, UNSEEN = 0, 1, 2
+#: Codes of spaces and of letters that no sample has; each of the last is a phrase of its own.
+SPACE, UNSEEN = 0, 1
 #: Long texts are parsed in pieces of this many characters; results don't depend on it.
 PIECE = 1024
 SCHEMA_TAIL = "lang_pred string, score double, bits_per_char double"
@@ -43,16 +43,17 @@ def level(lengths: list[int], room: int) -> int:
     return max([out, *lengths])
 
 
-def training_sample(docs: DataFrame, learn: Column, sample_docs: int, sample_chars: int, max_langs: int = 64) -> dict[str, str]:
+def training_sample(docs: DataFrame, learn: Column, sample_docs: int, sample_chars: int, max_langs: int | None = None) -> dict[str, str]:
     """Text per language, at most ``sample_chars`` characters, from the ``sample_docs`` distinct texts with the smallest hashes.
 
-    Only the ``max_langs`` languages with the most distinct texts have one.
+    All languages have one, or the ``max_langs`` with the most distinct texts.
 
     Each picked text gives the same number of characters, from an offset that its hash chooses; what short
     texts leave over goes to the longer ones, up to four times an equal share.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("text").alias("h"))
-    largest = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    largest = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+    largest = largest if max_langs is None else largest.limit(max_langs)
     counts = {r["lang"]: r["n"] for r in largest.collect()}
     if not counts:
         return {}
@@ -115,16 +116,21 @@ class CrossParser:
             for ch in sample[lang].lower():
                 if ch.isalpha():
                     seen[ch] = seen.get(ch, 0) + 1
-        letters = sorted(seen, key=lambda ch: (-seen[ch], ch))[:alphabet]
-        self.width = len(letters) + 3
-        limit = 1 + max([0x250, *map(ord, letters)])
-        self.rare = set(seen) - set(letters)
-        self.map = np.full(limit + 1, SPACE, np.int16)
+        ranked = sorted(seen, key=lambda ch: (-seen[ch], ch))
+        letters, rare = ranked[:alphabet], ranked[alphabet:]
+        # a rare letter is spelled by one of ``half`` first and one of ``half`` second symbols
+        self.half = math.isqrt(max(0, len(rare) - 1)) + 1 if rare else 0
+        self.pairs = len(letters) + 2
+        self.width = self.pairs + 2 * self.half
+        limit = 1 + max([0x250, *map(ord, ranked)])
+        self.map = np.full(limit + 1, SPACE, np.int32)
         for cp in range(limit):
             if chr(cp).isalpha():
-                self.map[cp] = OTHER if chr(cp) in self.rare else UNSEEN
+                self.map[cp] = UNSEEN
         for k, ch in enumerate(letters):
-            self.map[ord(ch)] = k + 3
+            self.map[ord(ch)] = k + 2
+        for k, ch in enumerate(rare):
+            self.map[ord(ch)] = self.width + k
         self.limit = limit
         tables, self.start, at = [], [], 0
         self.log_len = np.empty(len(self.langs))
@@ -143,16 +149,27 @@ class CrossParser:
         self.table = np.concatenate([t.astype(kind) for t in tables]).ravel() if tables else np.zeros(1, np.int32)
 
     def codes(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of lower-cased text with runs of non-letters as one space; and their cumulative keep mask."""
+        """Codes of lower-cased text with runs of non-letters as one space; and how many codes each character gives."""
         cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         wide = cps >= self.limit
         codes = self.map[np.minimum(cps, self.limit)]
         if wide.any():  # letters of other scripts
             at = np.flatnonzero(wide)
-            codes[at] = [SPACE if not chr(c).isalpha() else OTHER if chr(c) in self.rare else UNSEEN for c in cps[at].tolist()]
-        keep = np.ones(len(codes), bool)
+            codes[at] = [UNSEEN if chr(c).isalpha() else SPACE for c in cps[at].tolist()]
+        keep = np.ones(len(codes), np.int8)
         keep[1:] = (codes[1:] != SPACE) | (codes[:-1] != SPACE)
-        return codes[keep].astype(np.int32), keep
+        codes = codes[keep > 0]
+        rare = codes >= self.width
+        if rare.any():
+            keep[keep > 0] += rare
+            size = 1 + rare
+            first = np.cumsum(size) - size
+            spelled = np.repeat(codes, size)
+            k = codes[rare] - self.width
+            spelled[first[rare]] = self.pairs + k // self.half
+            spelled[first[rare] + 1] = self.pairs + self.half + k % self.half
+            codes = spelled
+        return codes, keep
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases per text and language, characters and letters per text."""
@@ -249,7 +266,7 @@ def identify(
     sample_docs: int = 400,
     sample_chars: int = 16_000,
     alphabet: int = 62,
-    max_langs: int = 64,
+    max_langs: int | None = None,
     score_chars: int = 64,
 ) -> DataFrame:
     """``carry`` columns plus ``lang_pred``, ``score`` and ``bits_per_char`` for every row of ``docs``.
@@ -258,8 +275,11 @@ def identify(
     Null texts and texts without a letter get ``und`` and a score of 0; so does everything when no
     row can be learnt from. ``score`` is the posterior of the language under equal priors, counting
     the evidence of at most ``score_chars`` characters, as phrases aren't independent. Ties go to the first language by name. Repeated rows are scored alike;
-    an empty table gives an empty result. Other columns are ignored unless carried.
+    an empty table gives an empty result. Bytes that aren't UTF-8 are read as U+FFFD. Other columns are ignored
+    unless carried; carried columns may not bear a result's name (ValueError).
     """
+    refuse(carry, ["lang_pred", "score", "bits_per_char"])
+    docs = docs.withColumn("text", valid_text(F.col("text")))
     sample = training_sample(docs, F.coalesce(learn, F.lit(False)), sample_docs, sample_chars, max_langs)
     rows, at = with_text(docs, carry)
     fields = [f for f in docs.select(*carry).schema.fields]

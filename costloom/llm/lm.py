@@ -33,8 +33,8 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import WORD, durable, frugal, small_batches, text_bytes
-from costloom.llm.encoding import MODEL, read_model
+from costloom.llm.common import WORD, durable, frugal, small_batches, text_bytes, valid_text
+from costloom.llm.encoding import read_model
 from costloom.llm.pieces import MARK, Vocabulary
 
 
@@ -292,17 +292,18 @@ def word_scores(words: DataFrame, model: bytes, fitted: tuple, tokens: int, disc
     return words.select("word", "c").mapInArrow(frugal(run), "word binary, c long, s double, w double")
 
 
-def score_documents(docs: DataFrame, learn: Column, model_path: str = MODEL, smooth: float = 0.1, rounds: int = 3, block_bytes: int = 24_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column, model_path: str | None = None, smooth: float = 0.1, rounds: int = 3, block_bytes: int = 24_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, word_score) for every row of ``docs`` (doc_id, text).
 
     ``learn`` says which rows may be learnt from (null: not). ``base_score`` is the additive word
     unigram model with 0.1 as the added count, ``score`` the lattice model and ``word_score`` the
     lattice model with whole-word arcs; all are log10 probabilities. Null and empty texts are one end
     token. With nothing to learn from, words have no count and pieces are equally likely. Repeated
-    rows all count and are scored alike; an empty table gives no rows; other columns are ignored.
+    rows all count and are scored alike; an empty table gives no rows; other columns are ignored. Bytes
+    that aren't UTF-8 are read as U+FFFD.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    rows = docs.select("doc_id", F.coalesce(valid_text(F.col("text")), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     size = rows.agg(F.sum(F.octet_length("text") + 1), F.sum(F.col("learn").cast("long"))).first()
     blocks = max(1, math.ceil((size[0] or 0) / block_bytes))
     ends = int(size[1] or 0)

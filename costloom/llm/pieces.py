@@ -2,7 +2,8 @@
 
 Distinct marked words (``▁`` for a space) of a batch are sorted, which is a depth-first walk of
 their trie. One forward state per prefix length is kept on a stack, and a word starts from the states
-of the prefix that it shares with its predecessor.
+of the prefix that it shares with its predecessor. A state names its last piece, and so the prefix before
+it: a word's ids are spelled once, back from its end, and memory is linear in the longest word.
 
 * Unigram vocabularies: the state is the best score of the prefix and its last piece (Viterbi).
 * BPE vocabularies: scores are merge ranks, and a sum of them means nothing; the best segmentation is
@@ -93,6 +94,7 @@ class TrieEncoder:
         self.automaton()
         self.packed = [i.to_bytes(4, "little") for i in range(vocabulary.size)]
         self.text = {i: p for p, i in vocabulary.ids.items()}
+        self.long = {i: len(p) for p, i in vocabulary.ids.items()}
 
     def automaton(self) -> None:
         """The pieces' automaton: after each character its state knows all pieces that end there, longest first.
@@ -163,25 +165,39 @@ class TrieEncoder:
                 out[w] = ids
         todo.sort()
         walk = self.walk_bpe if self.v.kind == "bpe" else self.walk_unigram
-        # per prefix length: its last piece (-1: a character outside the vocabulary), all its ids, its score or automaton state
-        before, last, ids, more = "", [-1], [b""], [0]
+        # per prefix length: its last piece (-1: a character outside the vocabulary), its score or automaton state
+        before, last, more = "", [-1], [0]
         for w in todo:
             shared = 0
             for x, y in zip(before, w):
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :], ids[shared + 1 :]
-            walk(w, shared, last, ids, more)
-            out[w] = ids[-1]
+            del last[shared + 1 :]
+            walk(w, shared, last, more)
+            out[w] = self.spelled(w, last)
             before = w
         if len(self.known) < self.most_words:
             self.known.update((w, out[w]) for w in todo[: self.most_words - len(self.known)] if len(w) < 16)
         return out
 
-    def walk_bpe(self, w: str, shared: int, last: list, ids: list, states: list) -> None:
+    def spelled(self, w: str, last: list) -> bytes:
+        """The ids of a word, from the last pieces of its prefixes."""
+        packed, long, at, parts = self.packed, self.long, len(w), []
+        while at:
+            p = last[at]
+            if p >= 0:
+                parts.append(packed[p])
+                at -= long[p]
+            else:
+                at -= 1
+                parts.append(self.v.fallback(w[at]))
+        parts.reverse()
+        return b"".join(parts)
+
+    def walk_bpe(self, w: str, shared: int, last: list, states: list) -> None:
         """Extend the forward states from ``shared`` characters to the whole word."""
-        fit_of, fits, packed, steps, ends, learnt = self.pairs.get, self.fits, self.packed, self.steps, self.ends, self.learnt.get
+        fit_of, fits, steps, ends, learnt = self.pairs.get, self.fits, self.steps, self.ends, self.learnt.get
         del states[shared + 1 :]
         state = states[-1]
         for i, c in enumerate(w[shared:], shared + 1):
@@ -200,24 +216,21 @@ class TrieEncoder:
                     if not (fits(left, p) if fit is None else fit):
                         continue
                 last.append(p)
-                ids.append(ids[i - n] + packed[p])
                 break
             else:
                 last.append(-1)
-                ids.append(ids[i - 1] + self.v.fallback(c))
 
-    def walk_unigram(self, w: str, shared: int, last: list, ids: list, scores: list) -> None:
+    def walk_unigram(self, w: str, shared: int, last: list, scores: list) -> None:
         """The same with the best sum of scores as the state."""
         pieces, lengths, score = self.pieces, self.v.lengths, self.v.score
         del scores[shared + 1 :]
         for i in range(shared + 1, len(w) + 1):
-            piece, at, best = -1, i - 1, scores[i - 1] + self.v.worst
+            piece, best = -1, scores[i - 1] + self.v.worst
             for n in lengths.get(w[i - 1], ()):
                 p = pieces.get(w[i - n : i]) if n <= i else None
                 if p is not None and scores[i - n] + score[p] > best:
-                    piece, at, best = p, i - n, scores[i - n] + score[p]
+                    piece, best = p, scores[i - n] + score[p]
             last.append(piece)
-            ids.append(ids[at] + (self.packed[piece] if piece >= 0 else self.v.fallback(w[i - 1])))
             scores.append(best)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import frugal, mix64, small_batches, text_slices, token_hashes, with_text
+from costloom.llm.common import frugal, mix64, refuse, small_batches, text_slices, token_hashes, valid_text, with_text
 
 #: Words of letters, digits and non-ASCII bytes; any other byte that is not blank is a token of its own.
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xFF]+|[^\x20\x09-\x0D]")
@@ -72,7 +72,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 12
     total = labels.count()
     cut = 2.0**64 * min(1.0, max_rows / max(1, total)) - 2.0**63
     chosen = labels.where(F.xxhash64("doc_id").cast("double") <= cut)
-    picked = docs.join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label").withColumn("h", F.xxhash64("text"))
+    picked = docs.join(F.broadcast(chosen), "doc_id").select(F.coalesce(valid_text(F.col("text")), F.lit("")).alias("text"), "label").withColumn("h", F.xxhash64("text"))
 
     def slots(batches):
         for batch in batches:
@@ -99,8 +99,10 @@ def score(docs: DataFrame, weights: np.ndarray, carry: list[str]) -> DataFrame:
     """``carry`` columns plus ``score`` (0 to 1, higher: label 1 likelier) for every row of ``docs``.
 
     Null and empty texts score as the intercept alone; repeated rows score alike; an empty table
-    gives an empty result; other columns are ignored unless carried.
+    gives an empty result; other columns are ignored unless carried. Bytes that aren't UTF-8 are read as U+FFFD.
+    Carried columns may not be called ``score`` (ValueError).
     """
+    refuse(carry, ["score"])
     bits = len(weights).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     rows, at = with_text(docs, carry)

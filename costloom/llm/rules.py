@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import durable
+from costloom.llm.common import durable, refuse, valid_text
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -82,9 +82,11 @@ def covered_words(hashes: Column, size: int = 8) -> Column:
 def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``carry`` columns plus the counts of the quality rules for every row of ``docs``.
 
-    Null and empty texts count 0 everywhere. Texts are taken whole; repeated rows count alike.
+    Null and empty texts count 0 everywhere. Texts are taken whole; repeated rows count alike. Bytes that
+    aren't UTF-8 are read as U+FFFD. Carried columns may not bear a count's name (ValueError).
     """
-    text = F.coalesce("text", F.lit(""))
+    refuse(carry, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"])
+    text = F.coalesce(valid_text(F.col("text")), F.lit(""))
     rows = docs.select(*carry, text.alias("__text"))
     words = F.filter(F.split("__text", BLANK), lambda w: w != "")
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
@@ -196,14 +198,19 @@ def learn_thresholds(measured: DataFrame, labels: DataFrame, stratum: str, alpha
 
 
 def apply_rules(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """``measured`` with ``base_failed`` and ``kept``.
+    """``measured`` with ``base_failed`` and ``kept``, by thresholds learnt from ``measured`` itself; see :func:`judge`."""
+    return judge(measured, learn_thresholds(measured, labels, stratum, alpha, delta), stratum)
+
+
+def judge(measured: DataFrame, thresholds: DataFrame, stratum: str = "lang") -> DataFrame:
+    """``measured`` with ``base_failed`` and ``kept``, by :func:`learn_thresholds`' rows.
 
     Strata without enough labels get no learnt thresholds, so only the fixed rules hold there; a null
     stratum is one of its own. With no labels at all only the fixed rules hold. Labels of unknown or
     null doc_ids are ignored. Thresholds are joined by stratum, one row each.
     """
     values = feature_columns()
-    learnt = learn_thresholds(measured, labels, stratum, alpha, delta).groupBy("stratum").agg(*[F.max(F.when(F.col("feature") == name, F.col("threshold"))).alias(f"__t_{name}") for name in values])
+    learnt = thresholds.groupBy("stratum").agg(*[F.max(F.when(F.col("feature") == name, F.col("threshold"))).alias(f"__t_{name}") for name in values])
     names = measured.columns
     judged = measured.withColumn("__stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(learnt.withColumnRenamed("stratum", "__stratum"), "__stratum", "left")
     verdict = ~base_failed()

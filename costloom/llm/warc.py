@@ -143,7 +143,7 @@ def parse(pieces):
         headers = {}
         for line in bytes(held[at:end]).split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
-            headers[name.strip().lower().decode()] = value.strip().decode()
+            headers[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
         head, size = end + 4 - at, int(headers["content-length"])
         if not fill(head + size):
             raise ValueError("a record's block is cut off")
@@ -172,7 +172,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 size = 0
                 for headers, block in parse(unpacked(content.as_py())):
                     payload = block.partition(b"\r\n\r\n")[2] if "http" in headers.get("content-type", "") else block
-                    fields = dict(line.split(": ", 1) for line in block.decode().split("\r\n") if ": " in line) if headers["warc-type"] == "metadata" else {}
+                    fields = dict(line.split(": ", 1) for line in block.decode("utf-8", "replace").split("\r\n") if ": " in line) if headers["warc-type"] == "metadata" else {}
                     out.append({
                         "kind": headers["warc-type"], "record_id": headers["warc-record-id"], "concurrent_to": headers.get("warc-concurrent-to"),
                         "target_uri": headers.get("warc-target-uri"), "date": headers.get("warc-date"), "refers_to": headers.get("warc-refers-to"),
