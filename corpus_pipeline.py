@@ -1,14 +1,17 @@
-"""The corpus pipeline: language ID, quality rules, near duplicates, decontamination, encoding."""
+"""The corpus pipeline: language ID, quality rules, near duplicates, decontamination, encoding.
 
-from __future__ import annotations
+A stage is a function of its input alone. It may be given the result of another stage that isn't written yet, and
+stages of several runs may be mixed: none removes what another reads. Texts come out as they are read, with
+bytes that aren't UTF-8 as U+FFFD.
+"""
 
-import functools
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costloom.llm import decontaminate, encoding, jaccard, langid, rules
-from costloom.llm.common import WRITTEN, drop_tables, durable, fresh_path, table
+from costloom.llm.common import drop_tables, durable, fresh_path, table, valid_text, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,28 +20,6 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LONG, SLACK = 64, 64
 
 
-#: Intermediate tables of the stage before.
-_BEFORE: list[str] = []
-
-
-def stage(function):
-    """A stage: what the stage before it wrote besides its result is removed first.
-
-    So a stage's result must be written (or be in memory) before the next stage is called, as
-    :func:`run` does.
-    """
-
-    @functools.wraps(function)
-    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _BEFORE)
-        known = len(WRITTEN)
-        out = function(spark, docs, sf_dir)
-        _BEFORE[:] = WRITTEN[known:]
-        return out
-
-    return wrapped
-
-
 def language_bounds(found: DataFrame, factor: float = 2.0, least: float = 4.0) -> dict[str, float]:
     """Bits per character that texts of each learnt language may need.
 
@@ -51,13 +32,13 @@ def language_bounds(found: DataFrame, factor: float = 2.0, least: float = 4.0) -
     return {r["lang_pred"]: max(least, factor * r["high"]) for r in high.collect()}  # one row a learnt language
 
 
-@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``lang`` becomes the identified language; documents without a letter, or too strange to all languages, go.
 
     So do null and empty texts. Repeated rows stay; rows without a ``lang`` or doc_id are identified like others.
     """
-    found = durable(langid.identify(docs, F.lit(True), COLUMNS), "stage-languages", compression="zstd")
+    found = langid.identify(docs.withColumn("text", valid_text(F.col("text"))), F.lit(True), COLUMNS)
+    # identified twice, once for the bounds, rather than kept as another copy of all texts
     bounds = language_bounds(found)
     kept = F.col("lang_pred") != "und"
     if bounds:
@@ -67,29 +48,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(kept).withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
-@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a fixed or learnt rule rejects go; a null or empty text fails the fixed rules; repeated rows are judged alike."""
-    measured = durable(rules.measure(docs, COLUMNS), "stage-counts", compression="zstd")
-    return rules.apply_rules(measured, table(spark, sf_dir, "labels")).where("kept").select(COLUMNS)
+    counts = durable(rules.measure(docs, ["doc_id", "lang"]), "stage-counts")
+    thresholds = rules.learn_thresholds(counts, table(spark, sf_dir, "labels"), "lang", alpha=0.05, delta=0.05)
+    # counted again where the texts are, rather than kept with another copy of them
+    return rules.judge(rules.measure(docs, COLUMNS), thresholds).where("kept").select(COLUMNS)
 
 
-@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component stays; so do rows without a doc_id."""
-    groups = jaccard.near_duplicates(docs, words=5, percent=80)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Of each component the document with the smallest doc_id stays; of rows equal in doc_id and text one stays.
+
+    Rows without a doc_id take part by a hash of their text and come after all doc_ids. Null and empty texts
+    link with nothing, but their repeats go as well.
+    """
+    text = F.coalesce(valid_text(F.col("text")), F.lit(""))
+    own = F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62))
+    keyed = docs.select(*COLUMNS, own.alias("__id"), F.xxhash64(text, F.col("text").isNull()).alias("__hash"))
+    groups = jaccard.near_duplicates(keyed.select(F.col("__id").alias("doc_id"), "text"), words=5, percent=80)
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = keyed.join(gone, "__id", "left_anti")
+    repeats = durable(keyed.groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "stage-repeats")
+    if not repeats.isEmpty():
+        once = kept.join(repeats, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+        kept = kept.join(repeats, ["__id", "__hash"], "left_anti").unionByName(once)
+    return kept.select(COLUMNS)
 
 
-@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go; null and empty texts have none and stay."""
     found = decontaminate.contaminated_spans(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
     return found.where("n_hit = 0").select(COLUMNS)
 
 
-@stage
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents that are left; null and empty texts have none."""
     encoded = encoding.encode_texts(docs, ["doc_id", "lang", "source"])
@@ -109,10 +100,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet and reread by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each is written as Parquet and reread by the next.
+
+    When a stage is written, what it wrote besides and its own input go; only the last result stays. Each run has
+    lists of its own, so several runs at once don't meet.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with written() as own:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        drop_tables(spark, [*own, *before])
+        docs, before = spark.read.parquet(path), [path]
     return docs
