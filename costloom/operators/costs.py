@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from costloom.functions.normalize import usd_to_eur
 from costloom.functions.tables import durable
-from costloom.functions.tags import tags_key, tags_match
+from costloom.functions.tags import tags_key
 from costloom.functions.timegrid import gap_filled
 from costloom.operators.budgets import anomaly_entry
 from costloom.operators.hierarchy import namespaces_for_tags, scope_entities, with_key
+from costloom.operators.tagjoin import containing
 
 SCOPE = ["scope_id", "tags_key"]
 
@@ -96,13 +97,10 @@ def ns_allocation_chart(allocation: DataFrame) -> DataFrame:
 def matching_rules(tagged: DataFrame, rules: DataFrame, rule_tags: str) -> DataFrame:
     """Rows of ``tagged`` (tags, any others) with each rule whose ``rule_tags`` are contained in their tags.
 
-    A rule is met through its first tag, so this is an equi-join; a rule without tags matches nothing.
+    Rules are met through their rarest tag (:mod:`costloom.operators.tagjoin`); a rule without tags matches nothing.
     Other columns of both sides are kept and must differ in name.
     """
-    one = F.element_at(F.map_entries(rule_tags), 1)
-    entries = rules.where(F.size(rule_tags) > 0).select("*", one["key"].alias("__k"), one["value"].alias("__v"))
-    pairs = tagged.select("*", F.explode("tags").alias("__k", "__v"))
-    return pairs.join(entries, ["__k", "__v"]).where(tags_match(F.col("tags"), F.col(rule_tags))).drop("__k", "__v")
+    return containing(tagged, rules, rule_tags)
 
 
 def apply_allocation_rules(base: DataFrame, scopes: DataFrame, rules: DataFrame, source_costs: DataFrame) -> DataFrame:

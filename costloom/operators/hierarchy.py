@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from costloom.functions.tables import durable
 from costloom.functions.tags import glob_to_regex, tags_contain, tags_key
+from costloom.operators.tagjoin import containing
+from costloom.operators.upsert import current, publish, snapshots
 
 
 def closure(entities: DataFrame, pruned: Column | None = None) -> DataFrame:
@@ -23,6 +25,11 @@ def closure(entities: DataFrame, pruned: Column | None = None) -> DataFrame:
     # the parents that are entities themselves
     apart = tree.where("parent_id IS NOT NULL").join(tree.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
     apart = apart.select(F.col("parent_id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(1).alias("depth"), F.array("parent_id", "id").alias("path"))
+    return grown(near, apart)
+
+
+def grown(near: DataFrame, apart: DataFrame) -> DataFrame:
+    """All chains of the pairs ``apart``, with ``near``, the chains of no pair; both as :func:`closure`'s rows."""
     n = 1
     while True:
         found = apart.agg(F.count(F.lit(1)).alias("n"), F.max((F.size(F.array_distinct("path")) < F.size("path")).cast("int")).alias("cycle")).first()
@@ -35,6 +42,66 @@ def closure(entities: DataFrame, pruned: Column | None = None) -> DataFrame:
             near, apart = durable(near, "closure"), durable(apart, "closure")
 
 
+def moved_closure(tree: DataFrame, changes: DataFrame) -> DataFrame:
+    """The closure after ``changes`` (id, parent_id): nodes that are new or hang elsewhere; a null parent makes a root.
+
+    What doesn't lie below a changed node stays as it is. Below one, the pairs that lead over a changed node's old
+    place go, and each changed node's subtree meets its new ancestors: the work is subtrees times
+    ancestors, not the tree. A parent that is no node counts as none. An id may be in ``changes`` once. A cycle is
+    an error, as in :func:`closure`.
+    """
+    changes = durable(changes.select("id", "parent_id"), "moved")
+    moved = changes.select(F.col("id").alias("__m"))
+    below = durable(tree.join(moved, F.col("ancestor") == F.col("__m"), "left_semi").select("descendant").distinct(), "below")
+    stays = tree.join(below, "descendant", "left_anti").select("ancestor", "descendant", "depth", "path")
+    touched = tree.join(below, "descendant", "left_semi").select("ancestor", "descendant", "depth", "path")
+    over = touched.select("ancestor", "descendant", F.explode(F.slice("path", F.lit(2), F.size("path"))).alias("__m")).join(moved, "__m", "left_semi").select("ancestor", "descendant").distinct()
+    own = changes.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("depth"), F.array("id").alias("path"))
+    new = own.join(tree.where("depth = 0").select("ancestor"), "ancestor", "left_anti")
+    inner = durable(touched.join(over, ["ancestor", "descendant"], "left_anti").select(*tree.columns).unionByName(new), "inner")
+    left = stays.select(*tree.columns).unionByName(inner)
+    # each changed node under all that its new parent kept above it
+    up = left.join(changes.where("parent_id IS NOT NULL"), F.col("descendant") == F.col("parent_id"))
+    up = durable(up.select("ancestor", F.col("id").alias("descendant"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("id")).alias("path")), "up")
+    # and chains of changed nodes under each other
+    chains = grown(own, up.join(moved, F.col("ancestor") == F.col("__m"), "left_semi"))
+    above = joined(up, chains)
+    return left.unionByName(joined(above, inner.join(moved, F.col("ancestor") == F.col("__m"), "left_semi")))
+
+
+def changed_parents(entities: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, parent_id) of the nodes that ``known`` (id, parent_id) lacks or has elsewhere."""
+    before = known.select("id", F.col("parent_id").alias("__old"), F.lit(True).alias("__known"))
+    now = entities.select("id", "parent_id").join(before, "id", "left")
+    return now.where(F.col("__known").isNull() | ~F.col("parent_id").eqNullSafe(F.col("__old"))).select("id", "parent_id")
+
+
+def stored_closure(entities: DataFrame, folder: str) -> DataFrame:
+    """The closure of ``entities`` (id, parent_id) that ``folder`` stores, brought up to date.
+
+    The folder holds snapshots of the pairs and of the tree that they belong to. Nodes that are new or moved since then are
+    worked in by :func:`moved_closure` and a new snapshot is published; with none, nothing is written. Nodes that are gone make
+    a rebuild, as does an empty folder. One writer at a time; readers see the last whole snapshot, and old ones are kept.
+    """
+    spark = entities.sparkSession
+    own = entities.select("id", "parent_id")
+    held = snapshots(spark, f"{folder}/tree")
+    if held and held == snapshots(spark, f"{folder}/pairs"):
+        known = current(spark, f"{folder}/tree")
+        if known.join(own, "id", "left_anti").isEmpty():
+            changes = changed_parents(own, known)
+            if changes.isEmpty():
+                return current(spark, f"{folder}/pairs")
+            pairs = moved_closure(current(spark, f"{folder}/pairs"), changes)
+        else:
+            pairs = closure(own)
+    else:
+        pairs = closure(own)
+    publish(pairs, f"{folder}/pairs")
+    publish(own, f"{folder}/tree")
+    return current(spark, f"{folder}/pairs")
+
+
 def joined(upper: DataFrame, lower: DataFrame) -> DataFrame:
     """Pairs of ``upper`` continued by the pairs of ``lower`` that begin where they end."""
     below = lower.select(F.col("ancestor").alias("__at"), F.col("descendant").alias("__end"), F.col("depth").alias("__depth"), F.col("path").alias("__path"))
@@ -136,11 +203,10 @@ def scoped_dynamic_items(tree: DataFrame, entities: DataFrame, scopes: DataFrame
 def namespaces_for_tags(entities: DataFrame, scopes: DataFrame) -> DataFrame:
     """(scope_id, tags_key, ns_id, cluster_id, namespace, ns_tags) of namespaces in any cluster that hold a scope's tags.
 
-    Scopes without tags have none. Few scopes meet many namespaces, so tags are compared after a
-    join on one tag of the scope.
+    Scopes without tags have none. Scopes with equal tags are one rule, met through its rarest tag.
     """
-    one = F.element_at(F.map_entries("tags"), 1)
-    keyed = with_key(scopes).where(F.size("tags") > 0).select("scope_id", "tags", "tags_key", one["key"].alias("k"), one["value"].alias("v"))
+    keyed = with_key(scopes).where(F.size("tags") > 0)
+    rules = keyed.select("tags_key", F.col("tags").alias("wanted")).dropDuplicates(["tags_key"])
     spaces = entities.where("type = 'kubernetes_namespace'").select(F.col("id").alias("ns_id"), F.col("parent_id").alias("cluster_id"), F.col("name").alias("namespace"), F.col("tags").alias("ns_tags"))
-    pairs = spaces.select("*", F.explode("ns_tags").alias("k", "v"))
-    return keyed.join(pairs, ["k", "v"]).where(tags_contain(F.col("ns_tags"), F.col("tags"))).select("scope_id", "tags_key", "ns_id", "cluster_id", "namespace", "ns_tags")
+    found = containing(spaces, rules, "wanted", "ns_tags").drop("wanted")
+    return keyed.select("scope_id", "tags_key").join(found, "tags_key").select("scope_id", "tags_key", "ns_id", "cluster_id", "namespace", "ns_tags")

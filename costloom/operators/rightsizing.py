@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from costloom.functions.tables import durable
-from costloom.functions.tags import glob_to_like, tags_contain, tags_key
+from costloom.functions.tags import glob_to_like, tags_key
+from costloom.operators.tagjoin import containing
 
 FLAGS = ["architecture", "is_gpu", "is_confidential", "has_local_storage", "supports_premium"]
 
@@ -77,13 +80,22 @@ def offers_of(hardware: DataFrame, pricing: DataFrame, excluded: Column | None =
     return offers if excluded is None else offers.where(~F.exists(excluded, lambda p: F.like(F.col("candidate"), glob_to_like(p))))
 
 
-def fits() -> Column:
-    """Whether an offer meets a machine's needs."""
+KEY = ["provider", "region", "os"]
+#: An offer's capacities; a missing one is unlimited.
+CAPACITIES = ["c_vcpu", "c_memory", "baseline_iops", "throughput"]
+
+
+def fits(offer: Column | None = None) -> Column:
+    """Whether an offer (columns, or the fields of a struct) meets a machine's needs."""
+
+    def of(name: str) -> Column:
+        return F.col(name) if offer is None else offer[name]
+
     return (
-        (F.col("c_vcpu") >= F.col("need_vcpu")) & (F.col("c_memory") >= F.col("need_ram"))
-        & (F.col("baseline_iops").isNull() | (F.col("baseline_iops") >= F.col("need_iops")))
-        & (F.col("throughput").isNull() | (F.col("throughput") >= F.col("need_net")))
-        & (F.col("c_is_gpu") == F.col("is_gpu"))
+        (of("c_vcpu") >= F.col("need_vcpu")) & (of("c_memory") >= F.col("need_ram"))
+        & (of("baseline_iops").isNull() | (of("baseline_iops") >= F.col("need_iops")))
+        & (of("throughput").isNull() | (of("throughput") >= F.col("need_net")))
+        & (of("c_is_gpu") == F.col("is_gpu"))
     )
 
 
@@ -91,56 +103,97 @@ def vm_candidates(needs: DataFrame, hardware: DataFrame, pricing: DataFrame, exc
     """Every priced type that meets a machine's needs, with price and warnings.
 
     An equi-join on cloud, region and system with the inequalities as its rest. ``excluded`` is an
-    array of glob patterns. The result itself has a row for every fit; :func:`vm_rightsize` doesn't
-    need it.
+    array of glob patterns. The result has a row for every fit; :func:`best_candidates` and
+    :func:`vm_rightsize` don't need it.
     """
-    hit = needs.join(offers_of(hardware, pricing, excluded), ["provider", "region", "os"]).where(fits())
+    hit = needs.join(offers_of(hardware, pricing, excluded), KEY).where(fits())
     return hit.withColumn("warnings", candidate_warnings())
 
 
-#: Offers in one block of the price ladder.
-LADDER = 64
+def skyband(offers: DataFrame, by: list[str], k: int = 1) -> DataFrame:
+    """The offers that fewer than ``k`` others of their group ``by`` dominate; for 1 the Pareto frontier.
 
+    One offer dominates another if it comes before it by price and name and has at least its
+    capacities. So the ``k`` cheapest fits of any machine are in the result. Groups are catalogues of one
+    cloud, region and system, or parts of them; one group is in memory at a time.
+    """
 
-def cheapest(vms: DataFrame, offers: DataFrame, frontier: int = LADDER) -> DataFrame:
-    """(id, candidate, candidate_price, warnings): the cheapest fit for every set of warnings, up to the first without any.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["candidate_price", "candidate"], kind="stable")
+        rooms = pdf[CAPACITIES].astype(float).fillna(np.inf).to_numpy()
+        band, keep = np.empty((0, len(CAPACITIES))), []
+        for i, own in enumerate(rooms):
+            # whatever is dominated k times has k dominators in the band
+            if int((band >= own).all(1).sum()) < k:
+                keep.append(i)
+                band = np.vstack([band, own])
+        return pdf.iloc[keep]
 
-    ``vms`` has the needs and the present ``price``. Offers of a cloud, region and system stand in the
-    order of their price, in blocks of ``frontier``. Machines meet the first block only; those that
-    found no fit without warnings there, and whose price lies above the block's dearest offer, go on
-    to the next blocks, eight times as many at each step. So most machines meet a few offers, and
-    never those after their answer.
-    """
-    key = ["provider", "region", "os"]
-    place = F.row_number().over(W.partitionBy(*key).orderBy("candidate_price", "candidate"))
-    offers = durable(offers.withColumn("__pos", place).withColumn("__block", F.floor((F.col("__pos") - 1) / frontier).cast("int")), "offers")
-    blocks = offers.groupBy(*key, "__block").agg(F.min("candidate_price").alias("__low"))
-    last = offers.agg(F.max("__block")).first()[0]
-    left, found, low, wide = vms, None, 0, 1
+    return offers.groupBy(*by).applyInPandas(run, offers.schema)
+
+
+def ladders(offers: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ladder): a group's offers as one array in the order of price and name."""
+    rest = [c for c in offers.columns if c not in (*by, "candidate_price", "candidate")]
+    return offers.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("candidate_price", "candidate", *rest))).alias("ladder"))
+
+
+def with_ladder(vms: DataFrame, offers: DataFrame, salts: int) -> DataFrame:
+    """Machines with the ladder of their cloud, region and system, which few values share: each ladder stands in ``salts`` parts of the join."""
+    steps = ladders(offers, KEY).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return vms.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(steps, [*KEY, "__salt"])
+
+
+def warning_mask(offer: Column) -> Column:
+    """The warnings of an offer (a struct of ``c_`` fields) as bits, in the order of their names."""
+    checks = [offer["c_architecture"] != F.col("architecture"), *[F.col(f) & ~offer["c_" + f] for f in ("is_confidential", "has_local_storage", "supports_premium")]]
     mask = F.lit(0)
-    for k, c in enumerate(warning_checks()):
+    for k, c in enumerate(checks):
         mask = mask + F.when(F.coalesce(c, F.lit(False)), 1 << k).otherwise(0)
-    while last is not None and low <= last:
-        ladder = blocks.where(F.col("__block").between(low, low + wide - 1))
-        steps = left.join(ladder, key).where("price IS NULL OR price <= 0 OR __low < price")
-        hit = steps.join(offers, [*key, "__block"]).where(fits() & F.expr("price IS NULL OR price <= 0 OR candidate_price < price"))
-        best = durable(hit.select("id", *key, mask.alias("__mask"), "__pos").groupBy("id", *key, "__mask").agg(F.min("__pos").alias("__pos")), "cheapest")
-        found = best if found is None else found.union(best)
-        low, wide = low + wide, wide * 8
-        if low > last:
-            break
-        left = left.join(best.where("__mask = 0").select("id").distinct(), "id", "left_anti")
-        left = durable(left.join(blocks.where(F.col("__block") == low).select(*key, F.col("__low").alias("__next")), key).where("price IS NULL OR price <= 0 OR __next < price").drop("__next"), "machines")
-        if left.isEmpty():
-            break
-    if found is None:
-        return vms.select("id", F.lit("").alias("candidate"), F.lit(0.0).alias("candidate_price"), F.array().cast("array<string>").alias("warnings")).limit(0)
-    first = found.groupBy("id", *key, "__mask").agg(F.min("__pos").alias("__pos"))
-    clean = first.where("__mask = 0").select("id", F.col("__pos").alias("__clean"))
-    first = first.join(clean, "id", "left").where("__clean IS NULL OR __pos <= __clean")
-    names = F.array(*[F.when(F.col("__mask").bitwiseAND(1 << k) > 0, name) for k, name in enumerate(WARNING_NAMES)])
-    named = first.join(offers.select(*key, "__pos", "candidate", "candidate_price"), [*key, "__pos"])
-    return named.select("id", "candidate", "candidate_price", F.array_sort(F.filter(names, lambda x: x.isNotNull())).alias("warnings"))
+    return mask
+
+
+def warnings_of(mask: Column) -> Column:
+    """The names of a mask's warnings, sorted."""
+    names = F.array(*[F.when(mask.bitwiseAND(F.lit(1 << k)) > 0, name) for k, name in enumerate(WARNING_NAMES)])
+    return F.array_sort(F.filter(names, lambda x: x.isNotNull()))
+
+
+def best_candidates(needs: DataFrame, hardware: DataFrame, pricing: DataFrame, excluded: Column | None = None, k: int = 10, salts: int = 8) -> DataFrame:
+    """(id, position, candidate, candidate_price, warnings): the ``k`` cheapest fits of every machine, by price and name.
+
+    Machines meet one array of the offers that can be among the best; their fits are picked inside the row, so
+    at most ``k`` rows a machine are made.
+    """
+    offers = skyband(offers_of(hardware, pricing, excluded), [*KEY, "c_is_gpu"], k)
+    asked = needs.select("id", *KEY, "need_vcpu", "need_ram", "need_iops", "need_net", *FLAGS)
+    picked = with_ladder(asked, offers, salts).withColumn("__best", F.slice(F.filter("ladder", fits), 1, k))
+    found = F.transform("__best", lambda x: F.struct(x["candidate"].alias("candidate"), x["candidate_price"].alias("candidate_price"), warnings_of(warning_mask(x)).alias("warnings")))
+    rows = picked.select("id", F.posexplode(found).alias("__pos", "x"))
+    return rows.select("id", (F.col("__pos") + 1).alias("position"), "x.*")
+
+
+def cheapest(vms: DataFrame, offers: DataFrame, salts: int = 8) -> DataFrame:
+    """(id, candidate, candidate_price, warnings): the cheapest fit for every set of warnings, up to the first without any.
+
+    ``vms`` has the needs and the present ``price``. Among offers of the same flags only the Pareto
+    frontier can hold an answer. A machine meets its ladder as one array and walks it upwards inside the
+    row, until a fit without warnings; no pair of machine and offer becomes a row.
+    """
+    ladder = skyband(offers, [*KEY, *["c_" + f for f in FLAGS]])
+    pick = "struct<candidate:string,candidate_price:double,mask:int>"
+    start = F.struct(F.lit(0).alias("seen"), F.array().cast(f"array<{pick}>").alias("picks"), F.lit(False).alias("done"))
+    below = F.col("price").isNull() | (F.col("price") <= 0)
+
+    def step(acc: Column, x: Column) -> Column:
+        mask = warning_mask(x)
+        bit = F.call_function("shiftleft", F.lit(1), mask)
+        new = fits(x) & (below | (x["candidate_price"] < F.col("price"))) & ~acc["done"] & (acc["seen"].bitwiseAND(bit) == 0)
+        more = F.struct(acc["seen"].bitwiseOR(bit).alias("seen"), F.concat(acc["picks"], F.array(F.struct(x["candidate"].alias("candidate"), x["candidate_price"].alias("candidate_price"), mask.alias("mask")).cast(pick))).alias("picks"), (mask == 0).alias("done"))
+        return F.when(F.coalesce(new, F.lit(False)), more).otherwise(acc)
+
+    walked = with_ladder(vms, ladder, salts).select("id", F.explode(F.aggregate("ladder", start, step)["picks"]).alias("x"))
+    return walked.select("id", "x.candidate", "x.candidate_price", warnings_of(F.col("x.mask")).alias("warnings"))
 
 
 def vm_rightsize(needs: DataFrame, hardware: DataFrame, pricing: DataFrame, daily_cost: DataFrame, excluded: Column | None = None) -> DataFrame:
@@ -184,11 +237,9 @@ def exclusion_exact(rules: DataFrame, scopes: DataFrame) -> DataFrame:
 def exclusion_for_entity(rules: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, patterns): all patterns of rules whose tags an entity holds; rules without tags hold for all.
 
-    Rules are met through one of their tags; those without any are one array for every entity.
+    Rules are met through their rarest tag; those without any are one array for every entity.
     """
-    one = F.element_at(F.map_entries("tags"), 1)
-    tagged = rules.where(F.size("tags") > 0).select(F.col("tags").alias("rule_tags"), "patterns", one["key"].alias("k"), one["value"].alias("v"))
-    own = entities.select("id", "tags", F.explode("tags").alias("k", "v")).join(tagged, ["k", "v"]).where(tags_contain(F.col("tags"), F.col("rule_tags")))
+    own = containing(entities.select("id", "tags"), rules.select(F.col("tags").alias("rule_tags"), "patterns"), "rule_tags")
     general = rules.where(F.size("tags") == 0).select(F.explode("patterns").alias("pattern"))
     some = own.select("id", F.explode("patterns").alias("pattern"))
     everywhere = general.agg(F.collect_set("pattern").alias("__all"))  # one row

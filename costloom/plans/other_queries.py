@@ -609,10 +609,6 @@ def vm_needs(v):
     return R.vm_requirements(meta.join(tel, "id", "left"))
 
 
-def vm_found(v):
-    return R.vm_candidates(vm_needs(v), v.hardware, v.pricing, F.array(F.lit("t9*")))
-
-
 @query("vm_metadata", f"SELECT id, instance_type, vcpu, memory_gb, architecture, is_gpu FROM ({META_SQL})")
 def vm_metadata(v):
     return R.vm_metadata(v.vms, v.hardware).select("id", "instance_type", "vcpu", "memory_gb", "architecture", "is_gpu")
@@ -652,14 +648,24 @@ def vm_idle(v):
     return vm_needs(v).select("id", R.vm_idle().alias("idle"))
 
 
-@query("vm_candidates", f"WITH {NEEDS_SQL}, {CANDIDATES_SQL} SELECT id, candidate, round(candidate_price, 6) AS candidate_price FROM cand")
+BEST_SQL = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY candidate_price, candidate) AS position FROM cand) WHERE position <= 10)"
+
+
+def vm_found(v):
+    return R.best_candidates(vm_needs(v), v.hardware, v.pricing, F.array(F.lit("t9*")), k=10)
+
+
+@query("vm_candidates", f"WITH {NEEDS_SQL}, {CANDIDATES_SQL}, {BEST_SQL} SELECT id, CAST(position AS INT) AS position, candidate, round(candidate_price, 6) AS candidate_price, warnings FROM best")
 def vm_candidates(v):
-    return rounded(vm_found(v).select("id", "candidate", "candidate_price"), "candidate_price", digits=6)
+    """The ten cheapest types that meet each machine's needs."""
+    rows = vm_found(v).withColumn("warnings", F.array_join("warnings", "|"))
+    return rounded(rows, "candidate_price", digits=6)
 
 
-@query("vm_candidate_warnings", f"WITH {NEEDS_SQL}, {CANDIDATES_SQL} SELECT warnings, count(*) AS n FROM cand GROUP BY 1")
+@query("vm_candidate_warnings", f"WITH {NEEDS_SQL}, {CANDIDATES_SQL}, {BEST_SQL} SELECT position = 1 AS cheapest, warnings, count(*) AS n FROM best GROUP BY 1, 2")
 def vm_candidate_warnings(v):
-    return vm_found(v).groupBy(F.array_join("warnings", "|").alias("warnings")).agg(F.count(F.lit(1)).alias("n"))
+    """How often each set of warnings is among the ten cheapest fits, and is the cheapest one's."""
+    return vm_found(v).groupBy((F.col("position") == 1).alias("cheapest"), F.array_join("warnings", "|").alias("warnings")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("vm_rightsize", f"""
