@@ -8,6 +8,7 @@ log probability of a text is the sum over its words and its end.
 
 * Pieces that open a word form one distribution; those that go on, and the stop, form another. So
   the lattice is a distribution over words.
+* A unigram vocabulary's own scores can weight the segmentations as they are (``scores="own"``).
 * The public vocabulary is a merge (BPE) vocabulary, whose scores are ranks and no probabilities.
   The pieces' probabilities are learnt by expectation maximisation over the training words and
   their counts, from the vocabulary's own segmentations as the start. The vocabulary itself is left
@@ -275,6 +276,15 @@ def probabilities(counts: np.ndarray, stops: int, v: Vocabulary, smooth: float)
     return np.where(usable, log_prob, -1e9), math.log((stops + smooth) / going)
 
 
+def own_probabilities(v: Vocabulary) -> tuple[np.ndarray, float]:
+    """A unigram vocabulary's own scores as log probabilities; byte pieces count as the worst score less 10, and a stop is certain."""
+    log_prob = np.full(v.size, -1e9)
+    log_prob[v.bytes[v.bytes > 0]] = v.worst
+    for i, score in v.score.items():
+        log_prob[i] = score
+    return log_prob, 0.0
+
+
 def word_scores(words: DataFrame, model: bytes, fitted: tuple, tokens: int, discount: float, rest: float, share: float) -> DataFrame:
     """(word, c, s, w): log10 probabilities of the word by the lattice, and with its whole-word arc; ``share`` is that of words among tokens."""
     shared = words.sparkSession.sparkContext.broadcast((model, *fitted))
@@ -292,16 +302,19 @@ def word_scores(words: DataFrame, model: bytes, fitted: tuple, tokens: int, disc
     return words.select("word", "c").mapInArrow(frugal(run), "word binary, c long, s double, w double")
 
 
-def score_documents(docs: DataFrame, learn: Column, model_path: str | None = None, smooth: float = 0.1, rounds: int = 3, block_bytes: int = 24_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column, model_path: str | None = None, smooth: float = 0.1, rounds: int = 3, block_bytes: int = 24_000_000, scores: str = "learnt") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, word_score) for every row of ``docs`` (doc_id, text).
 
     ``learn`` says which rows may be learnt from (null: not). ``base_score`` is the additive word
     unigram model with 0.1 as the added count, ``score`` the lattice model and ``word_score`` the
-    lattice model with whole-word arcs; all are log10 probabilities. Null and empty texts are one end
+    lattice model with whole-word arcs; all are log10 probabilities. With ``scores="own"`` the model is a unigram
+    vocabulary whose own scores weight the segmentations: nothing is fitted, and ``score`` is the sum of the words' marginals, without an end. Null and empty texts are one end
     token. With nothing to learn from, words have no count and pieces are equally likely. Repeated
     rows all count and are scored alike; an empty table gives no rows; other columns are ignored. Bytes
     that aren't UTF-8 are read as U+FFFD.
     """
+    if scores not in ("learnt", "own"):
+        raise ValueError(f"no such scores: {scores}")
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(valid_text(F.col("text")), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     size = rows.agg(F.sum(F.octet_length("text") + 1), F.sum(F.col("learn").cast("long"))).first()
@@ -320,14 +333,17 @@ def score_documents(docs: DataFrame, learn: Column, model_path: str | None = Non
 
     model = read_model(model_path)
     v = Vocabulary(model)
-    fitted = probabilities(vocabulary_counts(trained, model, v.size), n_tokens, v, smooth)
-    for _ in range(rounds):
-        fitted = probabilities(expected_counts(trained, model, fitted, v.size), n_tokens, v, smooth)
+    if scores == "own":
+        fitted = own_probabilities(v)
+    else:
+        fitted = probabilities(vocabulary_counts(trained, model, v.size), n_tokens, v, smooth)
+        for _ in range(rounds):
+            fitted = probabilities(expected_counts(trained, model, fitted, v.size), n_tokens, v, smooth)
     # without a training word all mass is the lattice's
     rest = discount * n_words / tokens if n_words else 1.0
-    share = n_tokens / tokens if n_words else 1.0
+    share = n_tokens / tokens if n_words and scores != "own" else 1.0
     scored = word_scores(words, model, fitted, tokens, discount, rest, share)
-    log_end = math.log10(max(ends, 0.1) / max(tokens, 1))
+    log_end = math.log10(max(ends, 0.1) / max(tokens, 1)) if scores != "own" else 0.0
     floor = 0.1 / (tokens + 0.1 * (distinct + 1))
     ready = pairs.select("block", "word").join(scored, "word").select("block", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("string").alias("text"), "word", "c", "s", "w")
     texts = rows.select("block", "doc_id", "text", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("w"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import frugal, mix64, refuse, small_batches, text_slices, token_hashes, valid_text, with_text
+from costloom.llm.common import durable, frugal, mix64, refuse, small_batches, text_slices, token_hashes, valid_text, with_text
 
 #: Words of letters, digits and non-ASCII bytes; any other byte that is not blank is a token of its own.
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xFF]+|[^\x20\x09-\x0D]")
@@ -61,14 +61,16 @@ def valued(slots: np.ndarray) -> np.ndarray:
     return value
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 12_000, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.1, l2: float = 0.05) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 12_000, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.1, l2: float = 0.05, max_slots: int = 60_000_000) -> np.ndarray:
     """Fit on the documents of about ``max_rows`` rows of ``labels`` (doc_id, label 0/1), picked by a hash.
 
     The picked labels are at most about ``max_rows`` narrow rows, so they are broadcast and the texts
     stay where they are. Null texts count as empty. Without rows all weights are 0, so that every
-    text scores 0.5. Repeated texts of one label count once.
+    text scores 0.5. Repeated texts of one label count once, and so do repeated labels. If the picked texts have more
+    than ``max_slots`` features (4 bytes each) together, a part of them that has about as many is taken, by their hash.
     """
     small_batches(docs.sparkSession)
+    labels = labels.distinct()
     total = labels.count()
     cut = 2.0**64 * min(1.0, max_rows / max(1, total)) - 2.0**63
     chosen = labels.where(F.xxhash64("doc_id").cast("double") <= cut)
@@ -82,7 +84,10 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 12
                 found += [s.astype(np.int32).tobytes() for s in np.split(slot, np.flatnonzero(np.diff(owner)) + 1)]
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1).cast(pa.int32()), pa.array(found, pa.binary())], ["h", "label", "slots"])
 
-    sparse = picked.mapInArrow(frugal(slots), "h long, label int, slots binary").dropDuplicates(["h", "label"])
+    sparse = durable(picked.mapInArrow(frugal(slots), "h long, label int, slots binary").dropDuplicates(["h", "label"]), "sparse-labels")
+    size = (sparse.agg(F.sum(F.octet_length("slots"))).first()[0] or 0) / 4
+    if size > max_slots:
+        sparse = sparse.where(F.xxhash64("h").cast("double") <= 2.0**64 * (max_slots / size) - 2.0**63)
 
     def fit(data):
         data = data.sort_by([("h", "ascending"), ("label", "ascending")])
@@ -90,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 12
         w = fit_ftrl([(s, y, valued(s)) for s, y in rows], bits, epochs, alpha, beta, l1, l2)
         return pa.table({"w": pa.array([zlib.compress(w.tobytes(), 1)], pa.binary())})
 
-    # one model, and so one group: at most about max_rows sparse rows
+    # one model, and so one group: at most about max_rows sparse rows of max_slots features together
     model = sparse.groupBy(F.lit(0).alias("model")).applyInArrow(fit, "w binary").collect()
     return np.frombuffer(zlib.decompress(model[0]["w"]), np.float32) if model else np.zeros(1 << bits, np.float32)
 

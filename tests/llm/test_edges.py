@@ -65,6 +65,53 @@ def test_ids_of_a_long_word_are_the_librarys(hard):
     assert [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)] == sp.encode(text)
 
 
+def unigram_model(pieces):
+    """A small unigram model file: pieces with scores, an unknown piece first (fields of the public model format)."""
+    import struct
+
+    def field(number, data):
+        return bytes([number << 3 | 2, len(data)]) + data
+
+    out = b""
+    for k, (piece, score) in enumerate([("<unk>", 0.0), *pieces]):
+        out += field(1, field(1, piece.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", score) + bytes([3 << 3, 2 if k == 0 else 1]))
+    return out + field(2, bytes([3 << 3, 1])) + field(3, bytes([3 << 3, 0]) + bytes([4 << 3, 0]))
+
+
+def test_a_unigram_vocabulary_counts_with_its_own_scores(spark, tmp_path):
+    import itertools
+    import math
+
+    pieces = [("▁", -3.0), ("▁a", -2.0), ("▁ab", -2.5), ("a", -2.2), ("b", -2.4), ("ab", -1.9), ("ba", -2.1), ("c", -4.0), ("abc", -6.0)]
+    path = tmp_path / "small.model"
+    path.write_bytes(unigram_model(pieces))
+    score = dict(pieces)
+
+    def marginal(word):
+        w, total = "▁" + word, 0.0
+        for cuts in itertools.product([0, 1], repeat=len(w) - 1):
+            parts = "".join(c + ("\0" if k else "") for c, k in zip(w, (*cuts, 0))).split("\0")
+            if all(p in score for p in parts):
+                total += math.exp(sum(score[p] for p in parts))
+        return math.log10(total)
+
+    texts = ["ab abc", "AbabABC", "c", "", None, "ba ab  ba"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, F.lit(True), model_path=str(path), scores="own").collect()}
+    for i, text in enumerate(texts):
+        assert math.isclose(rows[i], sum(marginal(w) for w in (text or "").lower().split()), rel_tol=1e-6, abs_tol=1e-9)
+    with pytest.raises(ValueError):
+        lm.score_documents(docs, F.lit(True), scores="none")
+
+
+def test_training_takes_a_bounded_number_of_features(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] * 3, "doc_id long, quality int")
+    docs = spark.createDataFrame([(k, ("good fine " if k % 2 else "bad poor ") * 20 + prose(k)) for k in range(200)], "doc_id long, text string")
+    for most in (60_000_000, 6_000):
+        rows = quality.classify(docs, labels, F.lit(True), ["doc_id"], bits=14, max_slots=most).collect()
+        assert sum((r["score"] > 0.5) == bool(r["doc_id"] % 2) for r in rows) > 190
+
+
 def test_memory_of_a_long_word_is_linear():
     code = "from costloom.llm import encoding as E; import resource as R; e = E.encoder_of(E.read_model(), 'bpe'); a = R.getrusage(R.RUSAGE_SELF).ru_maxrss; e.encode({'▁' + 'abcdefghij' * 100000}); print(R.getrusage(R.RUSAGE_SELF).ru_maxrss - a)"
     grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0]).stdout)
