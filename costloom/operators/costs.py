@@ -142,9 +142,14 @@ class Chargeback:
 
     def ruled(self, base: DataFrame, scopes: DataFrame) -> DataFrame:
         """Costs after allocation rules."""
+        return apply_allocation_rules(base, scopes, self.rules, self.source_costs)
+
+    @functools.cached_property
+    def source_costs(self) -> DataFrame:
+        """The rules' source costs, written once."""
         sources = self.rules.where(F.size("source_tags") > 0).select(F.lit(0).cast("long").alias("scope_id"), F.col("source_tags").alias("tags"))
         sources = with_key(sources).dropDuplicates(["tags_key"]).select("scope_id", "tags")
-        return apply_allocation_rules(base, scopes, self.rules, self.raw(sources))
+        return durable(self.raw(sources), "source-costs")
 
     def shares(self) -> tuple[DataFrame, DataFrame]:
         """Namespace shares of processor and memory reservations."""
@@ -155,9 +160,13 @@ class Chargeback:
         return tuple(durable(ns_metric_share(self.kube_metrics, self.entities, m, self.start, self.end), "shares") for m in ("cpu_requests_cores", "memory_requests_bytes"))
 
     def cluster_costs(self) -> DataFrame:
-        """(cluster_id, date, cost): each cluster under its own cluster tag, with rules."""
+        """(cluster_id, date, cost): each cluster under its own cluster tag, with rules; written once."""
+        return self._cluster_costs
+
+    @functools.cached_property
+    def _cluster_costs(self) -> DataFrame:
         clusters = self.entities.where("type = 'kubernetes_cluster'").select(F.col("id").alias("scope_id"), F.create_map(F.lit("cluster"), F.col("name")).alias("tags"))
-        return self.with_k8s(clusters).select(F.col("scope_id").alias("cluster_id"), "date", "cost")
+        return durable(self.with_k8s(clusters).select(F.col("scope_id").alias("cluster_id"), "date", "cost"), "cluster-costs")
 
     def namespace_costs(self, scopes: DataFrame, cluster_costs: DataFrame) -> DataFrame:
         """Allocations of the namespaces that hold each scope's tags."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from costloom.functions.tables import durable
 from costloom.functions.tags import glob_to_regex, tags_contain, tags_key
 from costloom.operators.tagjoin import containing
-from costloom.operators.upsert import current, publish, snapshots
+from costloom.operators.upsert import current, expire, publish, snapshots
 
 
 def closure(entities: DataFrame, pruned: Column | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def stored_closure(entities: DataFrame, folder: str) -> DataFrame:
 
     The folder holds snapshots of the pairs and of the tree that they belong to. Nodes that are new or moved since then are
     worked in by :func:`moved_closure` and a new snapshot is published; with none, nothing is written. Nodes that are gone make
-    a rebuild, as does an empty folder. One writer at a time; readers see the last whole snapshot, and old ones are kept.
+    a rebuild, as does an empty folder. One writer at a time; readers see the last whole snapshot; the one before stays for those that have it open, and older ones go.
     """
     spark = entities.sparkSession
     own = entities.select("id", "parent_id")
@@ -99,6 +99,8 @@ def stored_closure(entities: DataFrame, folder: str) -> DataFrame:
         pairs = closure(own)
     publish(pairs, f"{folder}/pairs")
     publish(own, f"{folder}/tree")
+    for part in ("pairs", "tree"):
+        expire(spark, f"{folder}/{part}")
     return current(spark, f"{folder}/pairs")
 
 

@@ -171,6 +171,15 @@ def publish(df: DataFrame, folder: str) -> int:
     return number
 
 
+def expire(spark: SparkSession, folder: str, keep: int = 2) -> list[int]:
+    """Remove all but the newest ``keep`` whole snapshots and return the removed ones' numbers; what a reader of an older one has open is lost."""
+    old = snapshots(spark, folder)[:-keep]
+    for number in old:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot={number}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return old
+
+
 def current(spark: SparkSession, folder: str) -> DataFrame:
     """The newest whole snapshot of a table."""
     return spark.read.parquet(f"{folder}/snapshot={snapshots(spark, folder)[-1]}")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costloom.functions.tables import shared_folder
+from costloom.operators.hierarchy import stored_closure
 from costloom.sources.standins import Standins, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +47,13 @@ def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def stored_tree(v: Standins) -> DataFrame:
+    """The closure of the view's entities, stored once for all queries of the application over the same tables."""
+    spark = v.spark
+    folder = f"{shared_folder(spark)}/costloom/{spark.sparkContext.applicationId}/closure-{zlib.crc32(v.folder.encode()):08x}"
+    return stored_closure(v.entities, folder)
+
+
 def scopes(v: Standins) -> DataFrame:
     sets = F.array(*[F.create_map(*[F.lit(x) for pair in tags.items() for x in pair]).cast("map<string,string>") for tags in TAG_SETS])
     parents = v.entities.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("scope_id")).distinct()

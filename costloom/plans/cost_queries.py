@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from costloom.functions.tags import tags_key
 from costloom.operators import costs as C
 from costloom.operators import hierarchy as H
-from costloom.plans.catalog import AS_OF, END, EUR_SQL, FITS_SQL, MEMBERS_SQL, RATE, SCOPES_SQL, START, TREE_SQL, query, rounded, scopes
+from costloom.plans.catalog import AS_OF, END, EUR_SQL, FITS_SQL, MEMBERS_SQL, RATE, SCOPES_SQL, START, TREE_SQL, query, rounded, scopes, stored_tree
 
 WINDOW_SQL = f"charge_date >= DATE '{START}' AND charge_date < DATE '{END}'"
 RECENT_SQL = f"updated_at >= DATE '{AS_OF}' - 7"
@@ -26,12 +26,12 @@ def parents(v):
 
 
 def members(v):
-    return H.scope_entities(H.closure(v.entities), v.entities, scopes(v))
+    return H.scope_entities(stored_tree(v), v.entities, scopes(v))
 
 
 def chargeback(v):
     rules = v.spark.createDataFrame(RULES, "rule_id int, source_tags map<string,string>, target_tags map<string,string>, percentage double")
-    return C.Chargeback(v.entities, v.costs, v.kube_metrics, rules, H.closure(v.entities), START, END, RATE)
+    return C.Chargeback(v.entities, v.costs, v.kube_metrics, rules, stored_tree(v), START, END, RATE)
 
 
 #: Allocation rules of the registered queries.
@@ -43,6 +43,19 @@ def entity_closure(v):
     return H.closure(v.entities).select("ancestor", "descendant", "depth")
 
 
+MOVED_SQL = """moved AS (SELECT id, CASE WHEN type = 'vm' AND id % 7 = 0 THEN 100 + (parent_id - 100 + 1) % 25 WHEN id = 103 THEN 2 ELSE parent_id END AS parent_id FROM entities UNION ALL SELECT 5000000 + id, id FROM entities WHERE type = 'vm' AND id % 50 = 0)"""
+
+
+@query("closure_update", f"WITH RECURSIVE {MOVED_SQL}, tree AS (SELECT id AS ancestor, id AS descendant, 0 AS depth FROM moved UNION ALL SELECT ancestor, m.id, depth + 1 FROM tree JOIN moved m ON m.parent_id = descendant) SELECT * FROM tree")
+def closure_update(v):
+    """The stored closure after machines and a cluster have moved and new nodes have come."""
+    e = v.entities
+    to = F.when((F.col("type") == "vm") & (F.col("id") % 7 == 0), 100 + (F.col("parent_id") - 100 + 1) % 25).when(F.col("id") == 103, F.lit(2))
+    moves = e.select("id", to.cast("long").alias("parent_id")).where("parent_id IS NOT NULL")
+    new = e.where("type = 'vm' AND id % 50 = 0").select((F.col("id") + 5_000_000).alias("id"), F.col("id").alias("parent_id"))
+    return H.moved_closure(stored_tree(v), moves.union(new)).select("ancestor", "descendant", "depth")
+
+
 @query("scope_entities", f"WITH RECURSIVE {TREE_SQL}, {MEMBERS_SQL} SELECT * FROM members")
 def scope_entities(v):
     return members(v)
@@ -82,7 +95,7 @@ def tag_key_top(v):
 @query("entity_chain", f"WITH RECURSIVE {TREE_SQL}, up AS (SELECT descendant AS node, ancestor AS id, depth FROM tree WHERE ancestor <> 0 AND descendant > 0) SELECT node, CAST(max(depth) OVER (PARTITION BY node) - depth AS INT) AS position, up.id, name, type FROM up JOIN entities e ON e.id = up.id")
 def entity_chain(v):
     nodes = v.entities.where("id > 0").select(F.col("id").alias("node"))
-    return H.entity_chain(H.closure(v.entities), v.entities, nodes)
+    return H.entity_chain(stored_tree(v), v.entities, nodes)
 
 
 RECENT_TREE_SQL = f"tree AS (SELECT id AS ancestor, id AS descendant, [id] AS path FROM entities UNION ALL SELECT ancestor, e.id, list_append(path, e.id) FROM tree JOIN entities e ON e.parent_id = descendant AND {RECENT_SQL})"

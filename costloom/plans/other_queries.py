@@ -14,6 +14,7 @@ from costloom.operators import costs as C
 from costloom.operators import hierarchy as H
 from costloom.operators import metrics as M
 from costloom.operators import refresh as Y
+from costloom.operators import retention as Z
 from costloom.operators import rightsizing as R
 from costloom.operators import upsert as U
 from costloom.plans.catalog import AS_OF, END, EUR_SQL, METRICS_AS_OF, RATE, START, query, rounded
@@ -356,6 +357,18 @@ def retention_trim(v):
     return M.retention_trim(v.events, "ts", "metrics", METRICS_AS_OF).select("event_id")
 
 
+EDGE = dt.datetime(2024, 1, 24, 12)
+
+
+@query("retention_drop", f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 3) AS total FROM metrics WHERE ts >= TIMESTAMP '{EDGE}' GROUP BY 1")
+def retention_drop(v):
+    """A stored table by day after its retention: older days gone as folders, the edge's day filtered."""
+    path = S.work_folder(v.spark)
+    v.metrics.withColumn("day", F.to_date("ts")).hint("rebalance", F.col("day")).write.partitionBy("day").parquet(path)
+    Z.drop_before(v.spark, path, "day", "ts", EDGE)
+    return v.spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
 @query("metric_value_pick", "SELECT event_id, round(coalesce(CASE WHEN event_id % 2 = 0 THEN value END, CASE WHEN event_id % 3 = 0 THEN value * 2 END, CASE WHEN event_id % 5 = 0 THEN value * 3 END, 0), 4) AS value FROM events")
 def metric_value_pick(v):
     def part(n: int, k: float):
@@ -533,6 +546,23 @@ def prom_matrix_points(v):
     return rows.select("urn", F.col("tags")["app"].alias("app"), F.unix_timestamp("ts").alias("ts"), F.round("value", 4).alias("value"))
 
 
+@query("prom_matrix_rejects", """
+    WITH c AS (SELECT o_custkey AS k, count(*) AS series, count(*) FILTER (o_orderstatus = 'P') AS nameless, count(*) FILTER (o_orderstatus <> 'P' AND o_orderkey % 5 = 0) AS empty FROM orders GROUP BY 1)
+    SELECT reason, count(*) AS payloads, sum(n)::BIGINT AS n FROM (SELECT 'no JSON' AS reason, 1 AS n FROM c WHERE k % 7 = 0 UNION ALL SELECT 'no result', 1 FROM c WHERE k % 7 = 1
+      UNION ALL SELECT 'no namespace', nameless FROM c WHERE k % 7 > 1 AND nameless > 0 UNION ALL SELECT 'no values', empty FROM c WHERE k % 7 > 1 AND empty > 0) GROUP BY 1""")
+def prom_matrix_rejects(v):
+    """Why payloads and series can't be read, over payloads of customers' orders of which some are broken."""
+    names = F.map_filter(F.create_map(F.lit("namespace"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")), F.lit("n"), F.col("o_orderkey").cast("string")), lambda k, x: x.isNotNull())
+    none = F.array().cast("array<array<string>>")
+    values = F.when(F.col("o_orderkey") % 5 == 0, none).otherwise(F.array(F.array(F.lit("1"), F.col("o_totalprice").cast("string"))))
+    per = v.orders.groupBy("o_custkey").agg(F.collect_list(F.struct(names.alias("metric"), values.alias("values"))).alias("result"))
+    whole = F.to_json(F.struct(F.struct("result").alias("data")))
+    body = F.when(F.col("o_custkey") % 7 == 0, F.substring(whole, 1, 20)).when(F.col("o_custkey") % 7 == 1, F.lit('{"data": {"result": "none"}}')).otherwise(whole)
+    rows = P.prom_matrix_rejects(per.select(F.col("o_custkey").cast("string").alias("cluster"), body.alias("payload")))
+    per_payload = rows.groupBy("cluster", "reason").agg(F.count(F.lit(1)).alias("m"))
+    return per_payload.groupBy("reason").agg(F.count(F.lit(1)).alias("payloads"), F.sum("m").alias("n"))
+
+
 @query("krr_scan_rows", "SELECT concat('c', s_nationkey, ':namespace/', s_name) AS urn, 'Deployment' AS workload_type, concat('w', s_suppkey) AS workload, '250m' AS cpu_now, CAST(CAST(s_suppkey AS INT) AS STRING) AS cpu_wanted FROM supplier WHERE s_suppkey % 7 <> 0")
 def krr_scan_rows(v):
     key = F.col("s_suppkey").cast("int").cast("string")

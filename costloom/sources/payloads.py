@@ -10,7 +10,6 @@ from costloom.functions.normalize import arch_of_size, contains_any, first_value
 _STATS = "average:double,maximum:double,minimum:double,total:double,count:double"
 AZURE_METRICS = f"struct<id:string,name:string,`c7n:metrics`:map<string,struct<metrics_data:struct<value:array<struct<timeseries:array<struct<data:array<struct<time_stamp:string,{_STATS}>>>>>>>>>>"
 AWS_METRICS = "struct<InstanceId:string,`c7n.metrics`:map<string,array<struct<Timestamp:string,Average:double,Maximum:double,Minimum:double,Sum:double,SampleCount:double>>>>"
-MATRIX = "struct<data:struct<result:array<struct<metric:map<string,string>,values:array<array<string>>>>>>"
 SCAN = "struct<scans:array<struct<object:struct<namespace:string,name:string,kind:string,container:string,allocations:struct<requests:map<string,string>>>,recommended:struct<requests:map<string,struct<value:string>>>>>>"
 SKUS = "struct<value:array<struct<resourceType:string,name:string,family:string,capabilities:array<struct<name:string,value:string>>>>>"
 INSTANCE_TYPES = "struct<InstanceTypes:array<struct<InstanceType:string,VCpuInfo:struct<DefaultVCpus:int>,MemoryInfo:struct<SizeInMiB:double>,NetworkInfo:struct<NetworkPerformance:string>,ProcessorInfo:struct<SupportedArchitectures:array<string>>,GpuInfo:struct<Gpus:array<struct<Name:string>>>,NitroEnclavesSupport:string,InstanceStorageSupported:boolean,EbsInfo:struct<EbsOptimizedInfo:struct<BaselineIops:double,BaselineThroughputInMBps:double>>>>>"
@@ -33,16 +32,38 @@ def aws_metric_points(payloads: DataFrame) -> DataFrame:
     return one.select("resource_id", "metric", F.to_timestamp("d.Timestamp").alias("ts"), first_value(*[F.col(f"d.{c}") for c in ("Average", "Maximum", "Minimum", "Sum", "SampleCount")]).alias("value"))
 
 
+def matrix_series(payloads: DataFrame) -> DataFrame:
+    """(cluster, series, reason, labels, namespace, points) of range-query payloads (cluster, payload), one row a series.
+
+    Payloads are taken as VARIANT, so that one field of a wrong type doesn't hide the rest. ``reason`` says why
+    nothing can be read: of a whole payload (``no JSON``, ``no result``, and then ``series`` is null) or of a series
+    (``no namespace``, ``no values``); it is null for good ones. An empty result has no rows.
+    """
+    parsed = payloads.select("cluster", F.try_parse_json("payload").alias("v"))
+    parsed = parsed.withColumn("result", F.try_variant_get("v", "$.data.result", "array<variant>"))
+    whole = F.when(F.col("v").isNull(), "no JSON").when(F.col("result").isNull(), "no result")
+    rows = parsed.select("cluster", whole.alias("reason"), F.posexplode_outer("result").alias("series", "s")).where("series IS NOT NULL OR reason IS NOT NULL")
+    labels = F.try_variant_get("s", "$.metric", "map<string,string>")
+    rows = rows.select("cluster", "series", "reason", labels.alias("labels"), F.try_variant_get("s", "$.values", "array<array<string>>").alias("points"))
+    rows = rows.withColumn("namespace", F.try_element_at("labels", F.lit("namespace")))
+    own = F.when(F.col("namespace").isNull(), "no namespace").when(F.coalesce(F.size("points"), F.lit(0)) <= 0, "no values")
+    return rows.withColumn("reason", F.coalesce("reason", own))
+
+
 def prom_matrix_points(payloads: DataFrame) -> DataFrame:
     """(urn, namespace, tags, ts, value) from range-query payloads (cluster, payload).
 
-    ``label_*`` labels become tags; series without a namespace or values are dropped.
+    ``label_*`` labels become tags. What can't be read is in :func:`prom_matrix_rejects`; values that are no numbers are null.
     """
-    p = payloads.select("cluster", F.explode(F.from_json("payload", MATRIX)["data"]["result"]).alias("r"))
-    p = p.withColumn("namespace", F.try_element_at("r.metric", F.lit("namespace"))).where("namespace IS NOT NULL AND size(r.values) > 0")
-    tags = F.transform_keys(F.map_filter("r.metric", lambda k, v: k.startswith("label_")), lambda k, v: F.substring(k, 7, 1000))
-    v = p.select(F.concat("cluster", F.lit(":namespace/"), "namespace").alias("urn"), "namespace", tags.alias("tags"), F.explode("r.values").alias("v"))
-    return v.select("urn", "namespace", "tags", F.timestamp_seconds(F.col("v")[0].cast("double")).alias("ts"), F.col("v")[1].cast("double").alias("value"))
+    p = matrix_series(payloads).where("reason IS NULL")
+    tags = F.transform_keys(F.map_filter("labels", lambda k, v: k.startswith("label_")), lambda k, v: F.substring(k, 7, 1000))
+    v = p.select(F.concat("cluster", F.lit(":namespace/"), "namespace").alias("urn"), "namespace", tags.alias("tags"), F.explode("points").alias("v"))
+    return v.select("urn", "namespace", "tags", F.timestamp_seconds(F.get("v", F.lit(0)).try_cast("double")).alias("ts"), F.get("v", F.lit(1)).try_cast("double").alias("value"))
+
+
+def prom_matrix_rejects(payloads: DataFrame) -> DataFrame:
+    """(cluster, series, reason) of the payloads and series that :func:`prom_matrix_points` leaves out."""
+    return matrix_series(payloads).where("reason IS NOT NULL").select("cluster", "series", "reason")
 
 
 def krr_scan_rows(payloads: DataFrame) -> DataFrame:

@@ -103,3 +103,30 @@ def test_the_best_fits_lie_in_the_band(spark, k):
     assert {(r["id"], r["position"], r["candidate_price"], r["candidate"], tuple(r["warnings"])) for r in got} == want and len(got) == len(want)
     offers = R.offers_of(h, p)
     assert R.skyband(offers, [*R.KEY, "c_is_gpu"], k).count() < offers.count()
+
+
+def test_retention_leaves_kept_days_alone(spark, tmp_path):
+    import datetime as dt
+
+    from costloom.operators import retention as Z
+
+    path = str(tmp_path / "t")
+    rows = [(i, dt.datetime(2024, 1, d, h)) for i, (d, h) in enumerate([(1, 3), (2, 5), (3, 6), (3, 18), (4, 1), (5, 2)])] + [(9, None)]
+    spark.createDataFrame(rows, "id int, ts timestamp").withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(path)
+    kept = {p: p.stat().st_mtime_ns for d in ("2024-01-04", "2024-01-05", "__HIVE_DEFAULT_PARTITION__") for p in (tmp_path / "t" / f"day={d}").glob("*.parquet")}
+    cutoff = dt.datetime(2024, 1, 3, 12)
+    assert Z.drop_before(spark, path, "day", "ts", cutoff) == {"gone": ["2024-01-01", "2024-01-02"], "rewritten": ["2024-01-03"]}
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [3, 4, 5, 9]
+    assert Z.drop_before(spark, path, "day", "ts", cutoff)["gone"] == []
+    assert all(p.stat().st_mtime_ns == t for p, t in kept.items())
+    assert Z.drop_before(spark, path, "day", "ts", dt.datetime(2024, 1, 5))["gone"] == ["2024-01-03", "2024-01-04"]
+    assert Z.drop_before(spark, path, "day", "ts", dt.datetime(2024, 1, 5, 9))["gone"] == ["2024-01-05"]
+
+
+def test_old_snapshots_go(spark, tmp_path):
+    from costloom.operators.upsert import current, expire, publish
+
+    folder = str(tmp_path / "s")
+    for n in range(4):
+        publish(spark.range(n + 1), folder)
+    assert expire(spark, folder, keep=2) == [1, 2] and snapshots(spark, folder) == [3, 4] and current(spark, folder).count() == 4
