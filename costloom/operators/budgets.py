@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from costloom.functions.tables import durable
+
 
 def asof(wanted: DataFrame, known: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
     """Rows of ``wanted`` (keys, time, others) with the latest ``values`` of ``known`` at or before their time.
@@ -185,8 +187,10 @@ def autoregressed(series: DataFrame, keys: list[str], end: dt.date, least: int,
 
     The first week of a series has no fitted values. Forecasts follow from each other, as a fold over the horizon.
     """
+    # read several times, and small beside what they come from
+    series = durable(series.select(*keys, "date", "cost"), "series")
     rows = lagged(series, keys, max(least, 8))
-    fitted = fit_autoregression(rows, keys)
+    fitted = durable(fit_autoregression(rows, keys), "autoregression")
     step = F.col("c") + F.col("f1") * F.col("l1") + F.col("f2") * F.col("l2") + F.col("f7") * F.col("l7")
     past = rows.join(fitted, keys).select(*keys, "date", F.lit("fit").alias("kind"), "y", step.alias("yhat"), (step + z * F.col("dev")).alias("hi"))
     # the last week of each series, newest last
@@ -209,12 +213,14 @@ def autoregressed(series: DataFrame, keys: list[str], end: dt.date, least: int,
 MODELS: dict[str, Callable[..., DataFrame]] = {"ets": smoothed, "ar": autoregressed}
 
 
-def forecast(series: DataFrame, keys: list[str], end: dt.date, least: int = 14, z: float = 1.96, model: str | Callable[..., DataFrame] = "ets") -> DataFrame:
+def forecast(series: DataFrame, keys: list[str], end: dt.date, least: int = 14, z: float = 1.96, model: str | Callable[..., DataFrame] = "ets", legacy_horizon: bool = False) -> DataFrame:
     """(keys, date, kind, y, yhat, hi): fitted values and forecasts up to ``end`` (exclusive) of every series.
 
     One job over all series; a series shorter than ``least`` days gets no rows. ``hi`` is the
     fitted value plus ``z`` residual deviations. ``model`` is a name in :data:`MODELS` or a function like those.
+    ``legacy_horizon`` takes ``end`` in, as tools do that count the days from the cutoff to the next month's first.
     """
+    end = end + dt.timedelta(days=1) if legacy_horizon else end
     if isinstance(model, str):
         if model not in MODELS:
             raise ValueError(f"no forecast model {model}")

@@ -73,10 +73,13 @@ def candidate_warnings() -> Column:
     return F.array_sort(F.filter(found, lambda x: x.isNotNull()))
 
 
-def offers_of(hardware: DataFrame, pricing: DataFrame, excluded: Column | None = None) -> DataFrame:
-    """Priced types with their hardware in ``c_`` columns; those that fit a glob pattern of ``excluded`` are left out."""
+def offers_of(hardware: DataFrame, pricing: DataFrame, excluded: Column | None = None, net_capacity: str = "throughput") -> DataFrame:
+    """Priced types with their hardware in ``c_`` columns; those that fit a glob pattern of ``excluded`` are left out.
+
+    ``net_capacity`` is the hardware column that a machine's network needs are held against; null there is no limit.
+    """
     offers = pricing.where("hourly_price > 0").join(hardware, ["cloud", "instance_type"])
-    offers = offers.select(F.col("cloud").alias("provider"), "region", "os", F.col("instance_type").alias("candidate"), F.col("hourly_price").alias("candidate_price"), F.col("vcpu").alias("c_vcpu"), F.col("memory_gb").alias("c_memory"), "baseline_iops", "throughput", *[F.col(f).alias("c_" + f) for f in FLAGS])
+    offers = offers.select(F.col("cloud").alias("provider"), "region", "os", F.col("instance_type").alias("candidate"), F.col("hourly_price").alias("candidate_price"), F.col("vcpu").alias("c_vcpu"), F.col("memory_gb").alias("c_memory"), "baseline_iops", F.col(net_capacity).cast("double").alias("throughput"), *[F.col(f).alias("c_" + f) for f in FLAGS])
     return offers if excluded is None else offers.where(~F.exists(excluded, lambda p: F.like(F.col("candidate"), glob_to_like(p))))
 
 
@@ -159,13 +162,13 @@ def warnings_of(mask: Column) -> Column:
     return F.array_sort(F.filter(names, lambda x: x.isNotNull()))
 
 
-def best_candidates(needs: DataFrame, hardware: DataFrame, pricing: DataFrame, excluded: Column | None = None, k: int = 10, salts: int = 8) -> DataFrame:
+def best_candidates(needs: DataFrame, hardware: DataFrame, pricing: DataFrame, excluded: Column | None = None, k: int = 10, salts: int = 8, net_capacity: str = "throughput") -> DataFrame:
     """(id, position, candidate, candidate_price, warnings): the ``k`` cheapest fits of every machine, by price and name.
 
     Machines meet one array of the offers that can be among the best; their fits are picked inside the row, so
     at most ``k`` rows a machine are made.
     """
-    offers = skyband(offers_of(hardware, pricing, excluded), [*KEY, "c_is_gpu"], k)
+    offers = skyband(offers_of(hardware, pricing, excluded, net_capacity), [*KEY, "c_is_gpu"], k)
     asked = needs.select("id", *KEY, "need_vcpu", "need_ram", "need_iops", "need_net", *FLAGS)
     picked = with_ladder(asked, offers, salts).withColumn("__best", F.slice(F.filter("ladder", fits), 1, k))
     found = F.transform("__best", lambda x: F.struct(x["candidate"].alias("candidate"), x["candidate_price"].alias("candidate_price"), warnings_of(warning_mask(x)).alias("warnings")))
@@ -196,7 +199,7 @@ def cheapest(vms: DataFrame, offers: DataFrame, salts: int = 8) -> DataFrame:
     return walked.select("id", "x.candidate", "x.candidate_price", warnings_of(F.col("x.mask")).alias("warnings"))
 
 
-def vm_rightsize(needs: DataFrame, hardware: DataFrame, pricing: DataFrame, daily_cost: DataFrame, excluded: Column | None = None) -> DataFrame:
+def vm_rightsize(needs: DataFrame, hardware: DataFrame, pricing: DataFrame, daily_cost: DataFrame, excluded: Column | None = None, net_capacity: str = "throughput") -> DataFrame:
     """(id, status, action, position, recommended, warnings, daily_cost, monthly_savings, savings_percent).
 
     Per machine: the cheapest candidate below the present price for every distinct set of warnings,
@@ -208,7 +211,7 @@ def vm_rightsize(needs: DataFrame, hardware: DataFrame, pricing: DataFrame, dail
     known = durable(needs.withColumn("idle", vm_idle()).join(present, ["provider", "region", "os", "instance_type"], "left").join(daily_cost, "id", "left"), "machines")
     vms = known.select("id", "instance_type", "idle", "price", F.coalesce("daily_cost", F.lit(0.0)).alias("daily_cost"))
     asked = known.select("id", "provider", "region", "os", "price", "need_vcpu", "need_ram", "need_iops", "need_net", *FLAGS)
-    rows = cheapest(asked, offers_of(hardware, pricing, excluded)).join(vms, "id")
+    rows = cheapest(asked, offers_of(hardware, pricing, excluded, net_capacity)).join(vms, "id")
     key = F.array_join("warnings", "|")
     order = W.partitionBy("id").orderBy("candidate_price", "candidate")
     rows = rows.withColumn("position", F.row_number().over(order))

@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from costloom.functions import normalize as N
-from costloom.functions.tags import tags_key
+from costloom.functions.tables import durable
+from costloom.functions.tags import tags_contain, tags_key
 from costloom.functions.timegrid import align, iso_period_minutes
 from costloom.operators import budgets as B
 from costloom.operators import costs as C
@@ -193,8 +194,8 @@ def budget_breach(v):
 def fbad_job(v):
     """The nightly pass: forecasts of all budgeted scopes, cost anomalies and budget breaches."""
     active = B.budget_active_scopes(v.budgets, START, SCOPE)
-    series = B.series_prepare(cluster_daily(v).join(active, SCOPE, "left_semi"), SCOPE, CUTOFF)
-    rows = B.forecast(series, SCOPE, END, model="ar")
+    series = durable(B.series_prepare(cluster_daily(v).join(active, SCOPE, "left_semi"), SCOPE, CUTOFF), "series")
+    rows = durable(B.forecast(series, SCOPE, END, model="ar"), "fitted")
     past = series.where(F.col("date") >= F.lit(START)).select("scope_id", "date", F.col("cost").alias("value"), F.lit(False).alias("is_forecast"))
     ahead = rows.where("kind = 'forecast'").select("scope_id", "date", F.greatest("yhat", F.lit(0.0)).alias("value"), F.lit(True).alias("is_forecast"))
     limits = B.budget_asof(v.budgets, active.withColumn("month", F.lit(START)), SCOPE).drop("month")
@@ -203,6 +204,51 @@ def fbad_job(v):
     return rounded(found.unionByName(breaches), "actual_cost", "threshold", "delta")
 
 
+#: The budgets of tagged scopes: each cluster's machines alone and those of one tier, with a part of the limit.
+BUDGET_TAGS = [({}, 1.0), ({"tier": "gold"}, 0.3)]
+TAGGED_SQL = CLUSTER_DAILY_SQL.replace("cluster_daily AS (SELECT e.id AS scope_id,", "cluster_daily AS (SELECT concat(e.id, '|', tags_key) AS scope_id,").replace("FROM entities e CROSS JOIN days d", """FROM entities e CROSS JOIN days d CROSS JOIN (VALUES ('{}', NULL), ('{"tier":"gold"}', 'gold')) AS w(tags_key, w_tier)""").replace("SELECT parent_id, charge_date,", "SELECT parent_id, tier, charge_date,").replace("x.charge_date = d.date", "x.charge_date = d.date AND (w_tier IS NULL OR x.tier = w_tier)")
+
+
+def tagged_scopes(v, clusters, *more):
+    """Every budgeted tag set of clusters (scope_id), with its part of the limit."""
+    sets = F.array(*[F.struct(F.create_map(*[F.lit(x) for pair in t.items() for x in pair]).cast("map<string,string>").alias("tags"), F.lit(part).alias("part")) for t, part in BUDGET_TAGS])
+    return clusters.select("scope_id", *more, F.explode(sets).alias("w")).select("scope_id", *more, "w.tags", "w.part").withColumn("tags_key", tags_key(F.col("tags")))
+
+
+def tagged_daily(v):
+    """Daily EUR costs of every cluster's machines that hold each budgeted tag set."""
+    start = START - dt.timedelta(days=35)
+    clusters = v.entities.where("type = 'kubernetes_cluster'").select(F.col("id").alias("scope_id"))
+    scopes = tagged_scopes(v, clusters)
+    own = v.entities.select(F.col("id").alias("entity_id"), F.col("parent_id").alias("scope_id"), F.col("tags").alias("own_tags"))
+    members = own.join(scopes, "scope_id").where(tags_contain(F.col("own_tags"), F.col("tags"))).select("entity_id", "scope_id", "tags_key")
+    sums = C.entity_daily(v.costs, start, END, RATE).join(members, "entity_id").groupBy("scope_id", "tags_key", "date").agg(F.sum("cost").alias("cost"))
+    return C.gap_filled(scopes.select("scope_id", "tags_key"), sums, ["scope_id", "tags_key"], start, END, "cost")
+
+
+@query("fbad_job_tags", f"""
+    WITH RECURSIVE {AR_SQL.replace(CLUSTER_DAILY_SQL, TAGGED_SQL)},
+    lim AS (SELECT concat(scope_id, '|', tags_key) AS scope_id, arg_max(limit_amount, month) * any_value(part) AS threshold FROM budgets CROSS JOIN (VALUES ('{{}}', 1.0), ('{{"tier":"gold"}}', 0.3)) AS w(tags_key, part) WHERE month <= DATE '{START}' GROUP BY budgets.scope_id, tags_key),
+    days2 AS (SELECT scope_id, date, y AS value, false AS ahead FROM ser WHERE date >= DATE '{START}' UNION ALL SELECT scope_id, date, greatest(yhat, 0), true FROM fitted WHERE kind = 'forecast'),
+    r AS (SELECT *, sum(value) OVER (PARTITION BY scope_id ORDER BY date) AS total FROM days2 JOIN lim USING (scope_id)),
+    g AS (SELECT scope_id, max(threshold) AS threshold, max(total) AS projected, max(CASE WHEN ahead THEN date END) AS last_day, min(CASE WHEN ahead THEN date END) AS first_ahead, min(CASE WHEN total > threshold THEN date END) AS first_over FROM r GROUP BY 1),
+    found AS (SELECT scope_id, anomaly_date, anomaly_type, actual_cost, threshold, delta FROM ({ANOMALY_SQL}) WHERE scope_id IN (SELECT scope_id FROM lim)
+      UNION ALL SELECT DISTINCT scope_id, unnest(CASE WHEN first_over >= first_ahead THEN [last_day, first_over] ELSE [last_day] END), 'budget', round(projected, 4), round(threshold, 4), round(projected - threshold, 4) FROM g WHERE projected > threshold AND last_day IS NOT NULL)
+    SELECT split_part(scope_id, '|', 1)::BIGINT AS scope_id, split_part(scope_id, '|', 2) AS tags_key, anomaly_date, anomaly_type, actual_cost, threshold, delta FROM found""")
+def fbad_job_tags(v):
+    """The nightly pass over budgets of scopes and tags: every step is keyed by both."""
+    keys = ["scope_id", "tags_key"]
+    budgets = tagged_scopes(v, v.budgets, "month", "limit_amount").withColumn("limit_amount", F.col("limit_amount") * F.col("part"))
+    active = B.budget_active_scopes(budgets, START, keys)
+    series = durable(B.series_prepare(tagged_daily(v).join(active, keys, "left_semi"), keys, CUTOFF), "series")
+    rows = durable(B.forecast(series, keys, END, model="ar"), "fitted")
+    past = series.where(F.col("date") >= F.lit(START)).select(*keys, "date", F.col("cost").alias("value"), F.lit(False).alias("is_forecast"))
+    ahead = rows.where("kind = 'forecast'").select(*keys, "date", F.greatest("yhat", F.lit(0.0)).alias("value"), F.lit(True).alias("is_forecast"))
+    limits = B.budget_asof(budgets, active.withColumn("month", F.lit(START)), keys).drop("month")
+    found = B.anomaly_detect(rows, keys).drop("predicted_cost").unionByName(B.budget_breach(past.union(ahead), limits, keys))
+    return rounded(found, "actual_cost", "threshold", "delta")
+
+
 @query("forecast_save", "WITH n AS (SELECT scope_id, target_month, forecast_date, projected_amount * 2 AS p FROM forecast_history WHERE day(forecast_date) % 2 = 0) SELECT f.scope_id, f.target_month, f.forecast_date, round(coalesce(n.p, f.projected_amount), 4) AS projected_amount FROM forecast_history f LEFT JOIN n ON n.scope_id = f.scope_id AND n.target_month = f.target_month AND n.forecast_date = f.forecast_date")
 def forecast_save(v):
     new = v.forecast_history.where("day(forecast_date) % 2 = 0").withColumn("projected_amount", F.col("projected_amount") * 2)

@@ -130,3 +130,10 @@ def test_rates_hold_until_the_next_one(spark):
     rates = spark.createDataFrame([("USD", day(1), 0.5), ("USD", day(3), 0.25), ("USD", day(4), 9.0), ("GBP", day(2), 1.5)], "currency string, date date, rate double")
     got = {(r["currency"], r["charge_date"]): r["cost_eur"] for r in B.in_euro(costs, rates).collect()}
     assert got == {("USD", day(3)): 2.5, ("USD", day(0)): None, ("EUR", day(0)): 7.0, ("GBP", day(9)): 1.5, (None, day(1)): None}
+
+
+def test_the_legacy_horizon_has_one_day_more(spark):
+    df = spark.createDataFrame([(1, day(k), float(k % 7 + 1)) for k in range(28)], SHAPE)
+    for model in B.MODELS:
+        days = [[r["date"] for r in B.forecast(df, ["scope_id"], day(31), model=model, legacy_horizon=h).where("kind = 'forecast'").orderBy("date").collect()] for h in (False, True)]
+        assert days == [[day(28), day(29), day(30)], [day(28), day(29), day(30), day(31)]]
