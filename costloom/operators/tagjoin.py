@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costloom.functions.tables import durable
 from costloom.functions.tags import tags_contain
 
 #: Rows of one tag that a task should get.
@@ -24,14 +23,14 @@ def candidates(tagged: DataFrame, rules: DataFrame, rule_tags: str, tags: str =
     rules = rules.where(F.size(rule_tags) > 0)
     entries = rules.select(F.explode(F.map_entries(rule_tags)).alias("e")).select(F.col("e.key").alias("__k"), F.col("e.value").alias("__v")).distinct()
     pairs = tagged.select(F.explode(tags).alias(*_KEY))
-    counts = durable(pairs.join(entries, _KEY, "left_semi").groupBy(*_KEY).agg(F.count(F.lit(1)).alias("__n")), "tag-counts")
+    counts = pairs.join(entries, _KEY, "left_semi").groupBy(*_KEY).agg(F.count(F.lit(1)).alias("__n"))
     numbered = rules.withColumn("__rule", F.xxhash64(F.to_json(rule_tags)))
     # the rarest tag of each distinct set of tags
     sets = numbered.select("__rule", rule_tags).dropDuplicates(["__rule"])
     each = sets.select("__rule", F.size(rule_tags).alias("__size"), F.explode(F.map_entries(rule_tags)).alias("e")).select("__rule", "__size", F.col("e.key").alias("__k"), F.col("e.value").alias("__v"))
     known = each.join(counts, _KEY).groupBy("__rule").agg(F.count(F.lit(1)).alias("__held"), F.max("__size").alias("__size"), F.min(F.struct("__n", *_KEY)).alias("__rarest"))
     parts = F.ceil(F.col("__rarest.__n") / hot_rows).cast("int")
-    chosen = durable(known.where("__held = __size").select("__rule", F.col("__rarest.__k").alias("__k"), F.col("__rarest.__v").alias("__v"), parts.alias("__parts")), "rarest-tags")
+    chosen = known.where("__held = __size").select("__rule", F.col("__rarest.__k").alias("__k"), F.col("__rarest.__v").alias("__v"), parts.alias("__parts"))
     looked = chosen.select(*_KEY, "__parts").distinct()
     rows = tagged.select("*", F.explode(tags).alias(*_KEY)).join(looked, _KEY)
     rows = rows.withColumn("__part", F.pmod(F.xxhash64(F.to_json(F.struct(*tagged.columns))), F.col("__parts")).cast("int")).drop("__parts")

@@ -130,3 +130,13 @@ def test_old_snapshots_go(spark, tmp_path):
     for n in range(4):
         publish(spark.range(n + 1), folder)
     assert expire(spark, folder, keep=2) == [1, 2] and snapshots(spark, folder) == [3, 4] and current(spark, folder).count() == 4
+
+
+def test_the_network_capacity_is_a_choice(spark):
+    flags = "architecture string, is_gpu boolean, is_confidential boolean, has_local_storage boolean, supports_premium boolean"
+    rest = ("x86_64", False, False, False, True)
+    h = spark.createDataFrame([("aws", "a", 4, 8.0, None, 10.0, 1000.0, *rest), ("aws", "b", 4, 8.0, None, None, 100.0, *rest)], f"cloud string, instance_type string, vcpu int, memory_gb double, baseline_iops double, throughput double, network_mbps double, {flags}")
+    p = spark.createDataFrame([("aws", "a", "r", "linux", 2.0), ("aws", "b", "r", "linux", 1.0)], "cloud string, instance_type string, region string, os string, hourly_price double")
+    n = spark.createDataFrame([(1, "aws", "r", "linux", 1.0, 1.0, 0.0, 500.0, *rest)], f"id long, provider string, region string, os string, need_vcpu double, need_ram double, need_iops double, need_net double, {flags}")
+    for column, best in (("throughput", "b"), ("network_mbps", "a")):
+        assert [r["candidate"] for r in R.best_candidates(n, h, p, net_capacity=column).collect()] == [best]
