@@ -508,6 +508,22 @@ def focus_scan(v):
     return rows.groupBy(N.provider_of(F.col("ProviderName")).alias("provider")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("EffectiveCost"), 2).alias("cost"), F.min("start_date").alias("first"))
 
 
+@query("focus_stream", "SELECT CASE WHEN ProviderName LIKE 'Amazon%' THEN 'aws' WHEN ProviderName LIKE 'Micro%' THEN 'azure' ELSE 'unknown' END AS provider, count(*) AS n, round(sum(EffectiveCost), 2) AS cost, min(start_date) AS first FROM focus_raw GROUP BY 1")
+def focus_stream(v):
+    """Two exports that manifests name as they arrive; the second has its columns otherwise and one more, and its manifest names the first one's files again."""
+    folder = S.work_folder(v.spark)
+    raw = v.focus_raw.select("*", F.col("start_date").alias("ChargePeriodStart"), F.col("end_date").alias("ChargePeriodEnd")).drop("start_date", "end_date")
+    shape = "export string, run long, completed timestamp, files array<string>"
+    parts = [raw.where("ProviderName LIKE 'Amazon%'"), raw.where("ProviderName NOT LIKE 'Amazon%'").withColumn("New", F.lit("x")).select("New", *reversed(raw.columns))]
+    for k, part in enumerate(parts):
+        part.write.option("header", True).option("compression", "gzip").csv(f"{folder}/export{k}")
+        files = [f"{folder}/export{i}" for i in range(k + 1)]
+        v.spark.createDataFrame([("e", k, dt.datetime(2024, 1, 1 + k), files), ("e", 9, None, ["nowhere"])], shape).coalesce(1).write.mode("append").json(f"{folder}/manifests")
+        X.export_stream(v.spark.readStream.schema(shape).json(f"{folder}/manifests"), f"{folder}/out").awaitTermination()
+    rows = X.with_dates(v.spark.read.parquet(f"{folder}/out/rows"))
+    return rows.groupBy(N.provider_of(F.col("ProviderName")).alias("provider")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("EffectiveCost"), 2).alias("cost"), F.min("start_date").alias("first"))
+
+
 @query("focus_daily_charges", f"SELECT {', '.join(CHARGE_COLUMNS[:-1])}, round(billed_cost, 4) AS billed_cost FROM ({DAILY_CHARGES_SQL})")
 def focus_daily_charges(v):
     return rounded(X.focus_daily_charges(v.focus_raw, FOCUS_CUTOFF).select(*CHARGE_COLUMNS), "billed_cost")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costloom.functions.normalize import account_of, provider_of
+from costloom.operators.upsert import exists
 
 TEXTS = ["ProviderName", "BillingAccountId", "BillingAccountName", "SubAccountId", "SubAccountName", "RegionId", "ResourceId", "ResourceName", "ResourceType", "ServiceCategory", "ServiceName", "SkuPriceId", "ChargeCategory", "BillingCurrency", "Tags"]
 FOCUS = T.StructType([T.StructField(c, T.StringType()) for c in TEXTS] + [T.StructField("EffectiveCost", T.DoubleType()), T.StructField("ChargePeriodStart", T.TimestampType()), T.StructField("ChargePeriodEnd", T.TimestampType())])
@@ -22,6 +23,61 @@ def focus_scan(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in FOCUS.fields])
 
 
+#: The column with the text of a row that can't be read.
+CORRUPT = "corrupt"
+
+
+def read_exports(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Rows of export files or folders (CSV with a header, also gzip), whose headers may differ.
+
+    Columns are taken by name: those that a file lacks are null, those that the layout doesn't know are in the map ``extra``.
+    A row with too few or too many fields, or whose cost or times can't be read, has its text in ``corrupt``, else null. ``file`` is
+    where it comes from. Files with one header are one scan; headers are read file by file on the driver.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for f in files:
+        groups.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
+    out = None
+    for header, own in sorted(groups.items()):
+        shape = T.StructType([T.StructField(c, T.StringType()) for c in (*header, CORRUPT)])
+        rows = spark.read.schema(shape).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(own)
+        rows = rows.withColumn("file", F.col("_metadata.file_path"))
+        known = {f.name: f.dataType for f in FOCUS.fields}
+        unread = F.lit(False)
+        for c, kind in known.items():
+            if c in header and not isinstance(kind, T.StringType):
+                unread = unread | (F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull())
+        more = [c for c in header if c not in known]
+        extra = F.create_map(*[x for c in more for x in (F.lit(c), F.col(c))]) if more else F.create_map()
+        text = F.coalesce(F.col(CORRUPT), F.when(unread, F.to_json(F.struct(*header))))
+        part = rows.select(*[(F.col(c).try_cast(kind) if c in header else F.lit(None).cast(kind)).alias(c) for c, kind in known.items()], extra.cast("map<string,string>").alias("extra"), text.alias(CORRUPT), "file")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], T.StructType([*FOCUS.fields, T.StructField("extra", T.MapType(T.StringType(), T.StringType())), T.StructField(CORRUPT, T.StringType()), T.StructField("file", T.StringType())]))
+
+
+def export_stream(manifests: DataFrame, folder: str, **trigger):
+    """Read the files that a stream of manifests (export, run, completed, files) names, each once.
+
+    Of a batch's manifests the newest completed runs count (:func:`export_latest_manifest`); files that an earlier batch has read
+    are left out. Good rows go to ``rows``, the others to ``rejects``, and the names of the files to ``files`` under ``folder``, one
+    part a batch, which is written anew if the batch comes again. The query's checkpoint lies there as well.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        files = export_latest_manifest(batch).select("file").distinct()
+        if exists(spark, f"{folder}/files"):
+            before = spark.read.parquet(f"{folder}/files").where(F.col("batch") < batch_id)
+            files = files.join(before, "file", "left_anti")
+        names = sorted(r["file"] for r in files.collect())  # a batch's files
+        rows = read_exports(spark, names)
+        rows.where(f"{CORRUPT} IS NULL").drop(CORRUPT).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        rows.where(f"{CORRUPT} IS NOT NULL").select(CORRUPT, "file").write.mode("overwrite").parquet(f"{folder}/rejects/batch={batch_id}")
+        spark.createDataFrame([(n,) for n in names], "file string").write.mode("overwrite").parquet(f"{folder}/files/batch={batch_id}")
+
+    return manifests.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+
+
 def with_dates(raw: DataFrame) -> DataFrame:
     """Scanned rows with their charge period as dates."""
     return raw.withColumn("start_date", F.to_date("ChargePeriodStart")).withColumn("end_date", F.to_date("ChargePeriodEnd"))

@@ -96,3 +96,24 @@ def test_only_touched_buckets_are_computed_again(spark, tmp_path):
     Y.refresh_rollup(points, path, touched.limit(0))
     whole = M.rollup_first(points.where("ts < '2024-01-09 01:00:00'"))
     assert sorted((r["bucket"], r["entity_id"], r["avg_value"]) for r in whole.collect()) == sorted((r["bucket"], r["entity_id"], r["avg_value"]) for r in spark.read.parquet(path).collect())
+
+
+def test_exports_are_read_once_with_their_own_headers(spark, tmp_path):
+    from costloom.sources import focus as X
+
+    folder = str(tmp_path)
+    (tmp_path / "a.csv").write_text("ProviderName,ResourceId,EffectiveCost,ChargePeriodStart\nAWS,r1,1.5,2024-01-01T00:00:00Z\nAWS,r2,cheap,2024-01-01T00:00:00Z\nAWS,r3\n")
+    (tmp_path / "b.csv").write_text('EffectiveCost,x_Team,ProviderName,ResourceId\n2.5,red,"Micro, soft",r4\n,blue,AWS,r5\n')
+    shape = "export string, run long, completed timestamp, files array<string>"
+
+    def run(rows):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").json(f"{folder}/manifests")
+        X.export_stream(spark.readStream.schema(shape).json(f"{folder}/manifests"), f"{folder}/out").awaitTermination()
+        return sorted((r["ResourceId"], r["EffectiveCost"], r["extra"].get("x_Team")) for r in spark.read.parquet(f"{folder}/out/rows").collect())
+
+    a, b = f"{folder}/a.csv", f"{folder}/b.csv"
+    assert run([("e", 1, at(1), [a]), ("e", 2, None, [b])]) == [("r1", 1.5, None)]
+    assert run([("e", 3, at(2), [a, b])]) == [("r1", 1.5, None), ("r4", 2.5, "red"), ("r5", None, "blue")]
+    assert run([("e", 4, at(3), [a])]) == [("r1", 1.5, None), ("r4", 2.5, "red"), ("r5", None, "blue")]
+    bad = spark.read.parquet(f"{folder}/out/rejects").collect()
+    assert len(bad) == 2 and all(r["file"].endswith("a.csv") for r in bad) and any("cheap" in r["corrupt"] for r in bad) and any(r["corrupt"] == "AWS,r3" for r in bad)
