@@ -51,3 +51,15 @@ def test_no_cut_in_the_registered_lists(spark):
     rows = QUERIES["vm_candidates"](spark, "/root/testdata/sf0.001")
     assert rows.groupBy("id").count().agg(F.max("count")).first()[0] > 10
     assert "position <=" not in ORACLES["vm_candidates"]
+
+
+def test_warnings_are_counted_over_all_fits(spark, fleet):
+    needs, hardware, pricing, n, h, p = fleet
+    want = {}
+    for *_, found in fits_of(needs, hardware, pricing, "t00"):
+        want[found] = want.get(found, 0) + 1
+    got = R.warning_counts(n, h, p, F.array(F.lit("t00*"))).collect()
+    assert {tuple(r["warnings"]): r["n"] for r in got} == want and len(got) == len(want)
+    few = "/root/testdata/sf0.001"
+    total = QUERIES["vm_candidate_warnings"](spark, few).agg(F.sum("n")).first()[0]
+    assert total == QUERIES["vm_candidates"](spark, few).count() and "position <=" not in ORACLES["vm_candidate_warnings"]
