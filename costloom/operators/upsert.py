@@ -90,8 +90,13 @@ def surrogate(external_id: Column) -> Column:
 
 
 def pricing_dedupe(prices: DataFrame) -> DataFrame:
-    """The cheapest row per cloud, type, region and system."""
-    return prices.groupBy("cloud", "instance_type", "region", "os").agg(F.min("hourly_price").alias("hourly_price"))
+    """The cheapest row per cloud, type, region and system.
+
+    Prices are dealt out by key before they are grouped: hardly any repeat, so a task that grouped what it read would hold
+    all of it, and a small file with many rows makes few tasks.
+    """
+    keys = ["cloud", "instance_type", "region", "os"]
+    return prices.repartition(*keys).groupBy(*keys).agg(F.min("hourly_price").alias("hourly_price"))
 
 
 def lowered(rows: DataFrame, *columns: str) -> DataFrame:

@@ -63,3 +63,14 @@ def test_warnings_are_counted_over_all_fits(spark, fleet):
     few = "/root/testdata/sf0.001"
     total = QUERIES["vm_candidate_warnings"](spark, few).agg(F.sum("n")).first()[0]
     assert total == QUERIES["vm_candidates"](spark, few).count() and "position <=" not in ORACLES["vm_candidate_warnings"]
+
+
+def test_prices_are_grouped_after_they_are_dealt_out(spark):
+    from costloom.operators.upsert import pricing_dedupe
+
+    rows = spark.createDataFrame([("aws", "t1", "a", "linux", 2.0), ("aws", "t1", "a", "linux", 1.0), ("aws", "t2", "a", "linux", 3.0)], PRICING)
+    out = pricing_dedupe(rows)
+    assert sorted(tuple(r) for r in out.collect()) == [("aws", "t1", "a", "linux", 1.0), ("aws", "t2", "a", "linux", 3.0)]
+    # children stand below their parents: no grouping below the only exchange
+    plan = pricing_dedupe(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
