@@ -74,3 +74,26 @@ def test_prices_are_grouped_after_they_are_dealt_out(spark):
     # children stand below their parents: no grouping below the only exchange
     plan = pricing_dedupe(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
+
+
+def test_the_cheapest_fits_of_every_machine(spark, fleet):
+    needs, hardware, pricing, n, h, p = fleet
+    limits = {i: [None, 0.0, 4.0, 8.0][i % 4] for i, *_ in needs}
+    want = set()
+    for i, limit in limits.items():
+        seen = {}
+        for _, name, price, found in sorted((x for x in fits_of(needs, hardware, pricing, "t00") if x[0] == i), key=lambda x: (x[2], x[1])):
+            if () not in seen and found not in seen and (not limit or price < limit):
+                seen[found] = (i, name, price, found)
+        want |= set(seen.values())
+    prices = spark.createDataFrame(list(limits.items()), "id long, price double")
+    offers = R.offers_of(h, p, F.array(F.lit("t00*")))
+    got = R.cheapest(n.join(prices, "id").select("id", *R.ASKED, "price"), offers).collect()
+    assert {(r["id"], r["candidate"], r["candidate_price"], tuple(r["warnings"])) for r in got} == want and len(got) == len(want)
+
+
+def test_a_frontier_is_made_of_sizes_and_not_of_types(spark, fleet):
+    *_, h, p = fleet
+    plan = R.skyband(R.offers_of(h, p), [*R.KEY, *["c_" + f for f in R.FLAGS]])._jdf.queryExecution().executedPlan().toString()
+    # equal sizes are thinned out by Spark before the Python groups
+    assert plan.index("FlatMapGroupsIn") < plan.index("WindowGroupLimit")
