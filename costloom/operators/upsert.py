@@ -140,14 +140,15 @@ def upsert_partitions(path: str, source: DataFrame, keys: list[str], policy: dic
     ``partition`` is one of ``keys``, so no other partition can hold a changed row: the target is
     read through a semi-join on it, which prunes its files. Spark replaces the partitions when all
     tasks are done; run again, the same source gives the same table. Adaptive execution splits a
-    large partition into several tasks and files. A table that isn't there yet is created. ``source`` is unique by key and is written once, as it is read twice.
+    large partition into several tasks and files. A table that isn't there yet is created from ``source`` in one pass;
+    otherwise ``source`` is written once, as it is read twice, and may be made from the table itself. It is unique by key.
     """
     if partition not in keys:
         raise ValueError("the partition column has to be one of the keys")
     spark = source.sparkSession
-    source = durable(source, "upsert-source")
     out = source
     if exists(spark, path):
+        source = durable(source, "upsert-source")
         touched = source.select(partition).distinct()
         out = upsert(spark.read.parquet(path).join(touched, partition, "left_semi"), source, keys, policy)
     out.hint("rebalance", F.col(partition)).write.partitionBy(partition).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from costloom.functions.tables import durable
 from costloom.functions import normalize as N
 from costloom.functions.tags import tags_contain, tags_key, tags_match, tags_merge
 from costloom.functions.timegrid import iso_period_minutes, month_window
@@ -260,3 +261,15 @@ def test_rule_tables_change(spark):
     assert one(C.matching_rules(tagged, rules, "source_tags").select("id", "rule_id")) == [(1, 1)]
     hidden = spark.createDataFrame([(1, ["p*", "q"]), (2, []), (3, None)], "rule_id int, patterns array<string>")
     assert one(C.tag_filters(hidden)) == [(3, ""), (2, ""), (1, "p*")]
+
+
+def test_a_new_table_is_loaded_in_one_pass(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(U, "durable", lambda df, what: written.append(what) or durable(df, what))
+    path, shape = str(tmp_path / "t"), "p int, k int, v int"
+    U.upsert_partitions(path, spark.createDataFrame([(1, 1, 10), (2, 1, 30)], shape), ["p", "k"], {"v": "replace"}, "p")
+    assert written == []
+    # a load may be made from the table itself
+    own = spark.read.parquet(path).where("p = 2").select("p", "k", (F.col("v") * 3).cast("int").alias("v"))
+    U.upsert_partitions(path, own, ["p", "k"], {"v": "replace"}, "p")
+    assert len(written) == 1 and sorted((r["p"], r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, 1, 10), (2, 1, 90)]
