@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from costloom.functions.normalize import usd_to_eur
 from costloom.functions.tables import durable
-from costloom.functions.tags import tags_key
+from costloom.functions.tags import tags_contain, tags_key
 from costloom.functions.timegrid import gap_filled
 from costloom.operators.budgets import anomaly_entry
-from costloom.operators.hierarchy import namespaces_for_tags, scope_entities, with_key
+from costloom.operators.hierarchy import namespaces_for_tags, with_key
 from costloom.operators.tagjoin import containing
 
 SCOPE = ["scope_id", "tags_key"]
@@ -42,6 +42,21 @@ def scope_daily(members: DataFrame, scopes: DataFrame, per_entity: DataFrame, st
     return gap_filled(with_key(scopes).select(*SCOPE), sums, SCOPE, start, end, "cost")
 
 
+def scope_sums(tree: DataFrame, entities: DataFrame, scopes: DataFrame, rows: DataFrame, *extra: str) -> DataFrame:
+    """(scope_id, tags_key, date, extra, cost) of :func:`entity_daily` rows below each scope that hold its tags.
+
+    Costs climb to their entities' ancestors and are summed by ancestor and the entities' tags, of which there are few sets;
+    only these sums meet the scopes' tags. No table of the scopes' members is made.
+    """
+    own = entities.select(F.col("id").alias("entity_id"), F.array_sort(F.map_entries("tags")).alias("__tags"))
+    asked = with_key(scopes).select("scope_id", "tags", "tags_key")
+    up = tree.where("depth >= 1").select(F.col("ancestor").alias("scope_id"), F.col("descendant").alias("entity_id"))
+    up = up.join(asked.select("scope_id").distinct(), "scope_id", "left_semi")
+    sums = rows.join(own, "entity_id").join(up, "entity_id").groupBy("scope_id", "__tags", "date", *extra).agg(F.sum("cost").alias("cost"))
+    found = sums.join(asked, "scope_id").where(tags_contain(F.map_from_entries("__tags"), F.col("tags")))
+    return found.groupBy(*SCOPE, "date", *extra).agg(F.sum("cost").alias("cost"))
+
+
 def daily_costs_by_category(members: DataFrame, costs: DataFrame, start: dt.date, end: dt.date, rate: float = 1.0) -> DataFrame:
     """(scope_id, tags_key, date, category, cost); costs without a category are ``Other``; no gaps filled."""
     rows = entity_daily(costs.withColumn("category", F.coalesce("category", F.lit("Other"))), start, end, rate, "category")
@@ -138,7 +153,8 @@ class Chargeback:
 
     def raw(self, scopes: DataFrame) -> DataFrame:
         """Billing costs alone."""
-        return scope_daily(scope_entities(self.tree, self.entities, scopes), scopes, self.per_entity, self.start, self.end)
+        sums = scope_sums(self.tree, self.entities, scopes, self.per_entity)
+        return gap_filled(with_key(scopes).select(*SCOPE), sums, SCOPE, self.start, self.end, "cost")
 
     def ruled(self, base: DataFrame, scopes: DataFrame) -> DataFrame:
         """Costs after allocation rules."""
@@ -189,16 +205,16 @@ class Chargeback:
 
     def by_category(self, scopes: DataFrame) -> DataFrame:
         """Costs by category; a namespace is the category ``k8s:<name>``; of equal names the largest id stays."""
-        members = scope_entities(self.tree, self.entities, scopes)
-        own = daily_costs_by_category(members, self.costs, self.start, self.end, self.rate)
+        costs = self.costs.withColumn("category", F.coalesce("category", F.lit("Other")))
+        own = scope_sums(self.tree, self.entities, scopes, entity_daily(costs, self.start, self.end, self.rate, "category"), "category")
         shared = self.namespace_costs(scopes, self.cluster_costs())
         shared = shared.groupBy(*SCOPE, "date", F.concat(F.lit("k8s:"), F.col("namespace")).alias("category")).agg(F.max_by("cost", "ns_id").alias("cost"))
         return own.unionByName(shared)
 
     def by_tag(self, scopes: DataFrame, key: str) -> DataFrame:
         """Costs by a tag's values, namespaces under their own value."""
-        members = scope_entities(self.tree, self.entities, scopes)
-        own = daily_costs_by_tag(members, self.entities, self.costs, key, self.start, self.end, self.rate)
+        named = self.entities.select(F.col("id").alias("entity_id"), F.coalesce(F.try_element_at("tags", F.lit(key)), F.lit("Unrecognized")).alias("tag_value"))
+        own = scope_sums(self.tree, self.entities, scopes, self.per_entity.join(named, "entity_id"), "tag_value")
         value = F.coalesce(F.try_element_at("ns_tags", F.lit(key)), F.lit("Unrecognized")).alias("tag_value")
         shared = self.namespace_costs(scopes, self.cluster_costs()).select(*SCOPE, "date", value, "cost")
         return own.unionByName(shared).groupBy(*SCOPE, "date", "tag_value").agg(F.sum("cost").alias("cost"))
