@@ -47,6 +47,20 @@ def test_all_fits_are_listed(spark, fleet):
         assert sorted((r["id"], r["candidate"], r["candidate_price"], tuple(r["warnings"])) for r in got) == want
 
 
+def test_fits_are_made_from_blocks_of_equal_offers(spark, fleet):
+    needs, hardware, pricing, n, h, p = fleet
+    want = sorted(fits_of(needs, hardware, pricing, "t00"))
+    offers = R.offers_of(h, p, F.array(F.lit("t00*")))
+    for most in (1, 2, 1000):
+        got = R.listed_fits(n, offers, most=most).collect()
+        assert sorted((r["id"], r["candidate"], r["candidate_price"], tuple(r["warnings"])) for r in got) == want
+        sizes = R.offer_blocks(offers, most).agg(F.sum(F.size("__types")), F.max(F.size("__types"))).first()
+        assert sizes[0] == offers.count() and sizes[1] <= most
+    # children stand below their parents: warnings and prices are found before the fits of a block are made
+    plan = QUERIES["vm_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("array_join") and plan.index("Generate inline") < plan.index("round(")
+
+
 def test_no_cut_in_the_registered_lists(spark):
     rows = QUERIES["vm_candidates"](spark, "/root/testdata/sf0.001")
     assert rows.groupBy("id").count().agg(F.max("count")).first()[0] > 10
