@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: A range below LEAST that straddles a multiple of 2^TOP is cut off there.
+#: Units leave when a range falls below LEAST; one that straddles a multiple of 2^TOP then is cut off there.
 TOP, LEAST = np.uint64(48), np.uint64(1 << 40)
 UNIT = np.uint64(16)
 ONE = np.uint64(1)
@@ -43,12 +43,12 @@ class Model:
         lane = np.arange(lanes)
         self.size, self.slots = size, 1 << max(4, (length - 1).bit_length())
         self.room = length + 1
-        self.lane, self.at1, self.at2, self.at_w = lane, lane * self.room, lane * self.slots, lane * 16
-        self.order1 = np.zeros(lanes * self.room, np.uint16 if length < 1 << 14 else np.uint32)
-        self.order2 = np.zeros(lanes * self.slots, self.order1.dtype)
+        # orders 1 and 2 stand in one table, so that a step works on both at once
+        self.lane, self.at1, self.at2, self.at_w = lane, lane * self.room, lanes * self.room + lane * self.slots, lane * 16
+        self.orders = np.zeros(lanes * (self.room + self.slots), np.uint16 if length < 1 << 14 else np.uint32)
         self.weights = np.tile(first_weights(), (lanes, 1)).astype(np.int32)
-        self.repeated = np.zeros(lanes * self.room, self.order1.dtype)
-        self.place = np.zeros(lanes * self.room, self.order1.dtype)
+        self.repeated = np.zeros(lanes * self.room, self.orders.dtype)
+        self.place = np.zeros(lanes * self.room, self.orders.dtype)
         self.n_repeated = np.zeros(lanes, np.int64)
         self.n_seen = np.zeros(lanes, np.int64)
         self.last = np.zeros(lanes, np.int64)
@@ -62,26 +62,26 @@ class Model:
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the outcomes (6 x lanes), and how many alternatives each outcome leaves (5 x lanes)."""
         h = ((self.last * 2654435761 + self.before * 2246822519) >> 15) & (self.slots - 1)
-        self.i1, self.i2 = self.at1 + self.last, self.at2 + h
-        self.e1, self.e2 = self.order1.take(self.i1).astype(np.int64), self.order2.take(self.i2).astype(np.int64)
-        self.s1, self.s2 = self.e1 >> 2, self.e2 >> 2
-        self.row = self.at_w + ((self.e2 & 3) << 2 | self.e1 & 3)
+        n = len(self.lane)
+        self.places = np.concatenate([self.at1 + self.last, self.at2 + h])
+        self.held = self.orders.take(self.places).astype(np.int64)
+        self.said, self.sure = self.held >> 2, self.held & 3
+        self.s1, self.s2 = self.said[:n], self.said[n:]
+        self.row = self.at_w + (self.sure[n:] << 2 | self.sure[:n])
         w = self.weights.take(self.row, axis=0)
-        bounds = np.zeros((6, len(self.lane)), np.int64)
+        bounds = np.zeros((6, n), np.int64)
         np.add(w[:, 0], w[:, 1] * (self.s1 == self.s2), out=bounds[1])
         np.add(w[:, 0], w[:, 1], out=bounds[2])
         for k in (2, 3, 4):
             np.add(bounds[k], w[:, k], out=bounds[k + 1])
-        left = np.ones((5, len(self.lane)), np.int64)
+        left = np.ones((5, n), np.int64)
         left[AGAIN], left[SEEN], left[NEW] = self.n_repeated, self.n_seen, self.size
         return bounds, left
 
     def learn(self, symbol: np.ndarray, outcome: np.ndarray) -> None:
         """Adapt to the symbols that came."""
-        fresh = symbol << 2 | 1
-        for table, at, e, s in ((self.order1, self.i1, self.e1, self.s1), (self.order2, self.i2, self.e2, self.s2)):
-            sure = e & 3
-            table[at] = np.where(s == symbol, e + (sure < 3), np.where(sure > 1, e - 1, fresh))
+        both = np.concatenate([symbol, symbol])
+        self.orders[self.places] = np.where(self.said == both, self.held + (self.sure < 3), np.where(self.sure > 1, self.held - 1, both << 2 | 1))
         self.weights.reshape(-1)[(self.row << 3) + outcome] += GAIN
         met = np.flatnonzero(outcome == SEEN)
         if len(met):
@@ -121,6 +121,12 @@ def lanes_of(n: int, length: int) -> tuple[int, int]:
     return lanes, n - (lanes - 1) * length
 
 
+def renewed(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Ranges below LEAST after a unit has left them."""
+    apart = ((low ^ (low + span)) >> TOP) != 0
+    return np.where(apart, (-low.view(np.int64)).view(np.uint64) & (LEAST - ONE), span) << UNIT
+
+
 def encode(ids: np.ndarray, length: int, size: int) -> list[bytes]:
     """The coded blocks of ``length`` ids each (the last may be shorter)."""
     if not len(ids):
@@ -164,16 +170,13 @@ def encode(ids: np.ndarray, length: int, size: int) -> list[bytes]:
         span = span // left.reshape(-1).take(index).view(np.uint64)
         low = low + span * which.reshape(-1).take(index).view(np.uint64)
         m.learn(s, outcome)
-        while True:
-            apart = ((low ^ (low + span)) >> TOP) != 0
-            due = np.flatnonzero(~apart | (span < LEAST))
-            if not len(due):
-                break
-            own, g = low[due], span[due]
-            span[due] = np.where(apart[due], (-own.view(np.int64)).view(np.uint64) & (LEAST - ONE), g) << UNIT
-            units[due, at[due]] = own >> TOP
-            low[due] = own << UNIT
-            at[due] += 1
+        due = np.flatnonzero(span < LEAST)
+        while len(due):
+            own, g, place = low[due], span[due], at[due]
+            g = renewed(own, g)
+            units[due, place] = own >> TOP
+            low[due], span[due], at[due] = own << UNIT, g, place + 1
+            due = due[g < LEAST]
     rest = [flushed(low, units, at, k) for k in range(n)]
     return rest + out
 
@@ -233,15 +236,12 @@ def decode(blocks: list[bytes], n_ids: int, length: int, size: int) -> np.ndarra
         if len(fresh):
             names[m.at1[fresh] + s[fresh]] = v[fresh]
         m.learn(s, outcome)
-        while True:
-            apart = ((low ^ (low + span)) >> TOP) != 0
-            due = np.flatnonzero(~apart | (span < LEAST))
-            if not len(due):
-                break
-            own, g = low[due], span[due]
-            span[due] = np.where(apart[due], (-own.view(np.int64)).view(np.uint64) & (LEAST - ONE), g) << UNIT
-            low[due] = own << UNIT
-            code[due] = code[due] << UNIT | units[np.minimum(at[due], end)]
-            at[due] += 1
+        due = np.flatnonzero(span < LEAST)
+        while len(due):
+            own, g, place = low[due], span[due], at[due]
+            g = renewed(own, g)
+            code[due] = code[due] << UNIT | units[np.minimum(place, end)]
+            low[due], span[due], at[due] = own << UNIT, g, place + 1
+            due = due[g < LEAST]
     ids = names[symbol.T + (np.arange(lanes) * m.room)[:, None]]
     return ids.reshape(-1)[:n_ids]

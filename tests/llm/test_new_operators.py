@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,25 @@ def test_damaged_id_files_are_found(spark, docs, tmp_path):
     assert idfiles.read_ids(spark, empty).count() == 0
 
 
+def test_a_group_codes_words_and_not_ids():
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_str(idfiles.model_text(None)), random.Random(5)
+    words = ["".join(rng.choices("abcdeorth", k=9)) + rng.choice(["", ",", "'s", "7", "É"]) for _ in range(80)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(6)] + ["", " \t\n ", "\n a\x0b\x0cb  ", "\x1c\x85\xa0 Ⅷ \u3000x"]
+    group = idfiles.Group(idfiles.Encoder(idfiles.model_text(None)), 1)
+    for some in (texts[:4], texts[4:]):
+        group.add([str(k) for k in range(len(some))], pa.array([t.encode() for t in some]))
+    want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert np.concatenate(group.counts).tolist() == list(map(len, want)) and group.size == sum(map(len, want))
+    found = list(idfiles.records(b"\n".join([*idfiles.group_records(0, 0, 0, group, 64), b""])))
+    # one number for a word or an end, whatever the ids of a word; each different word once
+    assert sum(r[3] for r in found[1:]) == sum(len(t.encode().split()) + 1 for t in texts) < group.size / 3
+    assert len(idfiles.unpacked_words(found[0][7][4 + len(idfiles.key_part(found[0][7])) :])) == 1 + len({w for t in texts for w in t.encode().split()})
+    numbers = idcoder.decode([r[7] for r in found[1:]], sum(r[3] for r in found[1:]), 64, len(group.words))
+    assert np.frombuffer(idfiles.spelled_out(numbers, pa.array(group.words, pa.large_binary()))[0], "<u4").tolist() == [i for w in want for i in w]
+
+
 def test_invalid_texts_have_ids(spark, broken, tmp_path):
     from tokenizers import Tokenizer
 
