@@ -174,6 +174,8 @@ class Group:
     """Documents whose words are numbered as they come; 0 is the end of a document."""
 
     def __init__(self, encoder: Encoder, end: int):
+        if not 0 <= end < encoder.size:
+            raise ValueError("an id outside the vocabulary")
         self.encoder = encoder
         self.numbers: defaultdict[bytes, int] = defaultdict(count(1).__next__)
         self.words, self.sizes = [int(end).to_bytes(4, "little")], np.ones(1, np.int64)
@@ -357,13 +359,15 @@ def file_starts(spark: SparkSession, path: str) -> dict[int, int]:
     return out
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
+def read_ids(spark: SparkSession, path: str, size: int | None = None, tokenizer: str | None = None) -> DataFrame:
     """(key, start, ids) of all documents in the files under ``path``.
 
     ``key`` is the key as text, ``start`` the number of ids of all documents before, ``ids`` the
-    document's ids as little-endian unsigned 32-bit numbers. Every record's checksum and every block's ids are
-    checked; a damaged or missing block raises ValueError.
+    document's ids as little-endian unsigned 32-bit numbers. ``size`` is the vocabulary's size, by
+    default that of the tokenizer. Every record's checksum and every block's ids are checked; a damaged
+    or missing block or an id outside the vocabulary raises ValueError.
     """
+    size = size or Tokenizer.from_str(model_text(tokenizer)).get_vocab_size()
     starts = spark.sparkContext.broadcast(file_starts(spark, path))
 
     def documents(held_group):
@@ -371,6 +375,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         own = key_part(payload)
         keys, counts = unpacked_keys(own, n)
         words = unpacked_words(memoryview(payload)[4 + len(own) :])
+        if int(np.frombuffer(words.buffers()[2], "<u4").max(initial=0)) >= size:
+            raise ValueError(f"an id outside the vocabulary in file {file}")
         numbers = idcoder.decode([b[7] for b in blocks], sum(b[3] for b in blocks), length, len(words))
         if len(numbers) and not 0 <= int(numbers.min()) <= int(numbers.max()) < len(words):
             raise ValueError(f"an unknown word in file {file}")

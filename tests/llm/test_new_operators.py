@@ -190,6 +190,8 @@ def test_a_group_codes_words_and_not_ids():
     words = ["".join(rng.choices("abcdeorth", k=9)) + rng.choice(["", ",", "'s", "7", "É"]) for _ in range(80)]
     texts = [" ".join(rng.choices(words, k=300)) for _ in range(6)] + ["", " \t\n ", "\n a\x0b\x0cb  ", "\x1c\x85\xa0 Ⅷ \u3000x"]
     group = idfiles.Group(idfiles.Encoder(idfiles.model_text(None)), 1)
+    with pytest.raises(ValueError):
+        idfiles.Group(group.encoder, group.encoder.size)
     for some in (texts[:4], texts[4:]):
         group.add([str(k) for k in range(len(some))], pa.array([t.encode() for t in some]))
     want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
