@@ -142,6 +142,38 @@ def test_word_ids_are_the_librarys(texts):
     assert other.simple.fullmatch("a") is None
 
 
+def test_simple_words_are_split_all_at_once():
+    from tokenizers import Tokenizer
+
+    model = idfiles.model_text(None)
+    library, own = Tokenizer.from_str(model), idfiles.Encoder(model)
+
+    def same(words):
+        # a slice, as arrays of words need not begin at their buffer's begin
+        found = own.ids_of(pa.array(["left", "out", *words], pa.string())[2:]).to_pylist()
+        assert [np.frombuffer(ids, "<i4").tolist() for ids in found] == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+    other, own.other_ids = own.other_ids, None
+    same(["Été", "été,", "ÉTÉ.", "ab12c", "AB", "(ab),", "ß\xff\xde"])
+    # parts are remembered and not words
+    assert set(own.parts) == {"été", ",", ".", "ab", "1", "2", "c", "(", "),", "ß\xff\xfe"}
+    own.other_ids = other
+    same([])
+    same(["don't", "a\xd7b", "<|EndOfText|>x", "\xb5", "\u0130x"])
+    rng = random.Random(9)
+    letters = [chr(c) for c in range(0x21, 0x250) if not chr(c).isspace()] + ["\u0301", "\u6f22", "\U0001f600"]
+    for few in (letters, letters[:94], [*letters[:94], *map(chr, range(0xC0, 0x100))]):
+        same(["".join(rng.choices(few, k=rng.randint(1, 12))) for _ in range(200)] + few)
+
+
+def test_small_batches_are_gathered():
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([b"x" * 9] * n, pa.binary())], ["key", "text"]) for n in (1, 0, 2, 30, 3)]
+    found = list(idfiles.gathered(iter(batches), 50))
+    assert [k for keys, _ in found for k in keys] == [k for b in batches for k in b.column(0).to_pylist()]
+    assert [len(keys) for keys, _ in found] == [len(texts) for _, texts in found] and len(found[0][0]) > 3
+    assert max(len(keys) for keys, _ in found) <= 12 and not list(idfiles.gathered(iter([]), 50))
+
+
 def test_id_files_round_trip(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
