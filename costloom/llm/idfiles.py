@@ -418,7 +418,7 @@ def gathered(batches, limit: int):
         for lo, hi, column in text_slices(batch.column(1), limit):
             keys += batch.column(0).slice(lo, hi - lo).to_pylist()
             texts.append(column)
-            size += pc.sum(pc.binary_length(column)).as_py()
+            size += pc.sum(pc.binary_length(column)).as_py() + hi - lo  # a byte a text more, as texts may be empty
             if size >= limit:
                 yield keys, pa.concat_arrays(texts)
                 keys, texts, size = [], [], 0

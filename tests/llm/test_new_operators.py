@@ -172,6 +172,8 @@ def test_small_batches_are_gathered():
     assert [k for keys, _ in found for k in keys] == [k for b in batches for k in b.column(0).to_pylist()]
     assert [len(keys) for keys, _ in found] == [len(texts) for _, texts in found] and len(found[0][0]) > 3
     assert max(len(keys) for keys, _ in found) <= 12 and not list(idfiles.gathered(iter([]), 50))
+    empty = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([b""] * 40, pa.binary())], ["key", "text"])
+    assert [len(keys) for keys, _ in idfiles.gathered(iter([empty] * 4), 50)] == [80, 80]
 
 
 def test_id_files_round_trip(spark, docs, tmp_path):
