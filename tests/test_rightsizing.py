@@ -61,6 +61,31 @@ def test_fits_are_made_from_blocks_of_equal_offers(spark, fleet):
     assert plan.index("Generate inline") < plan.index("array_join") and plan.index("Generate inline") < plan.index("round(")
 
 
+def test_an_offers_rows_come_one_after_another(spark):
+    flags = ("x86_64", False, False, False, False)
+    hardware = [("aws", f"t{i:03}", 4, 8.0, None, None, *flags) for i in range(30)]
+    needs = [(i, "aws", "a", "linux", 1.0 + i % 5, 1.0, 0.0, 0.0, *flags) for i in range(200)]
+    n, h = spark.createDataFrame(needs, NEEDS), spark.createDataFrame(hardware, HARDWARE)
+    p = spark.createDataFrame([("aws", f"t{i:03}", "a", "linux", 1.0 + i) for i in range(30)], PRICING)
+    got = [(r["candidate"], r["id"]) for r in R.vm_candidates(n, h, p, salts=1).collect()]
+    assert sorted(got) == [(f"t{i:03}", m) for i in range(30) for m in range(200) if m % 5 < 4]
+    # files hold a name and its price once for many ids
+    assert sum(a[0] != b[0] for a, b in zip(got, got[1:])) == 29
+
+
+def test_offers_are_not_copied_to_meet_machines(spark, fleet):
+    *_, n, h, p = fleet
+    lines = R.vm_candidates(n, F.broadcast(h), p)._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(lines) if "SortMergeJoin" in x)
+    side = lines[at + 1].index(":-")
+    end = next(i for i, x in enumerate(lines) if i > at and x[side] == "+")
+    offers, machines = lines[at + 1 : end], lines[end:]
+    assert any("hourly_price" in x for x in offers) and not any("hourly_price" in x for x in machines)
+    # shuffled to be numbered and to be met; only machines are copied to every part
+    assert sum("Exchange hashpartitioning" in x for x in offers) == 2 and not any("explode" in x for x in offers)
+    assert sum("Generate explode" in x for x in machines) == 1
+
+
 def test_no_cut_in_the_registered_lists(spark):
     rows = QUERIES["vm_candidates"](spark, "/root/testdata/sf0.001")
     assert rows.groupBy("id").count().agg(F.max("count")).first()[0] > 10
